@@ -7,10 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstats.llm import quality_rules, shards
+import public_tokenizers
+
+from fieldstats.llm import encoding, quality_model, quality_rules, shards, token_counts, toxicity
 from fieldstats.llm.store import load
 
 
+def vocabulary_path() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.digests(load(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(load(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.fit(docs, load(spark, sf_dir, "labels")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents")).drop("host")
 
