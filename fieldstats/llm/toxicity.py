@@ -31,10 +31,10 @@ from fieldstats.llm.store import fold_of
 from fieldstats.llm.text import Texts, U, slices, span_hashes
 
 BUCKET_BITS = 22
-MIN_DOCS = 12
-STEPS = 500
-RATE = 1.0
-SHRINK = 3.0
+MIN_DOCS, MIN_SHARE = 3, 0.002
+STEPS = 400
+RATE = 0.3
+SHRINK = 0.02
 BIAS = -5.0
 THRESHOLD = 0.5
 
@@ -83,11 +83,11 @@ class Model:
 
 
 def train(texts: Texts, labels: np.ndarray) -> Model:
-    """Proximal adaptive gradient ascent of the noisy-or likelihood; words in fewer than MIN_DOCS texts have no weight."""
+    """Proximal adaptive gradient ascent of the noisy-or likelihood; words in fewer than MIN_DOCS texts, or in less than MIN_SHARE of them, have no weight, and the shrinkage is SHRINK times the root of the number of texts."""
     size = 1 << BUCKET_BITS
     buckets, sentence, text, _, _ = sentences(texts)
     pairs = np.unique(text[sentence].astype(np.int64) << BUCKET_BITS | buckets) if len(buckets) else np.zeros(0, np.int64)
-    used = np.bincount(pairs & (size - 1), minlength=size) >= MIN_DOCS
+    used = np.bincount(pairs & (size - 1), minlength=size) >= max(MIN_DOCS, MIN_SHARE * texts.n)
     keep = used[buckets]
     cells = np.unique(sentence[keep].astype(np.int64) << BUCKET_BITS | buckets[keep])
     owner = cells >> BUCKET_BITS
@@ -95,7 +95,8 @@ def train(texts: Texts, labels: np.ndarray) -> Model:
     y = labels.astype(float)
     n = len(text)
     w, bias, leak_z = np.zeros(len(names)), BIAS, -3.0
-    sums = np.full(len(names), 1e-6)
+    sums = np.zeros(len(names))
+    shrink = SHRINK * np.sqrt(texts.n)
     for step in range(STEPS if len(y) else 0):
         z = bias + np.bincount(owner, w[feature], n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -103,10 +104,10 @@ def train(texts: Texts, labels: np.ndarray) -> Model:
         none = (1 - leak) * np.exp(np.bincount(text, np.log1p(-np.minimum(above(z, bias), 1 - 1e-12)), texts.n))
         pull = np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0)
         gradient = np.bincount(feature, (p * pull[text])[owner], len(names))
-        sums = sums + gradient**2 if step != STEPS // 2 else gradient**2 + 1e-6
-        rate = RATE / np.sqrt(sums)
+        sums = 0.9 * sums + 0.1 * gradient**2
+        rate = RATE * (1 - step / STEPS) / np.sqrt(sums + 1e-3)
         if step < STEPS // 2:
-            w = np.maximum(w + rate * (gradient - SHRINK), 0)
+            w = np.maximum(w + rate * (gradient - shrink), 0)
         else:  # the chosen words, without the shrinkage
             w = np.where(w > 0, np.maximum(w + rate * gradient, 1e-9), 0)
         leak_z = np.clip(leak_z + 2.0 * np.mean(leak * pull), -6, -1.5)
