@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fieldstats.llm import encoding, quality_model, quality_rules, shards, token_counts, toxicity
+from fieldstats.llm import decontaminate, encoding, language, quality_model, quality_rules, shards, token_counts, toxicity
 from fieldstats.llm.store import load
 
 
@@ -21,6 +21,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(load(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
@@ -44,6 +48,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (host: source) and pages in one result; the id of the other kind is null."""
+    docs = load(spark, sf_dir, "documents")
+    model = language.fit_text(docs)
+    documents = language.document_records(docs, model).withColumns({"doc_id": F.col("id"), "page_id": F.lit(None).cast("long")})
+    pages = language.page_records(load(spark, sf_dir, "pages"), model).withColumns({"doc_id": F.lit(None).cast("long"), "page_id": F.col("id")})
+    return language.identify(documents.unionByName(pages), model.languages).drop("id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
