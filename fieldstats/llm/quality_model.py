@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fieldstats.llm import labelled
 from fieldstats.llm.store import fold_of
-from fieldstats.llm.text import _SPACE, Texts, U, slices
+from fieldstats.llm.text import _SPACE, Texts, U, parts, slices
 
 BUCKET_BITS = 18
 DIM = 8
@@ -97,7 +97,7 @@ def bags(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     ends = np.searchsorted(keys, np.arange(texts.n + 1, dtype=np.int64) << BUCKET_BITS)
     out = []
     for a, b in zip(ends[:-1], ends[1:], strict=True):
-        out.append((keys[a:b] & ((1 << BUCKET_BITS) - 1), (counts[a:b] / max(1, counts[a:b].sum())).astype(np.float32)))
+        out.append(((keys[a:b] & ((1 << BUCKET_BITS) - 1)).astype(np.int32), (counts[a:b] / max(1, counts[a:b].sum())).astype(np.float32)))
     return out
 
 
@@ -107,12 +107,8 @@ def train(texts: Texts, labels: np.ndarray) -> Model:
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     output, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     data: list[tuple[np.ndarray, np.ndarray]] = []
-    start = 0
-    while start < texts.n:
-        end = max(start + 1, int(np.searchsorted(texts.offsets, texts.offsets[start] + 2_000_000, "right")) - 1)
-        at = texts.offsets[start : end + 1]
-        data += bags(Texts(texts.raw[at[0] : at[-1]], at - at[0]))
-        start = end
+    for part, _ in parts(texts):
+        data += bags(part)
     target = np.eye(2, dtype=np.float32)[labels] if len(labels) else np.zeros((0, 2), np.float32)
     steps = EPOCHS * len(data)
     for epoch in range(EPOCHS):

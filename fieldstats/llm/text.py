@@ -142,18 +142,23 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(raw[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
+def parts(texts: Texts, size: int = BATCH_BYTES) -> Iterator[tuple[Texts, int]]:
+    """Runs of whole texts of about `size` bytes, with the number of their first text."""
+    start = 0
+    while start < texts.n:
+        end = int(np.searchsorted(texts.offsets, texts.offsets[start] + size, "right")) - 1
+        end = min(max(end, start + 1), texts.n)
+        at = texts.offsets[start : end + 1]
+        yield Texts(texts.raw[at[0] : at[-1]], at - at[0]), start
+        start = end
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Cut record batches so that each holds about `size` bytes of text; a longer single text stays whole."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        texts = texts_of(column)
-        start = 0
-        while start < len(column):
-            end = int(np.searchsorted(texts.offsets, texts.offsets[start] + size, "right")) - 1
-            end = min(max(end, start + 1), len(column))
-            at = texts.offsets[start : end + 1]
-            yield batch.slice(start, end - start), Texts(texts.raw[at[0] : at[-1]], at - at[0])
-            start = end
+        for part, start in parts(texts_of(column), size):
+            yield batch.slice(start, part.n), part
 
 
 def distinct(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

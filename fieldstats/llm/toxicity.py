@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fieldstats.llm import labelled
 from fieldstats.llm.store import fold_of
-from fieldstats.llm.text import Texts, U, slices, span_hashes
+from fieldstats.llm.text import Texts, U, parts, slices, span_hashes
 
 BUCKET_BITS = 22
 MIN_DOCS, MIN_SHARE = 3, 0.002
@@ -85,15 +85,24 @@ class Model:
 def train(texts: Texts, labels: np.ndarray) -> Model:
     """Proximal adaptive gradient ascent of the noisy-or likelihood; words in fewer than MIN_DOCS texts, or in less than MIN_SHARE of them, have no weight, and the shrinkage is SHRINK times the root of the number of texts."""
     size = 1 << BUCKET_BITS
-    buckets, sentence, text, _, _ = sentences(texts)
-    pairs = np.unique(text[sentence].astype(np.int64) << BUCKET_BITS | buckets) if len(buckets) else np.zeros(0, np.int64)
-    used = np.bincount(pairs & (size - 1), minlength=size) >= max(MIN_DOCS, MIN_SHARE * texts.n)
-    keep = used[buckets]
-    cells = np.unique(sentence[keep].astype(np.int64) << BUCKET_BITS | buckets[keep])
-    owner = cells >> BUCKET_BITS
-    names, feature = np.unique(cells & (size - 1), return_inverse=True)
+    held = np.zeros(size, np.int32)  # texts that hold a word of the bucket
+    for part, _ in parts(texts):
+        buckets, sentence, text, _, _ = sentences(part)
+        held += np.bincount(np.unique(text[sentence].astype(np.int64) << BUCKET_BITS | buckets) & (size - 1), minlength=size).astype(np.int32)
+    used = held >= max(MIN_DOCS, MIN_SHARE * texts.n)
+    cells, owners, n = [], [], 0
+    for part, first in parts(texts):
+        buckets, sentence, text, _, _ = sentences(part)
+        keep = used[buckets]
+        cells.append(np.unique((sentence[keep].astype(np.int64) + n) << BUCKET_BITS | buckets[keep]))
+        owners.append((text + first).astype(np.int32))
+        n += len(text)
+    cells = np.concatenate(cells) if cells else np.zeros(0, np.int64)
+    text = np.concatenate(owners) if owners else np.zeros(0, np.int32)
+    owner = (cells >> BUCKET_BITS).astype(np.int32)
+    names, feature = np.unique((cells & (size - 1)).astype(np.int32), return_inverse=True)
+    feature = feature.astype(np.int32)
     y = labels.astype(float)
-    n = len(text)
     w, bias, leak_z = np.zeros(len(names)), BIAS, -3.0
     sums = np.zeros(len(names))
     shrink = SHRINK * np.sqrt(texts.n)
