@@ -43,6 +43,7 @@ HOST_WEIGHT = 5.0
 DOMAIN_WEIGHT = 20.0
 SMOOTH = 1.0
 MAX_LANGUAGES = 200
+HOT_KEYS = 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -168,6 +169,21 @@ class Evidence:
         return (counts + weight * above) / (counts.sum(1, keepdims=True) + weight)
 
 
+def join_votes(rows: DataFrame, name: str, votes: DataFrame, total: float) -> DataFrame:
+    """Add the votes for the row's key as by_<name>.
+
+    Keys with more than 1/HOT_KEYS of all rows, fewer than HOT_KEYS by count,
+    are broadcast; the rest are joined by key, and rows already served are spread.
+    """
+    hot = votes.filter(F.col("rows") > total / HOT_KEYS).select(F.col("key").alias("hot_key"), F.col("votes").alias("hot"))
+    cold = votes.filter(F.col("rows") <= total / HOT_KEYS).select("key", F.col("votes").alias("cold"))
+    rows = rows.join(F.broadcast(hot), F.col(name) == F.col("hot_key"), "left").drop("hot_key")
+    spread = F.concat(F.lit("\x00"), F.xxhash64("id").cast("string"))
+    rows = rows.withColumn("join_key", F.when(F.col("hot").isNull(), F.col(name)).otherwise(spread))
+    rows = rows.join(cold, F.col("join_key") == F.col("key"), "left")
+    return rows.withColumn(f"by_{name}", F.coalesce("hot", "cold")).drop("join_key", "key", "hot", "cold")
+
+
 def identify(records: DataFrame, languages: list[str]) -> DataFrame:
     """lang, probability and text_lang of records of id, host, declared, likelihood and p; other columns stay."""
     k = len(languages)
@@ -180,7 +196,8 @@ def identify(records: DataFrame, languages: list[str]) -> DataFrame:
     total = np.array([x or 0.0 for x in read.agg(*sums).first()])
     out = read
     for name in ("host", "domain", "suffix", "said"):
-        out = out.join(read.groupBy(name).agg(*sums).select(name, F.array(*[F.col(f"s{j}") for j in range(k)]).alias(f"by_{name}")), name)
+        votes = read.groupBy(name).agg(*sums, F.count("*").alias("rows")).select(F.col(name).alias("key"), F.array(*[F.col(f"s{j}") for j in range(k)]).alias("votes"), "rows")
+        out = join_votes(out, name, stage(votes, f"votes-{name}"), sum(total))
     names = pa.array(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
