@@ -128,7 +128,6 @@ def _entries(k: int, percent: int):
 def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tie each class to the first class seen under the same key; what is kept is one class for each key."""
     keys, anchors, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    done: set[tuple[int, int]] = set()
 
     def step(k: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         nonlocal keys, anchors, sizes
@@ -140,14 +139,9 @@ def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(new)
         keys, anchors, sizes = all_k[at], all_c[at], all_n[at]
         of = np.repeat(at, np.diff(np.append(at, len(all_k))))
-        hit = all_c != all_c[of]
-        rows = np.unique(np.stack([all_c[of[hit]], all_n[of[hit]].astype(np.int64), all_c[hit], all_n[hit].astype(np.int64)]), axis=1)
-        fresh = [i for i, p in enumerate(zip(rows[0].tolist(), rows[2].tolist(), strict=True)) if p not in done]
-        if len(done) > 500_000:
-            done.clear()
-        done.update((int(rows[0][i]), int(rows[2][i])) for i in fresh)
-        rows = rows[:, fresh]
-        anchor, anchor_n, member, n = rows
+        hit = np.flatnonzero(all_c != all_c[of])
+        hit = hit[np.unique(fold(all_c[of[hit]].view(U), all_c[hit].view(U)), return_index=True)[1]] if len(hit) else hit
+        anchor, anchor_n, member, n = all_c[of[hit]], all_n[of[hit]].astype(np.int64), all_c[hit], all_n[hit].astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchor, anchor])), pa.array(np.concatenate([anchor, member])), pa.array(np.concatenate([anchor_n, n]))], ["anchor", "class", "n"])
 
     held: list[list[np.ndarray]] = []
@@ -155,7 +149,7 @@ def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append([batch.column(i).to_numpy() for i in range(3)])
         rows += batch.num_rows
-        if rows >= 1_000_000:
+        if rows >= 500_000:
             yield step(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held, rows = [], 0
     if held:

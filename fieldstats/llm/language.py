@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fieldstats.llm.labelled import SAMPLE_BYTES, SAMPLE_ROWS
 from fieldstats.llm.store import fold_of, stage
-from fieldstats.llm.text import _LOWER, Texts, slices, texts_of
+from fieldstats.llm.text import _LOWER, Texts, parts, slices, texts_of
 
 BITS = 16
 EVIDENCE = 200
@@ -88,8 +88,9 @@ def fit_text(docs: DataFrame, language: str = "lang", held_out: int = 0, rows: i
     counts = np.full((1 << BITS, len(names)), 0.5)
     labels = np.array([names.index(x) for x in found.column("label").to_pylist()], np.int64) if names else np.zeros(0, np.int64)
     if names:
-        buckets, text = trigrams(texts_of(found.column("text")))
-        np.add.at(counts, (buckets, labels[text]), 1.0)
+        for part, first in parts(texts_of(found.column("text"))):
+            buckets, text = trigrams(part)
+            np.add.at(counts, (buckets, labels[text + first]), 1.0)
     return TextModel(names, np.log(counts / counts.sum(0)).astype(np.float32) if names else counts)
 
 
