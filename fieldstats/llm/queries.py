@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fieldstats.llm import decontaminate, encoding, jaccard, language, quality_model, quality_rules, shards, token_counts, toxicity
+from fieldstats.llm import decontaminate, encoding, jaccard, katz, language, quality_model, quality_rules, shards, token_counts, toxicity
 from fieldstats.llm.store import load
 
 
@@ -17,6 +17,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(load(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(load(spark, sf_dir, "documents"), 3, 90)
 

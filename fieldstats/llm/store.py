@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +60,9 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def fold_of(doc_id: str = "doc_id", folds: int = 5):
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, whose DataFrames are out of use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
