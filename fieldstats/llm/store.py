@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,12 @@ def fold_of(doc_id: str = "doc_id", folds: int = 5):
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps, whose DataFrames are out of use."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps, whose DataFrames are out of use.
+
+    The cleaner follows the driver's garbage collection and works on its own
+    thread; the second round catches what the first one only unlinked.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
