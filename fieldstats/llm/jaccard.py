@@ -15,8 +15,9 @@ form a class, and only classes are joined.
    makes up a whole block.
 2. Groups.  In each list the members are tied to one of them, the anchor; pairs
    (anchor, member) are made distinct, so lists that bring the same sets
-   together cost one entry.  Every linked pair has a common anchor.  Groups
-   above GROUP_SETS sets or GROUP_SHINGLES shingles are cut into parts, and each
+   together cost one entry.  Every linked pair has a common anchor.  Groups that
+   overlap are one group if they stay small together; else each anchor's group
+   stands for itself.  Groups above GROUP_SETS sets or GROUP_SHINGLES shingles are cut into parts, and each
    pair of parts is a unit of work of bounded size.
 3. Answers.  In a unit the sets stand in order of size.  The overlaps of a set
    with all others are derived from those of the most similar set before it: the
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldstats.llm.store import stage
+from fieldstats.llm.store import release, stage
 from fieldstats.llm.text import Texts, U, distinct, fold, lists, mix, slices
 
 RANGE = 1.5
@@ -231,8 +232,7 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[t
 def components(edges: DataFrame) -> DataFrame:
     """class and label (smallest class of its component) by alternating large-star and small-star rounds."""
     edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    last = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
@@ -241,10 +241,13 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
         edges = stage(small, "small")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last or not state[0]:
-            return edges.select(F.col("a").alias("class"), F.col("b").alias("label"))
-        last = state
+    return edges.select(F.col("a").alias("class"), F.col("b").alias("label"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each a has one b, and no b is an a."""
+    several = edges.groupBy("a").count().filter("count > 1").limit(1).count()
+    return not several and not edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -253,7 +256,13 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = stage(classes(docs, k), "classes")
     entries = texts.mapInArrow(_entries(k, percent), "key long, class long, n int")
     pairs = entries.repartition("key").mapInArrow(_anchor, "anchor long, class long, n long")
-    groups = stage(pairs.distinct(), "groups")
+    found = stage(pairs.distinct(), "anchors")
+    release(docs.sparkSession)
+    whole = components(found.select(F.col("anchor").alias("a"), F.col("class").alias("b")))
+    members_of = found.select("class", "n").distinct().join(whole, "class", "left").select(F.coalesce("label", "class").alias("label"), "class", "n")
+    small = members_of.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("size")).filter((F.col("sets") <= GROUP_SETS) & (F.col("size") <= GROUP_SHINGLES)).select("label")
+    as_one = stage(members_of.join(small, "label").select(F.col("label").alias("anchor"), "class", "n"), "small-groups")
+    groups = stage(as_one.unionByName(found.join(as_one.select("class"), "class", "left_anti").select("anchor", "class", "n")), "groups")
     parts = groups.groupBy("anchor").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("class", "anchor"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -271,7 +280,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         edges, _ = links(table.column("class").to_numpy(), values, percent)
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    edges = units.join(sets, "class").groupBy("anchor", "i", "j").applyInArrow(solve, "a long, b long")
+    edges = stage(units.join(sets, "class").groupBy("anchor", "i", "j").applyInArrow(solve, "a long, b long"), "links")
+    release(docs.sparkSession)
     labels = components(edges)
     labelled = stage(members.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "labels")
     some = F.col("n_shingles") > 0

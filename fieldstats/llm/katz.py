@@ -49,7 +49,7 @@ from fieldstats.llm.text import U, mix, slices
 
 K = 5
 HOT = 1_000
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 PART_TOKENS = 2_000_000
 START = U(0x9D5B_31C7_04E2_A6F1)
 END = U(0x3E0F_7AC5_9912_D84B)
@@ -229,21 +229,21 @@ def _counted(shape: Shape):
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        rows = table.select(["block", "a", "b", "c", "d", "e", "f"]).to_pylist()
-        hs, ws, cs, lens = [], [], [], []
+        blocks = table.column("block").to_pylist()
+        rows = [{name: table.column(name)[i].as_buffer() for name in "abcdef"} for i in range(len(blocks))]  # views, not copies
+        lens = [r["c"].size // 8 for r in rows]
+        hs, ws, cs = [], [], []
         for r in rows:
-            m = len(r["b"]) // 12
-            h = np.frombuffer(r["b"][: 8 * m], U)
-            hs.append(np.repeat(h, unplanes(r["b"][8 * m :], np.uint32)))
+            m = r["b"].size // 12
+            hs.append(np.repeat(np.frombuffer(r["b"], U, m), unplanes(r["b"][8 * m :], np.uint32)))
             ws.append(np.frombuffer(r["c"], U))
             cs.append(unplanes(r["d"], np.uint32))
-            lens.append(len(ws[-1]))
-        h, w, c = np.concatenate(hs), np.concatenate(ws), np.concatenate(cs).astype(np.int64)
+        h, w, c = np.concatenate(hs), np.concatenate(ws), np.concatenate(cs)
         del hs, ws, cs
         order = np.lexsort((w, h))
         h, w, c = h[order], w[order], c[order]
         pair = runs(h, w)
-        ph, pw, pc = h[pair], w[pair], sums(c, pair)
+        ph, pw, pc = h[pair], w[pair], sums(c.astype(np.int64), pair)
         history = runs(ph)
         length = np.diff(np.append(history, len(ph)))
         is_hot, hot_count = shape.hot_at(ph[history])
@@ -255,12 +255,12 @@ def _counted(shape: Shape):
         known = (ch > 0) & (ph[history] != START)
         with np.errstate(divide="ignore"):
             seen = np.where(pc > 0, np.log10(pc) - np.log10(full[of_pair]), 0)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(order))))
+        back = np.empty(len(order), np.int32)
+        back[order] = np.repeat(np.arange(len(pair), dtype=np.int32), np.diff(np.append(pair, len(order))))
+        del h, w, c, order
         out, left, start = [], [], 0
-        for r, n in zip(rows, lens, strict=True):
-            docs = len(r["a"]) // 9
-            ids = np.frombuffer(r["a"][: 8 * docs], np.int64)
+        for block, r, n in zip(blocks, rows, lens, strict=True):
+            docs = r["a"].size // 9
             mine = np.repeat(back[start : start + n], unplanes(r["e"], np.uint32))
             start += n
             doc = unplanes(r["f"], np.uint16)
@@ -268,9 +268,9 @@ def _counted(shape: Shape):
             total = lambda x, doc=doc, docs=docs: np.bincount(doc, x, docs)
             by_count = np.bincount(doc.astype(np.int64) * (K + 2) + np.minimum(pc[mine], K + 1), minlength=docs * (K + 2)).astype(np.uint32)
             real = (ph[history] != START)[hist]
-            out.append((part, 0, r["block"], ids.tobytes() + r["a"][8 * docs :], total(base[hist]).tobytes(), total(seen[mine]).tobytes(), planes(total(known[hist]).astype(np.uint32)), planes(by_count), planes(total(real).astype(np.uint32)), None))
+            out.append((part, 0, block, r["a"].to_pybytes(), total(base[hist]).tobytes(), total(seen[mine]).tobytes(), planes(total(known[hist]).astype(np.uint32)), planes(by_count), planes(total(real).astype(np.uint32)), None))
             new = np.flatnonzero(pc[mine] == 0)
-            left.append((mine[new], (r["block"] << 16) + doc[new].astype(np.int64)))
+            left.append((mine[new], (block << 16) + doc[new].astype(np.int64)))
         held = np.flatnonzero(pc > 0)
         hh = runs(ph[held])
         n_of = np.bincount(np.minimum(pc[held], K + 2), minlength=K + 3)[1 : K + 2]
