@@ -10,9 +10,14 @@ form a class, and only classes are joined.
    content in both.  A set is entered in one list per position, named by the
    block's content; positions whose content differs are skipped unread.  The
    number of positions follows from the set's size range; a set near the upper
-   end of its range is also entered in the next one.  No threshold on list
-   length is needed, and a passage that many texts share fills no list unless it
-   makes up a whole block.
+   end of its range is also entered in the next one.  Blocks are made of the rare
+   shingles only, so that shared passages bring no sets together: leaving the same
+   shingles out of both sets adds no difference.  Empty blocks are not entered;
+   there are more blocks by the number of empty ones to expect, and of any linked
+   pair of which one set has no more than that an equal block is not empty.  Sets
+   with more empty blocks (their shingles are nearly all common) are entered a
+   second time with all their shingles, and under empty blocks too if there are
+   still as many.  Which shingles count as common changes the work, not the result.
 2. Groups.  In each list the members are tied to one of them, the anchor; pairs
    (anchor, member) are made distinct, so lists that bring the same sets
    together cost one entry.  Every linked pair has a common anchor.  Groups that
@@ -46,6 +51,8 @@ RANGE = 1.5
 GROUP_SETS = 1_024
 GROUP_SHINGLES = 1_000_000
 FILTER_BITS = 24
+COMMON_DOCS = 8
+COMMON_MOST = 1 << 19
 
 
 def size_starts(percent: int, up_to: int) -> np.ndarray:
@@ -57,9 +64,20 @@ def size_starts(percent: int, up_to: int) -> np.ndarray:
     return np.array(starts)
 
 
-def positions(range_end: np.ndarray, percent: int) -> np.ndarray:
-    """Blocks needed where both sizes are below range_end: one more than linked sets can differ in."""
-    return (100 - percent) * 2 * (range_end - 1) // (100 + percent) + 1
+def differences(range_end: np.ndarray, percent: int) -> np.ndarray:
+    """Most shingles in which linked sets below range_end can differ."""
+    return (100 - percent) * 2 * (range_end - 1) // (100 + percent)
+
+
+def positions(first: np.ndarray, range_end: np.ndarray, percent: int) -> np.ndarray:
+    """Blocks for a size range: more than the differences, plus the empty blocks to expect in its smallest sets."""
+    spoilt = differences(range_end, percent)
+    smallest = np.maximum(1, first * percent // 100)
+    out = spoilt + 1.0
+    for _ in range(20):
+        empty = out * np.exp(-smallest / out)
+        out = spoilt + 1 + np.where(spoilt > 0, empty + 3 * np.sqrt(empty), 0)
+    return np.ceil(out).astype(np.int64)
 
 
 class Sets:
@@ -74,8 +92,8 @@ class Sets:
             total = np.concatenate([np.zeros(1, U), np.cumsum(mix(self.hashes ^ U(0xA5A5A5A5)))])
             self.classes = fold(total[self.first[1:]] - total[self.first[:-1]], self.sizes.astype(U))
 
-    def entries(self, percent: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Key and text of each index list that the chosen texts are entered in."""
+    def entries(self, percent: int, chosen: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Key and text of each index list that the chosen texts are entered in; `common` holds frequent shingles in order."""
         if not len(chosen):
             return np.zeros(0, U), np.zeros(0, np.int64)
         starts = size_starts(percent, int(self.sizes[chosen].max()) * 3)
@@ -83,20 +101,38 @@ class Sets:
         also = self.sizes[chosen] * 100 // percent >= starts[own + 1]
         texts = np.concatenate([chosen, chosen[also]])
         ranges = np.concatenate([own, own[also] + 1])
-        count = positions(starts[ranges + 1], percent)
+        count = positions(starts, np.append(starts[1:], starts[-1]), percent)[ranges]
+        sure = count - differences(starts[ranges + 1], percent)  # so many blocks of linked sets are equal
         base = np.concatenate([[0], np.cumsum(count)])
         n = self.sizes[texts]
         row = np.repeat(np.arange(len(texts)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[texts], n)
         hashes = self.hashes[at]
         block = base[row] + ((hashes >> U(32)) * count[row].astype(U) >> U(32)).astype(np.int64)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, U), np.cumsum(mix(hashes + U(0x51ED2701)))])
-            ends = np.searchsorted(block, np.arange(base[-1] + 1))
-            content = total[ends[1:]] - total[ends[:-1]]
         owner = np.repeat(np.arange(len(texts)), count)
-        position = np.arange(base[-1]) - base[owner]
-        return fold(content, position.astype(U), ranges[owner].astype(U), np.diff(ends).astype(U)), texts[owner]
+        name = fold((np.arange(base[-1]) - base[owner]).astype(U), ranges[owner].astype(U))
+
+        def listed(keep: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Keys and sizes of all blocks, and the number of empty ones of each text."""
+            ends = np.searchsorted(block[keep], np.arange(base[-1] + 1))
+            with np.errstate(over="ignore"):
+                total = np.concatenate([np.zeros(1, U), np.cumsum(mix(hashes[keep] + U(0x51ED2701)))])
+                content = total[ends[1:]] - total[ends[:-1]]
+            held = np.diff(ends)
+            return fold(content, name, held.astype(U) + U(space << 32)), held, np.bincount(owner, held == 0, len(texts))
+
+        rare = np.ones(len(hashes), bool)
+        if common is not None and len(common):
+            rare = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes
+        keys, held, empty = listed(rare, 0)
+        kept = held > 0
+        out = [(keys[kept], texts[owner][kept])]
+        thin = empty >= sure
+        if thin.any():
+            keys, held, empty = listed(np.ones(len(hashes), bool), 1)
+            kept = thin[owner] & ((held > 0) | (empty >= sure)[owner])
+            out.append((keys[kept], texts[owner][kept]))
+        return np.concatenate([k for k, _ in out]), np.concatenate([t for _, t in out])
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
@@ -110,7 +146,31 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long")
 
 
-def _entries(k: int, percent: int):
+def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
+    """Shingles in at least COMMON_DOCS texts, the most frequent COMMON_MOST at most; each task counts its own, rare ones fall out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
+        for _, part in slices(batches):
+            new, n = np.unique(Sets(part, k).hashes, return_counts=True)
+            good = (n > 1) | np.isin(new, keys)
+            both, count = np.concatenate([keys, new[good]]), np.concatenate([counts, n[good]])
+            order = np.argsort(both, kind="stable")
+            both, count = both[order], count[order]
+            first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+            keys, counts = both[first], np.add.reduceat(count, first) if len(first) else count
+            if len(keys) > COMMON_MOST:
+                top = np.sort(np.argpartition(counts, -COMMON_MOST)[-COMMON_MOST:])
+                keys, counts = keys[top], counts[top]
+        good = counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array(keys[good].view(np.int64)), pa.array(counts[good])], ["shingle", "n"])
+
+    found = texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_DOCS)
+    rows = found.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).select("shingle").toArrow()
+    return np.sort(rows.column("shingle").to_numpy().view(U)) if rows.num_rows else np.zeros(0, U)
+
+
+def _entries(k: int, percent: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for _, texts in slices(batches):
@@ -120,7 +180,7 @@ def _entries(k: int, percent: int):
                 if (c := int(sets.classes[t])) not in sent:
                     sent.add(c)
                     chosen.append(t)
-            keys, owner = sets.entries(percent, np.array(chosen, np.int64))
+            keys, owner = sets.entries(percent, np.array(chosen, np.int64), common.value)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets.classes[owner].view(np.int64)), pa.array(sets.sizes[owner].astype(np.int32))], ["key", "class", "n"])
 
     return run
@@ -254,7 +314,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     members = stage(classes(docs, k), "classes")
-    entries = texts.mapInArrow(_entries(k, percent), "key long, class long, n int")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, k))  # at most COMMON_MOST numbers
+    entries = texts.mapInArrow(_entries(k, percent, common), "key long, class long, n int")
     pairs = entries.repartition("key").mapInArrow(_anchor, "anchor long, class long, n long")
     found = stage(pairs.distinct(), "anchors")
     release(docs.sparkSession)

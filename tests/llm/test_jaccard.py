@@ -60,6 +60,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize(("k", "percent", "small"), [(3, 90, False), (5, 80, False), (3, 90, True)])
 def test_components_equal_all_pairs(make_docs, monkeypatch, k, percent, small):
+    monkeypatch.setattr(jaccard, "COMMON_DOCS", 5 if k == 3 else 10**9)
     if small:  # groups are cut into parts
         monkeypatch.setattr(jaccard, "GROUP_SETS", 8)
     rows = corpus(7)
@@ -76,12 +77,12 @@ def test_linked_sets_share_a_list():
             inter = -(-percent * union // 100)
             tokens = rng.integers(0, 1 << 63, union, dtype=np.uint64)
             left = int(rng.integers(0, union - inter + 1))
-            keys = []
+            keys, common = [], np.sort(rng.choice(tokens, int(rng.integers(0, union + 1)), replace=False))
             for own in (tokens[: inter + left], np.concatenate([tokens[:inter], tokens[inter + left :]])):
                 sets = jaccard.Sets.__new__(jaccard.Sets)
                 sets.hashes, sets.text = np.sort(own), np.zeros(len(own), np.int64)
                 sets.sizes, sets.first = np.array([len(own)]), np.array([0, len(own)])
-                keys.append(set(sets.entries(percent, np.array([0]))[0].tolist()))
+                keys.append(set(sets.entries(percent, np.array([0]), common)[0].tolist()))
             assert keys[0] & keys[1]
 
 
