@@ -220,10 +220,9 @@ def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """Fixed-size bit table of the ids; a set bit may be shared, so it lets some others through and drops none."""
     slot = F.pmod(F.col("class"), F.lit(1 << FILTER_BITS))
-    words = ids.groupBy((slot / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(class, {1 << FILTER_BITS}) % 32 as int))")).alias("bits")).collect()
+    words = ids.groupBy((slot / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(class, {1 << FILTER_BITS}) % 32 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 5), np.int64)
-    for r in words:
-        out[r.word] = r.bits
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out
 
 
