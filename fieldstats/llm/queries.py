@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fieldstats.llm import decontaminate, encoding, jaccard, katz, language, quality_model, quality_rules, shards, token_counts, toxicity
+from fieldstats.llm import decontaminate, encoding, jaccard, katz, language, oracles, quality_model, quality_rules, shards, token_counts, toxicity
 from fieldstats.llm.store import load
 
 
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_jaccard_join": oracles.OP2, "op8_quality_rules": oracles.OP8}
