@@ -42,6 +42,7 @@ THRESHOLD = 0.8
 RADIUS = 19
 BLOCKS = 10
 CHUNK_BYTES = 16_000_000
+NO_ID = -(1 << 63)
 
 _WIDTHS = [64 // BLOCKS + (i < 64 % BLOCKS) for i in range(BLOCKS)]
 _STARTS = np.cumsum([0, *_WIDTHS[:-1]])
@@ -167,7 +168,7 @@ class Items:
 
 def chunks(benchmark: DataFrame) -> Iterator[Items]:
     """The benchmark in chunks of bounded size, one at a time on the driver."""
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").isNotNull())
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), "text").filter(F.col("text").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / CHUNK_BYTES))
     for i in range(n):
@@ -191,7 +192,7 @@ def _finder(shared):
         for batch, texts in slices(batches):
             found = sorted(shared.value.matches(texts))
             ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t, _, _, _ in found], pa.int64()), pa.array([int(shared.value.ids[i]) for _, i, _, _ in found], pa.int64()), pa.array([s for _, _, s, _ in found], pa.int64()), pa.array([x for _, _, _, x in found], pa.float64())], ["doc_id", "item_id", "first_word", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t, _, _, _ in found], pa.int64()), pa.array([None if shared.value.ids[i] == NO_ID else int(shared.value.ids[i]) for _, i, _, _ in found], pa.int64()), pa.array([s for _, _, s, _ in found], pa.int64()), pa.array([x for _, _, _, x in found], pa.float64())], ["doc_id", "item_id", "first_word", "similarity"])
 
     return run
 

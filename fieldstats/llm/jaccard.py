@@ -45,11 +45,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats.llm.store import release, stage
-from fieldstats.llm.text import Texts, U, distinct, fold, lists, mix, slices
+from fieldstats.llm.text import Texts, U, distinct, fold, lists, mix, slices, trim
 
 RANGE = 1.5
-GROUP_SETS = 1_024
-GROUP_SHINGLES = 1_000_000
+GROUP_SETS = 512
+GROUP_SHINGLES = 250_000
 FILTER_BITS = 24
 COMMON_DOCS = 8
 COMMON_MOST = 1 << 19
@@ -215,6 +215,7 @@ def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, rows = [], 0
     if held:
         yield step(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    trim()
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -338,6 +339,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         sizes = column.value_lengths().to_numpy()
         values = np.split(flat, np.cumsum(sizes)[:-1])
         edges, _ = links(table.column("class").to_numpy(), values, percent)
+        if len(flat) > 100_000:
+            trim()
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
     edges = stage(units.join(sets, "class").groupBy("anchor", "i", "j").applyInArrow(solve, "a long, b long"), "links")
@@ -350,6 +353,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each component."""
+    """docs with one document, that of the smallest doc_id, of each component.
+
+    Rows without doc_id cannot be told apart and stay; a row given twice under one
+    doc_id stays or goes as one document.
+    """
     kept = join(docs, k, percent).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -29,7 +29,7 @@ Tables kept: unigrams (word, n), bigrams by part, back-off weights by history.
 
 Defined cases: a null or empty text is one end token; repeated rows each count;
 a word of any length is one word; without training texts all mass is on the
-unknown word.  Words are told apart by 64-bit hashes.
+unknown word; a row without doc_id is scored but not learnt from.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats.llm.store import release, stage
-from fieldstats.llm.text import U, mix, slices
+from fieldstats.llm.text import U, mix, slices, trim
 
 K = 5
 HOT = 1_000
@@ -53,6 +53,7 @@ BLOCK_TOKENS = 1_000_000
 PART_TOKENS = 2_000_000
 START = U(0x9D5B_31C7_04E2_A6F1)
 END = U(0x3E0F_7AC5_9912_D84B)
+NO_ID = -(1 << 63)
 
 PACKED = "part int, kind int, block long, a binary, b binary, c binary, d binary, e binary, f binary, counts array<long>"
 _NAMES = ["part", "kind", "block", "a", "b", "c", "d", "e", "f", "counts"]
@@ -280,7 +281,10 @@ def _counted(shape: Shape):
         mine, ids = mine[order], ids[order]
         # the weight of a history without training counts is 1; such pairs are marked by the start mark
         out.append((part, 2, 0, np.where(ch[of_pair[mine]] > 0, ph[mine], START ^ U(1)).tobytes(), pw[mine].tobytes(), ids.tobytes(), None, None, None, None))
-        return pa.Table.from_batches([packed(out)])
+        done = pa.Table.from_batches([packed(out)])
+        del rows, out, ph, pw, pc, back, mine, ids
+        trim()
+        return done
 
     return run
 
@@ -410,7 +414,7 @@ class Model:
 def fit_and_score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> tuple[Model, DataFrame]:
     """Learn from the texts outside the held-out fold and score all texts."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text", trained(folds, held_out).alias("train"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.coalesce(trained(folds, held_out), F.lit(False)).alias("train"))
     words = stage(unigrams(rows), "unigrams")
     figures = words.agg(F.sum("n"), F.count("*"), *[F.count(F.when(F.col("n") == r, 1)) for r in range(1, K + 2)]).first()
     total, types = figures[0] or 0, figures[1]
@@ -447,7 +451,7 @@ def fit_and_score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> tuple[M
     discount = sum((F.element_at("by_count", r + 1) * float(np.log10(bi.factor[r])) for r in range(1, K + 1)), F.lit(0.0))
     n = F.col("words") + 1
     shares = texts.join(over, "text", "left")
-    scored = shares.select("doc_id", (~F.col("train")).alias("held_out"), n.alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + math.log10(ends + 0.5) - n * scale).alias("base_score"), (F.col("seen") + discount + F.coalesce("left", F.lit(0.0))).alias("score"))
+    scored = shares.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), (~F.col("train")).alias("held_out"), n.alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + math.log10(ends + 0.5) - n * scale).alias("base_score"), (F.col("seen") + discount + F.coalesce("left", F.lit(0.0))).alias("score"))
     return Model(words, bigrams, backoff, uni, bi, total, types, unknown), scored
 
 

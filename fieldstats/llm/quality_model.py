@@ -75,7 +75,7 @@ class Model:
 
     def score(self, texts: Texts) -> np.ndarray:
         buckets, text = word_buckets(texts)
-        total = np.bincount(text, self.table[buckets], texts.n)
+        total = np.bincount(text, self.table[buckets], texts.n).astype(float)
         count = np.bincount(text, minlength=texts.n)
         for n in NGRAMS:
             buckets, valid = gram_buckets(texts, n)
@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(texts))], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold_of() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

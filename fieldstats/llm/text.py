@@ -11,12 +11,15 @@ mix.  They depend on nothing but the bytes: no process seed, no batch borders.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
+
+_libc = ctypes.CDLL(None)
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -159,6 +162,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BA
         column = batch.column(batch.schema.get_field_index(text))
         for part, start in parts(texts_of(column), size):
             yield batch.slice(start, part.n), part
+    trim()
+
+
+def trim() -> None:
+    """Give freed work arrays back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def distinct(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
