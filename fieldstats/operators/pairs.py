@@ -17,12 +17,18 @@ from fieldstats.sources.points import axes
 
 #: Sets up to this size are joined by nested loop; a broadcast of that many points is a few MB.
 SMALL = 20_000
+MOST_TASKS = 256
 
 
 def _side(points: DataFrame, prefix: str, columns: list[str] | None = None) -> DataFrame:
     return points.select(*[F.col(c).alias(f"{prefix}_{c}") for c in columns or points.columns])
 
 
+def _spread(side: DataFrame) -> DataFrame:
+    """A small outer side of a nested loop over enough tasks to use the cores; its file alone may be one split."""
+    return side.repartition(min(MOST_TASKS, side.sparkSession.sparkContext.defaultParallelism))
+
+
 def separation(points: DataFrame, left: str = "a", right: str = "b", dims: list[str] | None = None) -> Column:
     dims = dims or axes(points)
     return euclidean([F.col(f"{left}_{c}") for c in dims], [F.col(f"{right}_{c}") for c in dims])
@@ -30,13 +36,13 @@ def separation(points: DataFrame, left: str = "a", right: str = "b", dims: list[
 
 def all_pairs(points: DataFrame) -> DataFrame:
     """a_*, b_*, d for each unordered pair, a_id < b_id."""
-    a, b = _side(points, "a"), _side(points, "b")
+    a, b = _spread(_side(points, "a")), _side(points, "b")
     return a.join(b, F.col("a_id") < F.col("b_id")).withColumn("d", separation(points))
 
 
 def cross_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """a_*, b_*, d for each pair of a left and a right point."""
-    return _side(left, "a").crossJoin(_side(right, "b")).withColumn("d", separation(left))
+    return _spread(_side(left, "a")).crossJoin(_side(right, "b")).withColumn("d", separation(left))
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, dims: list[str] | None = None) -> DataFrame:
@@ -100,7 +106,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, max_distance: float
 
     if max_distance is not None:
         return final(nearest(radius_join(ask, want, max_distance, dims).filter(apart), k))
-    everything = lambda part: nearest(_side(part, "a").join(F.broadcast(_side(want, "b")), apart).withColumn("d", separation(points, dims=dims)), k)
+    everything = lambda part: nearest(_spread(_side(part, "a")).join(F.broadcast(_side(want, "b")), apart).withColumn("d", separation(points, dims=dims)), k)
     if n <= SMALL:
         return final(everything(ask))
     volume = 1.0

@@ -509,6 +509,32 @@ def _(spark, sf_dir):
     return kriging.tiles(spark, (0.0, 0.0, 35.0, 20.0), 10.0, 0.1)
 
 
+@query("krige_score", "SELECT 1.0::DOUBLE AS r2")
+def _(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    return spark.createDataFrame([(round(kriging.ordinary(MODEL).fit(p).score(p), 6),)], "r2 double")
+
+
+@query("krige_parallel_tiles")
+def _(spark, sf_dir):
+    model = kriging.ordinary(MODEL).fit(pts(spark, sf_dir))
+    return rounded(kriging.predict_parallel(model, kriging.grid((-0.4, -0.4), (0.4, 0.4), 60, 60, spark), True, "spatial"), "prediction", "variance")
+
+
+@query("krige_anisotropic_fitted")
+def _(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    table = variogram.directional(p, [0.0, 30.0, 60.0, 90.0, 120.0, 150.0], 22.5, edges=EDGES)
+    model = kriging.anisotropic_from_directional(p, table, "exponential")
+    return rounded(model.fit(p).predict(grid_targets(spark), True), "prediction", "variance")
+
+
+@query("graph_sparsity", f"WITH {NEAR} SELECT round(1.0 - count(*)/(SELECT count(*)*count(*) FROM pts)::DOUBLE, 6)+0.0 AS sparsity FROM near WHERE d > 0 AND d <= 0.1")
+def _(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    return spark.createDataFrame([(round(pairing.sparsity(pairing.sparse_distances(p, max_distance=0.1), p.count()), 6),)], "sparsity double")
+
+
 # -- validation -------------------------------------------------------------
 
 
@@ -523,6 +549,12 @@ def _(spark, sf_dir):
     return rounded(validation.block_cv(pts(spark, sf_dir), (2, 2), fixed).rows, "value", "prediction", "residual")
 
 
+@query("leave_one_out")
+def _(spark, sf_dir):
+    fixed = lambda coords, values: MODEL
+    return rounded(validation.leave_one_out(pts(spark, sf_dir), fixed).rows, "value", "prediction", "residual")
+
+
 @query("spatial_kfold")
 def _(spark, sf_dir):
     fixed = lambda coords, values: MODEL
