@@ -48,8 +48,8 @@ from fieldstats.llm.store import release, stage
 from fieldstats.llm.text import Texts, U, distinct, fold, lists, mix, slices, trim
 
 RANGE = 1.5
-GROUP_SETS = 512
-GROUP_SHINGLES = 250_000
+GROUP_SETS = 2_048
+GROUP_SHINGLES = 500_000
 FILTER_BITS = 24
 COMMON_DOCS = 8
 COMMON_MOST = 1 << 19
