@@ -25,6 +25,18 @@ MAX_SAMPLES = 8_000
 SINGULAR = "Singular covariance matrix - check for duplicate points or poor conditioning"
 
 
+def lower_inverse(lower: np.ndarray, block: int = 128) -> np.ndarray:
+    """Inverse of a lower triangular matrix by halves, so that nearly all work is matrix products."""
+    n = len(lower)
+    if n <= block:
+        return np.tril(np.linalg.inv(lower))
+    h = n // 2
+    out = np.zeros_like(lower)
+    out[:h, :h], out[h:, h:] = lower_inverse(lower[:h, :h], block), lower_inverse(lower[h:, h:], block)
+    out[h:, :h] = -out[h:, h:] @ (lower[h:, :h] @ out[:h, :h])
+    return out
+
+
 @dataclass(frozen=True)
 class System:
     """A factorised kriging system."""
@@ -53,19 +65,24 @@ class System:
         c = models.cov(models.distances(coords, coords), model.model, model.nugget, model.sill, model.range)
         drift = models.design(coords, trend) if trend else np.zeros((len(coords), 0))
         m = drift.shape[1]
-        whole = np.block([[c, drift], [drift.T, np.zeros((m, m))]])
         try:
-            dual = np.linalg.solve(whole, np.concatenate([values - mean, np.zeros(m)]))
+            inverse = lower_inverse(np.linalg.cholesky(c))
         except np.linalg.LinAlgError:
-            raise ValueError(SINGULAR) from None
+            whole = np.block([[c, drift], [drift.T, np.zeros((m, m))]])
+            try:
+                dual = np.linalg.solve(whole, np.concatenate([values - mean, np.zeros(m)]))
+            except np.linalg.LinAlgError:
+                raise ValueError(SINGULAR) from None
+            if not np.isfinite(dual).all():
+                raise ValueError(SINGULAR) from None
+            return cls(coords, model, trend, mean, dual, None, None, None, whole)
+        whitened, z = inverse @ drift, inverse @ (values - mean)
+        gram = whitened.T @ whitened
+        mu = np.linalg.solve(gram, whitened.T @ z) if m else np.zeros(0)
+        dual = np.concatenate([inverse.T @ (z - whitened @ mu), mu])
         if not np.isfinite(dual).all():
             raise ValueError(SINGULAR)
-        try:
-            inverse = np.linalg.solve(np.linalg.cholesky(c), np.eye(len(c)))
-        except np.linalg.LinAlgError:
-            return cls(coords, model, trend, mean, dual, None, None, None, whole)
-        whitened = inverse @ drift
-        return cls(coords, model, trend, mean, dual, inverse, whitened, whitened.T @ whitened, None)
+        return cls(coords, model, trend, mean, dual, inverse, whitened, gram, None)
 
     def predict(self, targets: np.ndarray, variance: bool) -> tuple[np.ndarray, np.ndarray | None]:
         v = self.model
