@@ -1,11 +1,12 @@
 """Quality rules by cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, white space squeezed, as their word
-sequence) and hashed.  For each host the distinct documents that hold a line are
-counted; a line is frequent when more than `min_docs` documents and more than
-`max_share` of the host's documents hold it.  Frequent lines are removed, and a
-document with less than `min_left` of its words left is depleted.  Base rules on
-the text itself are computed in the same pass.
+sequence) and hashed.  For each host the documents that hold a line are counted;
+a line is frequent when more than `min_docs` of them hold it, however large the
+host.  A caller may ask for more than `max_share` of the host's documents besides;
+no share is asked for by default.  Frequent lines are removed, and a document with
+less than `min_left` of its words left is depleted.  Base rules on the text itself
+are computed in the same pass.
 
 Defined cases: a null or empty text has no lines and fails the base rules; a
 null host is a host of its own; a line repeated within one document counts once
@@ -25,7 +26,6 @@ from fieldstats.llm.store import stage
 from fieldstats.llm.text import Texts, U, fold, lists, mix, slices, span_hashes
 
 MIN_DOCS = 10
-MAX_SHARE = 0.005
 MIN_LEFT = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -99,15 +99,17 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(_measure, SCHEMA)
 
 
-def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host, line, n_docs of lines above both limits."""
+def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: float | None = None) -> DataFrame:
+    """host, line, n_docs of lines in more than min_docs documents of a host, and above the share if one is given."""
     lines = measured.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    if max_share is None:
+        return lines
     hosts = measured.groupBy("host").agg(F.count("*").alias("n_host"))
     same = lines["host"].eqNullSafe(hosts["host"])
     return lines.join(hosts, same).filter(F.col("n_docs") > max_share * F.col("n_host")).select(lines["host"], "line", "n_docs")
 
 
-def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float | None = None, min_left: float = MIN_LEFT) -> DataFrame:
     """Counts, words in removed lines, base verdict and final verdict of each document."""
     measured = stage(measure(docs, host), "lines")
     frequent = frequent_lines(measured, min_docs, max_share).select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("nil"), "line")
@@ -122,7 +124,7 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_s
 def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """docs without the rejected ones, and with frequent lines taken out of `text`."""
     verdicts = stage(judge(docs, host, **limits).select("doc_id", "kept"), "verdicts")
-    frequent = frequent_lines(measure(docs, host), limits.get("min_docs", MIN_DOCS), limits.get("max_share", MAX_SHARE))
+    frequent = frequent_lines(measure(docs, host), limits.get("min_docs", MIN_DOCS), limits.get("max_share"))
     lines = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.posexplode(F.split("text", "\n")).alias("at", "row")).mapInArrow(_hash_rows, "doc_id long, host string, at int, row string, line long")
     bad = frequent.select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("nil"), "line")
     kept = lines.withColumn("h", F.coalesce("host", F.lit(""))).withColumn("nil", F.col("host").isNull()).join(bad, ["h", "nil", "line"], "left_anti")

@@ -72,6 +72,16 @@ def test_lines_are_taken_out(make_docs):
     assert rules.judge(docs.limit(0)).count() == 0
 
 
+def test_an_absolute_count_is_enough_on_a_large_host(make_docs):
+    """11 documents of 2,400 hold the line: more than 10, less than half a percent."""
+    texts = [" ".join("x%d_%d" % (i, j) for j in range(60)) for i in range(2400)]
+    for i in range(11):
+        texts[i] += "\n" + "shared passage of the host " * 20
+    got = {r.doc_id: r for r in rules.judge(make_docs(texts)).collect()}
+    assert {i for i in got if got[i].removed_words} == set(range(11))
+    assert all(got[i].removed_words == 100 and not got[i].kept for i in range(11)) and got[11].kept
+
+
 def test_heap_takes_the_largest_first():
     assert shards.assign_heap([(5, "a"), (4, "b"), (3, "c"), (3, "d")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
 
