@@ -29,10 +29,16 @@ form a class, and only classes are joined.
    index lists of the shingles that one has and the other lacks are added or
    subtracted, all others are skipped.
 4. Components of the links, by star contraction over staged tables.
+5. Link counts, where asked for.  A linked pair of classes may meet under several
+   anchors and in several units; it is counted under the smallest common anchor
+   only, and there in the one unit of its two parts, so that counts add up without
+   a table of pairs.  Each set counts the copies of the other, and a document the
+   other copies of its own class.
 
 Defined cases: a null, empty or blank text has an empty set, links with nothing
 and is its own component; a text of fewer than k words is one shingle; ties and
-repeated rows are one class; a text of any length is taken whole.
+repeated rows are one class; a text of any length is taken whole.  For counts, rows
+of one doc_id and text are one document, and each row without doc_id is one.
 """
 
 from __future__ import annotations
@@ -270,23 +276,47 @@ def overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         yield y, rows[y]
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Edges that join each linked set to the smallest id of its component here, and the number of links of each set."""
+class Owner:
+    """Which pairs a unit counts: those without a smaller common anchor and, where two parts meet, those across them."""
+
+    def __init__(self, anchor: int, anchors: np.ndarray, sizes: np.ndarray, part: np.ndarray, across: bool) -> None:
+        earlier = anchors < anchor
+        member = np.repeat(np.arange(len(sizes)), sizes)[earlier]
+        names, code = np.unique(anchors[earlier], return_inverse=True)
+        several = np.bincount(code, minlength=len(names)) > 1
+        member, code = member[several[code]], (np.cumsum(several) - 1)[code[several[code]]]
+        self.bits = np.zeros((len(sizes), (int(several.sum()) + 7) // 8), np.uint8)
+        np.bitwise_or.at(self.bits, (member, code >> 3), (1 << (code & 7)).astype(np.uint8))
+        self.part, self.across = part, across
+
+    def __call__(self, one: int, others: np.ndarray) -> np.ndarray:
+        own = ~(self.bits[others] & self.bits[one]).any(1)
+        return own & (self.part[others] != self.part[one]) if self.across else own
+
+
+def links(ids: np.ndarray, sets: list[np.ndarray], percent: int, copies: np.ndarray | None = None, owner: Owner | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id of each set's component here, and its number of linked copies over the pairs that `owner` leaves to count."""
     order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, sets = ids[order], [sets[i] for i in order]
+    sets = [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets])
     root = np.arange(len(sets))
+    copies = np.ones(len(sets), np.int64) if copies is None else copies
     degree = np.zeros(len(sets), np.int64)
     for y, common in overlaps(sets):
         linked = np.flatnonzero(100 * common[:y] >= percent * (sizes[:y] + sizes[y] - common[:y]))
-        degree[y] += len(linked)
-        degree[linked] += 1
         if len(linked):
+            one, others = order[y], order[linked]
+            if owner is not None:
+                others = others[owner(one, others)]
+            degree[one] += copies[others].sum()
+            degree[others] += copies[one]
             joined = np.unique(np.append(root[linked], root[y]))
             root[np.isin(root, joined)] = joined[0]
     best = np.full(len(sets), np.iinfo(np.int64).max)
-    np.minimum.at(best, root, ids)
-    return [(int(a), int(b)) for a, b in zip(ids, best[root], strict=True) if a != b], degree
+    np.minimum.at(best, root, ids[order])
+    label = np.empty(len(sets), np.int64)
+    label[order] = best[root]
+    return label, degree
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -310,8 +340,8 @@ def _stars(edges: DataFrame) -> bool:
     return not several and not edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def join(docs: DataFrame, k: int = 5, percent: int = 80, counts: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; with counts also n_links, the number of documents linked to it."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     members = stage(classes(docs, k), "classes")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, k))  # at most COMMON_MOST numbers
@@ -328,9 +358,13 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     part = F.pmod(F.xxhash64("class", "anchor"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     units = groups.join(parts, "anchor").withColumn("part", part).withColumn("other", other)
-    units = units.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "class")
+    units = units.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "class", *(["part"] if counts else []))
     wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(groups.select("class")))
     sets = texts.mapInArrow(_sets(k, wanted), "class long, shingles array<long>").dropDuplicates(["class"])
+    if counts:
+        each = F.countDistinct("doc_id") + F.count_if(F.col("doc_id").isNull())
+        copies = stage(members.filter("n_shingles > 0").groupBy("class").agg(each.alias("copies")), "copies")
+        sets = sets.join(groups.groupBy("class").agg(F.collect_set("anchor").alias("anchors")), "class").join(copies, "class")
 
     def solve(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -338,18 +372,32 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         flat = column.flatten().to_numpy()
         sizes = column.value_lengths().to_numpy()
         values = np.split(flat, np.cumsum(sizes)[:-1])
-        edges, _ = links(table.column("class").to_numpy(), values, percent)
+        ids = table.column("class").to_numpy()
+        weights = owner = None
+        if counts:
+            weights, anchors = table.column("copies").to_numpy(), table.column("anchors").combine_chunks()
+            i, j, anchor = (table.column(name)[0].as_py() for name in ("i", "j", "anchor"))
+            owner = Owner(anchor, anchors.flatten().to_numpy(), anchors.value_lengths().to_numpy(), table.column("part").to_numpy(), i != j)
+        label, degree = links(ids, values, percent, weights, owner)
         if len(flat) > 100_000:
             trim()
-        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+        kept = (label != ids) | (degree > 0) if counts else label != ids
+        columns = {"a": ids, "b": label} | ({"n": degree} if counts else {})
+        return pa.table({name: pa.array(x[kept], pa.int64()) for name, x in columns.items()})
 
-    edges = stage(units.join(sets, "class").groupBy("anchor", "i", "j").applyInArrow(solve, "a long, b long"), "links")
+    schema = "a long, b long, n long" if counts else "a long, b long"
+    edges = stage(units.join(sets, "class").groupBy("anchor", "i", "j").applyInArrow(solve, schema), "links")
     release(docs.sparkSession)
     labels = components(edges)
+    if counts:
+        degrees = edges.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
+        n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
+        labels = stage(copies.join(degrees, "class", "left").join(labels, "class", "left").select("class", "label", n_links.alias("n_links")), "counts")
     labelled = stage(members.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "labels")
     some = F.col("n_shingles") > 0
+    linked = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if counts else []
     smallest = labelled.filter(some).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return labelled.filter(some).join(smallest, "label").select("doc_id", "n_shingles", "component_id").unionByName(labelled.filter(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return labelled.filter(some).join(smallest, "label").select("doc_id", "n_shingles", "component_id", *linked).unionByName(labelled.filter(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *linked))
 
 
 def dedupe(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -20,6 +20,9 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c::BIGINT AS component_
 FROM documents LEFT JOIN n USING (doc_id) JOIN m ON m.id = doc_id
 """
 
+#: OP2 with the number of links of each document.
+OP2_LINKS = OP2.replace("AS component_id", "AS component_id, coalesce(k.n, 0)::BIGINT AS n_links") + "LEFT JOIN (SELECT x AS doc_id, count(*) AS n FROM b GROUP BY 1) k USING (doc_id)\n"
+
 OP8 = f"""
 WITH t AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, regexp_extract_all(t, {_WORD}) AS w FROM t),

@@ -25,6 +25,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(load(spark, sf_dir, "documents"), 3, 90)
 
 
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op2_jaccard_join, whose columns are fixed, with each document's number of links."""
+    return jaccard.join(load(spark, sf_dir, "documents"), 3, 90, counts=True)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(load(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -70,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": oracles.OP2, "op8_quality_rules": oracles.OP8}
+    return {"op2_jaccard_join": oracles.OP2, "op2_jaccard_links": oracles.OP2_LINKS, "op8_quality_rules": oracles.OP8}

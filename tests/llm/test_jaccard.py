@@ -99,3 +99,32 @@ def test_dedupe_and_empty_tables(make_docs):
     assert sorted(r.doc_id for r in jaccard.dedupe(docs).collect()) == [0, 2, 3]
     assert jaccard.dedupe(docs).columns == docs.columns
     assert jaccard.join(docs.limit(0)).count() == 0
+
+
+def linked_documents(rows, k, percent):
+    """Number of documents linked to each document, over all pairs."""
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or (frozenset([tuple(w)]) if w else frozenset())
+    out = Counter(dict.fromkeys(sets, 0))
+    for x in sets:
+        for y in sets:
+            if x < y and sets[x] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
+                out.update([x, y])
+    return out
+
+
+@pytest.mark.parametrize("small", [2048, 8, 3])
+def test_link_counts_equal_all_pairs(make_docs, monkeypatch, small):
+    """Pairs that meet under several anchors and in several parts count once; copies count each."""
+    monkeypatch.setattr(jaccard, "COMMON_DOCS", 5)
+    monkeypatch.setattr(jaccard, "GROUP_SETS", small)
+    rows = corpus(11)
+    rows += [(len(rows) + i, t) for i, (_, t) in enumerate(rows[:60])]
+    got = {r.doc_id: r for r in jaccard.join(make_docs(rows), 3, 90, counts=True).collect()}
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == plain(rows, 3, 90)
+    wanted = linked_documents(rows, 3, 90)
+    assert max(wanted.values()) > 20 and {d: r.n_links for d, r in got.items()} == wanted
+    twice = jaccard.join(make_docs([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, None)]), 3, 90, counts=True)
+    assert {(r.doc_id, r.n_links) for r in twice.collect()} == {(1, 2), (2, 2), (None, 2), (3, 0)}
