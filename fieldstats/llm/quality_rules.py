@@ -10,7 +10,9 @@ are computed in the same pass.
 
 Defined cases: a null or empty text has no lines and fails the base rules; a
 null host is a host of its own; a line repeated within one document counts once
-for the limits and is removed every time.  Empty tables give empty results.
+for the limits and is removed every time.  Rows of one doc_id count as one document
+for the limits and are judged each by itself; a row without doc_id is a document of
+its own.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
 
-SCHEMA = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+SCHEMA = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
 def line_words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,21 +92,22 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
         at = np.flatnonzero(new)
         n = np.add.reduceat(n, at) if len(at) else n
-        columns = [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), *(pa.array(base[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), lists(hashes[at], text[at], texts.n, pa.int64()), lists(n.astype(np.int32), text[at], texts.n, pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"])
+        columns = [batch.column(0), batch.column(1).cast(pa.int64()), batch.column(2).cast(pa.string()), *(pa.array(base[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), lists(hashes[at], text[at], texts.n, pa.int64()), lists(n.astype(np.int32), text[at], texts.n, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"])
 
 
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Base counts and the distinct line hashes of each document."""
-    return docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(_measure, SCHEMA)
+    """Base counts and the distinct line hashes of each row, which `row` names for as long as the table is not read again."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(_measure, SCHEMA)
 
 
 def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: float | None = None) -> DataFrame:
     """host, line, n_docs of lines in more than min_docs documents of a host, and above the share if one is given."""
-    lines = measured.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    lines = measured.select("host", F.coalesce("doc_id", "row").alias("document"), F.col("doc_id").isNull().alias("nameless"), F.explode("lines").alias("line"))
+    lines = lines.groupBy("host", "line").agg(F.countDistinct("document", "nameless").alias("n_docs")).filter(F.col("n_docs") > min_docs)
     if max_share is None:
         return lines
-    hosts = measured.groupBy("host").agg(F.count("*").alias("n_host"))
+    hosts = measured.groupBy("host").agg((F.countDistinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("n_host"))
     same = lines["host"].eqNullSafe(hosts["host"])
     return lines.join(hosts, same).filter(F.col("n_docs") > max_share * F.col("n_host")).select(lines["host"], "line", "n_docs")
 
@@ -113,10 +116,10 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_s
     """Counts, words in removed lines, base verdict and final verdict of each document."""
     measured = stage(measure(docs, host), "lines")
     frequent = frequent_lines(measured, min_docs, max_share).select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("nil"), "line")
-    held = measured.select("doc_id", F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("nil"), F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("doc_id", "h", "nil", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
-    removed = held.join(frequent, ["h", "nil", "line"]).groupBy("doc_id").agg(F.sum("n").alias("removed"))
+    held = measured.select("row", F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("nil"), F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "h", "nil", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
+    removed = held.join(frequent, ["h", "nil", "line"]).groupBy("row").agg(F.sum("n").alias("removed"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = measured.drop("lines", "line_words").join(removed, "doc_id", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0))).drop("removed")
+    out = measured.drop("lines", "line_words").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0))).drop("removed", "row")
     left = F.col("n_words") - F.col("removed_words")
     return out.withColumn("base_failed", base).withColumn("kept", ~base & (left >= min_left * F.col("n_words")))
 

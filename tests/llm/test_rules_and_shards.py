@@ -82,6 +82,20 @@ def test_an_absolute_count_is_enough_on_a_large_host(make_docs):
     assert all(got[i].removed_words == 100 and not got[i].kept for i in range(11)) and got[11].kept
 
 
+def test_repeated_rows_and_rows_without_an_id(make_docs):
+    own = lambda i: " ".join("x%d_%d" % (i, j) for j in range(60))
+    line = "passage of many documents " * 20
+    rows = [(0, own(0))] * 11  # one document, given eleven times
+    rows += [(i, own(i) + "\n" + line) for i in range(1, 10)] + [(None, own(10) + "\n" + line), (None, own(11) + "\n" + line)]
+    rows += [(20, own(20) + "\nshort one")] * 4 + [(i, own(i) + "\nshort one") for i in range(21, 35)]
+    got = rules.judge(make_docs(rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.removed_words, r.kept) for r in got if r.doc_id == 0} == {(0, True)}
+    assert [(r.removed_words, r.kept) for r in got if r.doc_id is None] == [(80, False)] * 2
+    assert {(r.removed_words, r.kept) for r in got if r.doc_id is not None and 0 < r.doc_id < 10} == {(80, False)}
+    assert {(r.removed_words, r.kept) for r in got if r.doc_id is not None and r.doc_id >= 20} == {(2, True)}
+
+
 def test_heap_takes_the_largest_first():
     assert shards.assign_heap([(5, "a"), (4, "b"), (3, "c"), (3, "d")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
 
