@@ -4,7 +4,9 @@ Evidence of a record: its text, the language its markup declares, the suffix of
 its address, and its host.
 
 - Text: naive Bayes over hashed byte trigrams (letters only, A-Z lower-cased),
-  fitted on a bounded sample of labelled documents.  The log likelihood is
+  fitted on a bounded sample of labelled documents: the languages are those of all
+  labelled documents (the MAX_LANGUAGES most frequent), and each has an equal share
+  of the sample, what it cannot fill going to the others.  The log likelihood is
   tempered to EVIDENCE trigrams at most, as neighbouring trigrams overlap.
 - Declared language and suffix: P(value | language), from the text posteriors
   of all records summed by a grouped aggregation, smoothed.
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldstats.llm.labelled import SAMPLE_BYTES, SAMPLE_ROWS
@@ -80,11 +82,38 @@ def trigrams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return (hashed * np.uint32(0x85EBCA77) >> np.uint32(32 - BITS)).astype(np.int64), owner[2:][same]
 
 
+def quotas(held: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows to take of each language: equal shares, what small languages leave going to larger ones; one row at least."""
+    out, left = {}, rows
+    for i, (name, n) in enumerate(sorted(held.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, max(1, left // (len(held) - i)))
+        left -= out[name]
+    return out
+
+
+def choose(usable: DataFrame, rows: int) -> tuple[DataFrame, list[str]]:
+    """The rows of smallest id hash of each label, by its quota, and all labels.
+
+    Rows far above their label's quota are left out by hash before they are ranked, so
+    that no task sees all rows of a label.
+    """
+    found = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
+    held = {r["label"]: r["count"] for r in found}
+    take = quotas(held, rows)
+    most = {name: (1 << 63) - 1 if 2 * q + 50 >= held[name] else int((2 * q + 50) / held[name] * (1 << 64)) - (1 << 63) for name, q in take.items()}
+    if not held:
+        return usable, []
+    of = lambda values: F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("label")]
+    near = usable.withColumn("_hash", F.xxhash64("doc_id")).filter(F.col("_hash") <= of(most))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("_hash", "doc_id"))
+    return near.withColumn("_rank", rank).filter(F.col("_rank") <= of(take)).drop("_hash", "_rank"), sorted(held)
+
+
 def fit_text(docs: DataFrame, language: str = "lang", held_out: int = 0, rows: int = SAMPLE_ROWS) -> TextModel:
     """Trigram tables from at most `rows` labelled texts of at most SAMPLE_BYTES bytes outside the held-out fold."""
     usable = docs.filter(F.col(language).isNotNull() & (fold_of() != held_out) & (F.octet_length("text").between(1, SAMPLE_BYTES)))
-    found = usable.select("doc_id", "text", F.col(language).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow().combine_chunks()
-    names = sorted(set(found.column("label").to_pylist()))[:MAX_LANGUAGES]
+    chosen, names = choose(usable.select("doc_id", "text", F.col(language).cast("string").alias("label")), rows)
+    found = chosen.toArrow().combine_chunks()
     counts = np.full((1 << BITS, len(names)), 0.5)
     labels = np.array([names.index(x) for x in found.column("label").to_pylist()], np.int64) if names else np.zeros(0, np.int64)
     if names:

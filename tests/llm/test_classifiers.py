@@ -94,6 +94,17 @@ def test_language_fusion(spark):
     assert {r.lang for r in language.identify(language.page_records(frame, none), none.languages).collect()} == {None}
 
 
+def test_rare_languages_are_learnt(spark):
+    rows = [(i, "word %d of the common language" % i, "en") for i in range(4000)] + [(i, "zyx qvw jkl " * 5, "xx") for i in range(4000, 4008)]
+    schema = "doc_id long, text string, lang string"
+    model = language.fit_text(spark.createDataFrame(rows, schema), rows=100)
+    assert model.languages == ["en", "xx"]
+    assert model.log_likelihood(texts_of(pa.array(["qvw jkl zyx", "the common word"]))).argmax(1).tolist() == [1, 0]
+    many = [(i, "text of language %d" % (i % 210), "l%03d" % (i % 210)) for i in range(2100)]
+    assert len(language.fit_text(spark.createDataFrame(many, schema)).languages) == language.MAX_LANGUAGES
+    assert language.quotas({"a": 3, "b": 1000, "c": 70}, 100) == {"a": 3, "c": 48, "b": 49}
+
+
 def test_markup():
     assert language.declared('<html class=x lang="EN-gb">') == "en"
     assert language.declared('<meta http-equiv="content-language" content="de">') == "de"
