@@ -18,9 +18,23 @@ form a class, and only classes are joined.
    with more empty blocks (their shingles are nearly all common) are entered a
    second time with all their shingles, and under empty blocks too if there are
    still as many.  Which shingles count as common changes the work, not the result.
-2. Groups.  In each list the members are tied to one of them, the anchor; pairs
-   (anchor, member) are made distinct, so lists that bring the same sets
-   together cost one entry.  Every linked pair has a common anchor.  Groups that
+   An entry also carries, for each of the CHAIN blocks after its own, PARITY bits of
+   parities and whether it is filled.  Parities of two sets differ in at most as many
+   bits as their blocks do in shingles, and of any linked pair with at most d differences
+   some equal block is such that, for every l, the l blocks from it on differ in at most
+   l * d / m shingles together, m being the number of blocks: a cycle of numbers has a
+   start from which no sum exceeds its share of the whole.  Blocks empty in both sets
+   count as one difference, and raise d by their most, where they are not entered.
+   Sets that share a passage and little else fail this; hardly any list ties them.
+2. Groups.  In a list of at most LIST_PAIRS sets all pairs are held against the limits,
+   and what hangs together is tied to its first set.  A longer list has leaders: its first set, and each set that is not within the
+   limits above of a leader before it.  A set is tied to the leaders that are near
+   enough for some third set to be linked with it and within the limits of the leader
+   (differences add up at most; a block empty in leader and member stands for one
+   difference of each from a third set).  Of a linked pair, the set that first finds a
+   leader within the limits so has the other tied to it, and every linked pair has a
+   common leader, its anchor; pairs (anchor, member) are made distinct, so lists that bring the same sets together cost one entry.  A list with
+   more than MAX_LEADERS leaders ties what is left to one more.  Groups that
    overlap are one group if they stay small together; else each anchor's group
    stands for itself.  Groups above GROUP_SETS sets or GROUP_SHINGLES shingles are cut into parts, and each
    pair of parts is a unit of work of bounded size.
@@ -44,21 +58,29 @@ of one doc_id and text are one document, and each row without doc_id is one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldstats.llm.store import release, stage
-from fieldstats.llm.text import Texts, U, distinct, fold, lists, mix, slices, trim
+from fieldstats.llm.store import drop, join_keyed, stage
+from fieldstats.llm.text import Texts, U, distinct, fold, lists, mix, runs, slices, trim
 
 RANGE = 1.5
 GROUP_SETS = 2_048
 GROUP_SHINGLES = 500_000
-FILTER_BITS = 24
+FILTER_BITS = 27
+ENTRY = ["key", "class", "n", "sizes", "chain"]
 COMMON_DOCS = 8
 COMMON_MOST = 1 << 19
+CHAIN = 8
+PARITY = 7
+FILLED = np.uint8(1 << PARITY)
+MAX_LEADERS = 1_000
+LIST_ROWS = 500_000
+LIST_PAIRS = 64
 
 
 def size_starts(percent: int, up_to: int) -> np.ndarray:
@@ -76,14 +98,26 @@ def differences(range_end: np.ndarray, percent: int) -> np.ndarray:
 
 
 def positions(first: np.ndarray, range_end: np.ndarray, percent: int) -> np.ndarray:
-    """Blocks for a size range: more than the differences, plus the empty blocks to expect in its smallest sets."""
-    spoilt = differences(range_end, percent)
-    smallest = np.maximum(1, first * percent // 100)
-    out = spoilt + 1.0
-    for _ in range(20):
-        empty = out * np.exp(-smallest / out)
-        out = spoilt + 1 + np.where(spoilt > 0, empty + 3 * np.sqrt(empty), 0)
-    return np.ceil(out).astype(np.int64)
+    """Blocks for a size range: the fewest of which, in its smallest sets, more are filled than can differ.
+
+    Filled blocks are counted two deviations below their mean; where no number will do, that with most to spare.
+    """
+    spoilt = differences(range_end, percent)[:, None]
+    smallest = np.maximum(1, first * percent // 100)[:, None]
+    blocks = np.ceil((spoilt + 1) * np.linspace(1, 4, 61))
+    empty = np.exp(-smallest / blocks)
+    spread = np.sqrt(np.maximum(0, blocks * empty * (1 - (1 + smallest / blocks) * empty)))
+    spare = blocks * (1 - empty) - 2 * spread - spoilt - 1
+    spare[:, 0] = np.where(spoilt[:, 0] == 0, 0, spare[:, 0])
+    at = np.where((spare >= 0).any(1), (spare >= 0).argmax(1), spare.argmax(1))
+    return blocks[np.arange(len(at)), at].astype(np.int64)
+
+
+def ranges(percent: int, up_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First size, number of blocks and most differences of each size range."""
+    starts = size_starts(percent, up_to)
+    ends = np.append(starts[1:], starts[-1])
+    return starts, positions(starts, ends, percent), differences(ends, percent)
 
 
 class Sets:
@@ -98,17 +132,17 @@ class Sets:
             total = np.concatenate([np.zeros(1, U), np.cumsum(mix(self.hashes ^ U(0xA5A5A5A5)))])
             self.classes = fold(total[self.first[1:]] - total[self.first[:-1]], self.sizes.astype(U))
 
-    def entries(self, percent: int, chosen: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Key and text of each index list that the chosen texts are entered in; `common` holds frequent shingles in order."""
+    def entries(self, percent: int, chosen: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Key, text, size range and parities of each index list that the chosen texts are entered in; `common` holds frequent shingles in order."""
         if not len(chosen):
-            return np.zeros(0, U), np.zeros(0, np.int64)
-        starts = size_starts(percent, int(self.sizes[chosen].max()) * 3)
+            return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, U)
+        starts, blocks, most = ranges(percent, int(self.sizes[chosen].max()) * 3)
         own = np.searchsorted(starts, self.sizes[chosen], "right") - 1
         also = self.sizes[chosen] * 100 // percent >= starts[own + 1]
         texts = np.concatenate([chosen, chosen[also]])
-        ranges = np.concatenate([own, own[also] + 1])
-        count = positions(starts, np.append(starts[1:], starts[-1]), percent)[ranges]
-        sure = count - differences(starts[ranges + 1], percent)  # so many blocks of linked sets are equal
+        sizes = np.concatenate([own, own[also] + 1])
+        count = blocks[sizes]
+        sure = count - most[sizes]  # so many blocks of linked sets are equal
         base = np.concatenate([[0], np.cumsum(count)])
         n = self.sizes[texts]
         row = np.repeat(np.arange(len(texts)), n)
@@ -116,29 +150,46 @@ class Sets:
         hashes = self.hashes[at]
         block = base[row] + ((hashes >> U(32)) * count[row].astype(U) >> U(32)).astype(np.int64)
         owner = np.repeat(np.arange(len(texts)), count)
-        name = fold((np.arange(base[-1]) - base[owner]).astype(U), ranges[owner].astype(U))
+        place = np.arange(base[-1]) - base[owner]
+        name = fold(place.astype(U), sizes[owner].astype(U))
+
+        one = np.uint8(1) << (hashes % U(PARITY)).astype(np.uint8)
 
-        def listed(keep: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Keys and sizes of all blocks, and the number of empty ones of each text."""
+        def listed(keep: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Keys, sizes and parities of all blocks, and the number of empty ones of each text."""
             ends = np.searchsorted(block[keep], np.arange(base[-1] + 1))
             with np.errstate(over="ignore"):
                 total = np.concatenate([np.zeros(1, U), np.cumsum(mix(hashes[keep] + U(0x51ED2701)))])
                 content = total[ends[1:]] - total[ends[:-1]]
+            odd = np.concatenate([np.zeros(1, np.uint8), np.bitwise_xor.accumulate(one[keep])])
             held = np.diff(ends)
-            return fold(content, name, held.astype(U) + U(space << 32)), held, np.bincount(owner, held == 0, len(texts))
+            parity = (odd[ends[1:]] ^ odd[ends[:-1]]) | np.where(held > 0, FILLED, 0).astype(np.uint8)
+            return fold(content, name, held.astype(U) + U(space << 32)), held, parity, np.bincount(owner, held == 0, len(texts))
+
+        def chains(parity: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Parities of the blocks after each of `at`, in a ring, one byte each; none comes twice, what is missing differs in nothing."""
+            out = np.empty((len(at), CHAIN), np.uint8)
+            mine, first, ring = place[at], base[owner[at]], count[owner[at]]
+            for t in range(1, CHAIN + 1):
+                follows = mine + t
+                out[:, t - 1] = np.where(t < ring, parity[first + np.where(follows >= ring, np.maximum(follows - ring, 0) % ring, follows)], FILLED)
+            return out.view(U).ravel()
 
         rare = np.ones(len(hashes), bool)
         if common is not None and len(common):
             rare = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes
-        keys, held, empty = listed(rare, 0)
-        kept = held > 0
-        out = [(keys[kept], texts[owner][kept])]
+        keys, held, parity, empty = listed(rare, 0)
+        kept = np.flatnonzero(held > 0)
+        out = [(keys[kept], owner[kept], chains(parity, kept))]
         thin = empty >= sure
         if thin.any():
-            keys, held, empty = listed(np.ones(len(hashes), bool), 1)
-            kept = thin[owner] & ((held > 0) | (empty >= sure)[owner])
-            out.append((keys[kept], texts[owner][kept]))
-        return np.concatenate([k for k, _ in out]), np.concatenate([t for _, t in out])
+            keys, held, parity, empty = listed(np.ones(len(hashes), bool), 1)
+            bare = (empty >= sure)[owner]
+            kept = np.flatnonzero(thin[owner] & ((held > 0) | bare))
+            parity = np.where(bare, parity | FILLED, parity)  # empty blocks of these are entered, so they do not count
+            out.append((keys[kept], owner[kept], chains(parity, kept)))
+        keys, owner, chain = (np.concatenate(x) for x in zip(*out, strict=True))
+        return keys, texts[owner], sizes[owner].astype(np.int16), chain
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
@@ -186,49 +237,146 @@ def _entries(k: int, percent: int, common):
                 if (c := int(sets.classes[t])) not in sent:
                     sent.add(c)
                     chosen.append(t)
-            keys, owner = sets.entries(percent, np.array(chosen, np.int64), common.value)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets.classes[owner].view(np.int64)), pa.array(sets.sizes[owner].astype(np.int32))], ["key", "class", "n"])
+            keys, owner, sizes, chain = sets.entries(percent, np.array(chosen, np.int64), common.value)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets.classes[owner].view(np.int64)), pa.array(sets.sizes[owner].astype(np.int32)), pa.array(sizes), pa.array(chain.view(np.int64))], ENTRY)
 
     return run
 
 
-def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tie each class to the first class seen under the same key; what is kept is one class for each key."""
-    keys, anchors, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def step(k: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        nonlocal keys, anchors, sizes
-        all_k, all_c, all_n = np.concatenate([keys, k]), np.concatenate([anchors, c]), np.concatenate([sizes, n])
-        order = np.argsort(all_k, kind="stable")  # what is kept comes first among equals
-        all_k, all_c, all_n = all_k[order], all_c[order], all_n[order]
-        new = np.ones(len(all_k), bool)
-        new[1:] = all_k[1:] != all_k[:-1]
-        at = np.flatnonzero(new)
-        keys, anchors, sizes = all_k[at], all_c[at], all_n[at]
-        of = np.repeat(at, np.diff(np.append(at, len(all_k))))
-        hit = np.flatnonzero(all_c != all_c[of])
-        hit = hit[np.unique(fold(all_c[of[hit]].view(U), all_c[hit].view(U)), return_index=True)[1]] if len(hit) else hit
-        anchor, anchor_n, member, n = all_c[of[hit]], all_n[of[hit]].astype(np.int64), all_c[hit], all_n[hit].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchor, anchor])), pa.array(np.concatenate([anchor, member])), pa.array(np.concatenate([anchor_n, n]))], ["anchor", "class", "n"])
-
-    held: list[list[np.ndarray]] = []
-    rows = 0
-    for batch in batches:
-        held.append([batch.column(i).to_numpy() for i in range(3)])
-        rows += batch.num_rows
-        if rows >= 500_000:
-            yield step(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held, rows = [], 0
-    if held:
-        yield step(*(np.concatenate(x) for x in zip(*held, strict=True)))
-    trim()
+@dataclass
+class Entries:
+    """Rows of index lists, in the order of their keys."""
+
+    key: np.ndarray
+    classes: np.ndarray
+    n: np.ndarray
+    sizes: np.ndarray
+    chain: np.ndarray
+
+    def columns(self, rows=slice(None)) -> list[np.ndarray]:
+        return [self.key[rows], self.classes[rows], self.n[rows], self.sizes[rows], self.chain[rows]]
+
+    def near(self, rows: np.ndarray, leaders: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows are within the limits of their leader, and which may be linked with a row that is."""
+        _, blocks, most = ranges(percent, int(self.n.max(initial=1)) * 3)
+        one, two = (self.chain[x].view(np.uint8).reshape(-1, CHAIN) for x in (rows, leaders))
+        differ = np.maximum(np.bitwise_count((one ^ two) & ~FILLED), (one ^ two) >> PARITY)
+        empty = (~(one | two)) >> PARITY
+        small, large = (f(self.n[rows], self.n[leaders]).astype(np.int64) for f in (np.minimum, np.maximum))
+        m = blocks[self.sizes[rows]]
+        spare = m - most[self.sizes[rows]] - 1  # most blocks that are empty in both
+        length = np.arange(2, CHAIN + 2)
+        limit = length * ((100 - percent) * (small + large) // (100 + percent) + spare)[:, None] // m[:, None]
+        within = (np.cumsum(differ + empty, axis=1) <= limit).all(1) & (100 * small >= percent * large)
+        third = small * 100 // percent  # the largest set linked with both
+        limit = length * ((100 - percent) * (small + large + 2 * third) // (100 + percent) + 2 * spare)[:, None] // m[:, None]
+        return within, (np.cumsum(differ + 2 * empty, axis=1) <= limit).all(1) & (10_000 * small >= percent**2 * large)
+
+    def ties(self, percent: int, goes_on: tuple[bool, bool] = (False, False)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of anchor and member of each tie, and which rows are leaders; goes_on: whether the first list has rows before these, the last one rows after them."""
+        first = runs(self.key)
+        length = np.diff(np.append(first, len(self.key)))
+        long = length > LIST_PAIRS
+        long[:1] |= goes_on[0]
+        long[-1:] |= goes_on[1]
+        anchor, member = self.alike(first[~long], length[~long], percent)
+        anchors, members, leads = self.led(np.flatnonzero(np.repeat(long, length)), percent)
+        anchors, members = np.append(anchor, anchors), np.append(member, members)
+        other = self.classes[anchors] != self.classes[members]
+        return anchors[other], members[other], leads
+
+    def alike(self, first: np.ndarray, length: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """In whole lists, all pairs are held against the limits; what hangs together is tied to its first row."""
+        ones, others = [], []
+        for n in np.unique(length[length > 1]):
+            i, j = np.triu_indices(n, 1)
+            at = first[length == n]
+            for part in np.array_split(at, len(at) * len(i) // LIST_ROWS + 1):
+                one, other = ((part[:, None] + x).ravel() for x in (i, j))
+                within = (self.classes[one] == self.classes[other]) | self.near(one, other, percent)[0]
+                ones.append(one[within])
+                others.append(other[within])
+        if not ones:
+            return first[:0], first[:0]
+        one, other = np.concatenate(ones), np.concatenate(others)
+        names, code = np.unique(np.append(one, other), return_inverse=True)
+        one, other = code[: len(one)], code[len(one) :]
+        root, before = np.arange(len(names)), None
+        while before is None or (root != before).any():
+            before = root.copy()
+            least = np.minimum(root[one], root[other])
+            np.minimum.at(root, one, least)
+            np.minimum.at(root, other, least)
+            root = root[root]
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        return names[root[tied]], names[tied]
+
+    def led(self, left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ties to leaders.  One of every list is taken at a time, the first that no leader covers yet, and held against the others not yet covered."""
+        leads = np.zeros(len(self.key), bool)
+        anchors, members = [left[:0]], [left[:0]]
+        for turn in range(MAX_LEADERS + 1):
+            first = runs(self.key[left])
+            leads[left[first]] = True
+            of = np.repeat(left[first], np.diff(np.append(first, len(left))))
+            rest = of != left
+            member, leader = left[rest], of[rest]
+            if not len(member):
+                break
+            covered, tied = self.near(member, leader, percent) if turn < MAX_LEADERS else (np.ones(len(member), bool),) * 2
+            anchors.append(leader[tied])
+            members.append(member[tied])
+            left = member[~(covered | (self.classes[member] == self.classes[leader]))]
+        return np.concatenate(anchors), np.concatenate(members), leads
+
+
+def _anchor(percent: int):
+    """Ties of entries that come ordered by key.  A short list waits until it is whole; of a long one its leaders are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int16, np.int64)]
+        led = False
+
+        def step(held: list[list[np.ndarray]], last: bool) -> pa.RecordBatch:
+            nonlocal kept, led
+            rows = Entries(*(np.concatenate(x) for x in zip(kept, *held, strict=True)))
+            begun, open_list = led, rows.key == rows.key[-1] if len(rows.key) else np.zeros(0, bool)
+            if last:
+                open_list[:] = False
+            waits = open_list.any() and open_list.sum() <= LIST_PAIRS and not (begun and open_list.all())
+            if waits:
+                kept, led = rows.columns(open_list), False
+                rows = Entries(*rows.columns(~open_list))
+            anchor, member, leads = rows.ties(percent, (begun, open_list.any() and not waits))
+            if not waits:
+                kept, led = rows.columns(leads & open_list), True
+            once = np.unique(fold(rows.classes[anchor].view(U), rows.classes[member].view(U)), return_index=True)[1]
+            anchor, member = anchor[once], member[once]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows.classes[anchor], rows.n[anchor], rows.classes[member], rows.n[member])], ["anchor", "anchor_n", "class", "n"])
+
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(i).to_numpy() for i in range(5)])
+            rows += batch.num_rows
+            if rows >= LIST_ROWS:
+                yield step(held, False)
+                held, rows = [], 0
+        yield step(held, True)
+        trim()
+
+    return run
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Fixed-size bit table of the ids; a set bit may be shared, so it lets some others through and drops none."""
-    slot = F.pmod(F.col("class"), F.lit(1 << FILTER_BITS))
-    words = ids.groupBy((slot / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(class, {1 << FILTER_BITS}) % 32 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.int64)
+    """Bit table of the ids, of 8 slots or more for each up to 2**FILTER_BITS; a slot may be shared, so it lets some others through and drops none."""
+    ids = ids.distinct()
+    bits = min(FILTER_BITS, max(16, (8 * ids.count()).bit_length()))
+    slot = F.pmod(F.col("class"), F.lit(1 << bits))
+    words = ids.groupBy((slot / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(class, {1 << bits}) % 32 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 5), np.uint32)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out
 
@@ -238,7 +386,7 @@ def _sets(k: int, shared):
         sent: set[int] = set()
         for _, texts in slices(batches):
             sets = Sets(texts, k)
-            slot = np.mod(sets.classes.view(np.int64), 1 << FILTER_BITS)
+            slot = np.mod(sets.classes.view(np.int64), 32 * len(shared.value))
             wanted = (shared.value[slot // 32] >> (slot % 32)) & 1
             chosen = [t for t in np.flatnonzero((wanted > 0) & (sets.sizes > 0)) if int(sets.classes[t]) not in sent]
             chosen = list({int(sets.classes[t]): t for t in chosen}.values())
@@ -327,10 +475,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = stage(large, "large")
+        drop(edges)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
         edges = stage(small, "small")
+        drop(large)
     return edges.select(F.col("a").alias("class"), F.col("b").alias("label"))
 
 
@@ -342,14 +492,18 @@ def _stars(edges: DataFrame) -> bool:
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, counts: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; with counts also n_links, the number of documents linked to it."""
+    context = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     members = stage(classes(docs, k), "classes")
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, k))  # at most COMMON_MOST numbers
-    entries = texts.mapInArrow(_entries(k, percent, common), "key long, class long, n int")
-    pairs = entries.repartition("key").mapInArrow(_anchor, "anchor long, class long, n long")
-    found = stage(pairs.distinct(), "anchors")
-    release(docs.sparkSession)
-    whole = components(found.select(F.col("anchor").alias("a"), F.col("class").alias("b")))
+    some = F.col("n_shingles") > 0
+    copies = F.countDistinct("doc_id") + F.count_if(F.col("doc_id").isNull()) if counts else F.lit(1)
+    own = members.filter(some).groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), copies.alias("copies"))
+    common = context.broadcast(common_shingles(texts, k))  # at most COMMON_MOST numbers
+    entries = texts.mapInArrow(_entries(k, percent, common), "key long, class long, n int, sizes smallint, chain long")
+    pairs = entries.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_anchor(percent), "anchor long, anchor_n int, class long, n int")
+    ties = stage(pairs.distinct(), "anchors")
+    found = ties.select("anchor", "class", "n").unionByName(ties.select("anchor", F.col("anchor").alias("class"), F.col("anchor_n").alias("n")).distinct())
+    whole = components(ties.select(F.col("anchor").alias("a"), F.col("class").alias("b")))
     members_of = found.select("class", "n").distinct().join(whole, "class", "left").select(F.coalesce("label", "class").alias("label"), "class", "n")
     small = members_of.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("size")).filter((F.col("sets") <= GROUP_SETS) & (F.col("size") <= GROUP_SHINGLES)).select("label")
     as_one = stage(members_of.join(small, "label").select(F.col("label").alias("anchor"), "class", "n"), "small-groups")
@@ -359,12 +513,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, counts: bool = False) -
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     units = groups.join(parts, "anchor").withColumn("part", part).withColumn("other", other)
     units = units.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "class", *(["part"] if counts else []))
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(groups.select("class")))
+    wanted = context.broadcast(_bitmap(groups.select("class")))
     sets = texts.mapInArrow(_sets(k, wanted), "class long, shingles array<long>").dropDuplicates(["class"])
     if counts:
-        each = F.countDistinct("doc_id") + F.count_if(F.col("doc_id").isNull())
-        copies = stage(members.filter("n_shingles > 0").groupBy("class").agg(each.alias("copies")), "copies")
-        sets = sets.join(groups.groupBy("class").agg(F.collect_set("anchor").alias("anchors")), "class").join(copies, "class")
+        own = stage(own, "copies")
+        sets = sets.join(groups.groupBy("class").agg(F.collect_set("anchor").alias("anchors")), "class").join(own.select("class", "copies"), "class")
 
     def solve(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -387,17 +540,20 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, counts: bool = False) -
 
     schema = "a long, b long, n long" if counts else "a long, b long"
     edges = stage(units.join(sets, "class").groupBy("anchor", "i", "j").applyInArrow(solve, schema), "links")
-    release(docs.sparkSession)
-    labels = components(edges)
+    for table in (ties, as_one, groups):
+        drop(table)
+    # one row for each class from here on, so that large classes weigh no more than others
+    own = own.join(components(edges), "class", "left").withColumn("label", F.coalesce("label", "class"))
     if counts:
         degrees = edges.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
-        n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
-        labels = stage(copies.join(degrees, "class", "left").join(labels, "class", "left").select("class", "label", n_links.alias("n_links")), "counts")
-    labelled = stage(members.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "labels")
-    some = F.col("n_shingles") > 0
-    linked = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if counts else []
-    smallest = labelled.filter(some).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return labelled.filter(some).join(smallest, "label").select("doc_id", "n_shingles", "component_id", *linked).unionByName(labelled.filter(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *linked))
+        own = own.join(degrees, "class", "left").withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
+    linked = ["n_links"] if counts else []
+    own = stage(own.select("class", "label", "first", "rows", *linked), "labels")
+    smallest = stage(own.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("held")).filter("held > 1"), "components")
+    own = join_keyed(own, smallest, "label", "held").withColumn("component_id", F.coalesce("component_id", "first"))
+    out = join_keyed(members.filter(some), stage(own.select("class", "component_id", "rows", *linked), "class-components"), "class", "rows")
+    alone = [F.lit(0).cast("long").alias("n_links")] if counts else []
+    return out.select("doc_id", "n_shingles", "component_id", *linked).unionByName(members.filter(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *alone))
 
 
 def dedupe(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -2,9 +2,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldstats.llm import jaccard
+from fieldstats.llm.text import texts_of
 
 
 def plain(rows, k, percent):
@@ -68,22 +70,77 @@ def test_components_equal_all_pairs(make_docs, monkeypatch, k, percent, small):
     assert got == plain(rows, k, percent)
 
 
+def entered(own, percent, common):
+    """Index entries of one set."""
+    sets = jaccard.Sets.__new__(jaccard.Sets)
+    sets.hashes, sets.text = np.sort(own), np.zeros(len(own), np.int64)
+    sets.sizes, sets.first = np.array([len(own)]), np.array([0, len(own)])
+    keys, _, sizes, chain = sets.entries(percent, np.array([0]), common)
+    order = np.argsort(keys)
+    return jaccard.Entries(keys[order].view(np.int64), np.full(len(keys), id(own)), np.full(len(keys), len(own), np.int32), sizes[order], chain[order].view(np.int64))
+
+
 def test_linked_sets_share_a_list():
-    """Any two sets at the threshold meet in at least one index list."""
+    """Any two sets at the threshold meet in at least one index list, within the limits of its parities."""
     rng = np.random.default_rng(1)
     for percent in (80, 90):
-        for _ in range(200):
-            union = int(rng.integers(1, 400))
+        for _ in range(400):
+            union = int(rng.integers(1, 600))
             inter = -(-percent * union // 100)
             tokens = rng.integers(0, 1 << 63, union, dtype=np.uint64)
             left = int(rng.integers(0, union - inter + 1))
-            keys, common = [], np.sort(rng.choice(tokens, int(rng.integers(0, union + 1)), replace=False))
-            for own in (tokens[: inter + left], np.concatenate([tokens[:inter], tokens[inter + left :]])):
-                sets = jaccard.Sets.__new__(jaccard.Sets)
-                sets.hashes, sets.text = np.sort(own), np.zeros(len(own), np.int64)
-                sets.sizes, sets.first = np.array([len(own)]), np.array([0, len(own)])
-                keys.append(set(sets.entries(percent, np.array([0]), common)[0].tolist()))
-            assert keys[0] & keys[1]
+            common = np.sort(rng.choice(tokens, int(rng.integers(0, union + 1)), replace=False))
+            one, two = (entered(x, percent, common) for x in (tokens[: inter + left], np.concatenate([tokens[:inter], tokens[inter + left :]])))
+            _, a, b = np.intersect1d(one.key, two.key, return_indices=True)
+            both = jaccard.Entries(*(np.concatenate(x) for x in zip(one.columns(a), two.columns(b), strict=True)))
+            within, tied = both.near(np.arange(len(a)), np.arange(len(a)) + len(a), percent)
+            assert within.any() and tied[within].all()
+
+
+def test_ties_lose_no_near_pair():
+    """Two entries of a list within the limits are both tied to one leader, however the list is cut into batches."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 12, dtype=np.uint64) & rng.integers(0, 1 << 64, 12, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 63, (400, 4)).astype(np.uint64)
+    chain = (base[rng.integers(0, 12, 400)] ^ np.bitwise_xor.reduce(np.where(rng.random((400, 4)) < 0.5, flips, np.uint64(0)), axis=1)).view(np.int64)
+    blocks = chain.view(np.uint8)
+    blocks[blocks < jaccard.FILLED] = 0  # an empty block has no parities
+    n = rng.integers(80, 100, 400).astype(np.int32)
+    sizes = np.full(400, np.searchsorted(jaccard.size_starts(80, 300), 80, "right") - 1, np.int16)
+    rows = jaccard.Entries(np.sort(rng.integers(0, 5, 400)), np.arange(400), n, sizes, chain)
+    table = pa.table(dict(zip(jaccard.ENTRY, rows.columns(), strict=True)))
+    for most, held, short in ((1_000, 1_000, 0), (1_000, 37, 0), (2, 1_000, 0), (2, 37, 0), (1_000, 1_000, 400), (1_000, 37, 400), (1_000, 37, 70), (2, 9, 12)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(jaccard, "LIST_PAIRS", short)
+            patch.setattr(jaccard, "MAX_LEADERS", most)
+            patch.setattr(jaccard, "LIST_ROWS", held)
+            leaders = defaultdict(set)
+            for batch in jaccard._anchor(80)(iter(table.to_batches(max_chunksize=held))):
+                for r in batch.to_pylist():
+                    leaders[r["class"]].add(r["anchor"])
+                    leaders[r["anchor"]].add(r["anchor"])
+            pairs = 0
+            for x in range(400):
+                others = np.flatnonzero((rows.key == rows.key[x]) & (rows.classes != x))
+                within, _ = rows.near(others, np.full(len(others), x), 80)
+                pairs += within.sum()
+                assert all(leaders[x] & leaders[y] for y in others[within])
+            assert pairs > 100
+
+
+def test_ties_of_unlike_sets_are_few():
+    """Texts of few words share many shingles by chance; their lists meet, but hardly any tie comes of it."""
+    rng = random.Random(5)
+    words = ["w%d" % i for i in range(40)]
+    texts = pa.array([" ".join(rng.choices(words, k=rng.randrange(40, 160))) for _ in range(10_000)])
+    sets = jaccard.Sets(texts_of(texts), 3)
+    names, counts = np.unique(sets.hashes, return_counts=True)
+    for least in (8, 16, 1 << 30):
+        keys, owner, sizes, chain = sets.entries(80, np.arange(10_000), names[counts >= least])
+        order = np.argsort(keys, kind="stable")
+        rows = jaccard.Entries(keys[order], owner[order], sets.sizes[owner[order]].astype(np.int32), sizes[order], chain[order])
+        met = len(order) - len(jaccard.runs(rows.key))
+        assert met > 1_000 and len(rows.ties(80)[0]) <= 0.05 * met
 
 
 def test_overlaps_equal_intersections():
