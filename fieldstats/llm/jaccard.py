@@ -34,7 +34,8 @@ form a class, and only classes are joined.
    difference of each from a third set).  Of a linked pair, the set that first finds a
    leader within the limits so has the other tied to it, and every linked pair has a
    common leader, its anchor; pairs (anchor, member) are made distinct, so lists that bring the same sets together cost one entry.  A list with
-   more than MAX_LEADERS leaders ties what is left to one more.  Groups that
+   more than MAX_LEADERS leaders ties what is left to one more.  Sets of a list that ties
+   connect have one anchor, so a list makes no more ties than it has members.  Groups that
    overlap are one group if they stay small together; else each anchor's group
    stands for itself.  Groups above GROUP_SETS sets or GROUP_SHINGLES shingles are cut into parts, and each
    pair of parts is a unit of work of bounded size.
@@ -245,16 +246,22 @@ def _entries(k: int, percent: int, common):
 
 @dataclass
 class Entries:
-    """Rows of index lists, in the order of their keys."""
+    """Rows of index lists, in the order of their keys; those with an anchor were leaders among the rows before."""
 
     key: np.ndarray
     classes: np.ndarray
     n: np.ndarray
     sizes: np.ndarray
     chain: np.ndarray
+    anchor: np.ndarray | None = None
+    anchor_n: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        if self.anchor is None:
+            self.anchor, self.anchor_n = np.zeros(len(self.key), np.int64), np.zeros(len(self.key), np.int32)
 
     def columns(self, rows=slice(None)) -> list[np.ndarray]:
-        return [self.key[rows], self.classes[rows], self.n[rows], self.sizes[rows], self.chain[rows]]
+        return [x[rows] for x in (self.key, self.classes, self.n, self.sizes, self.chain, self.anchor, self.anchor_n)]
 
     def near(self, rows: np.ndarray, leaders: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Which rows are within the limits of their leader, and which may be linked with a row that is."""
@@ -272,22 +279,43 @@ class Entries:
         limit = length * ((100 - percent) * (small + large + 2 * third) // (100 + percent) + 2 * spare)[:, None] // m[:, None]
         return within, (np.cumsum(differ + 2 * empty, axis=1) <= limit).all(1) & (10_000 * small >= percent**2 * large)
 
-    def ties(self, percent: int, goes_on: tuple[bool, bool] = (False, False)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of anchor and member of each tie, and which rows are leaders; goes_on: whether the first list has rows before these, the last one rows after them."""
+    def ties(self, percent: int, goes_on: tuple[bool, bool] = (False, False)) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of anchor and member of each tie; goes_on: whether the first list has rows before these, the last one rows after them.
+
+        What hangs together among these rows is tied to its first row.  A row that is tied
+        to leaders of before has their anchors too: `anchor` is set in those leaders and
+        in the new ones.
+        """
         first = runs(self.key)
         length = np.diff(np.append(first, len(self.key)))
         long = length > LIST_PAIRS
         long[:1] |= goes_on[0]
         long[-1:] |= goes_on[1]
-        anchor, member = self.alike(first[~long], length[~long], percent)
-        anchors, members, leads = self.led(np.flatnonzero(np.repeat(long, length)), percent)
-        anchors, members = np.append(anchor, anchors), np.append(member, members)
-        other = self.classes[anchors] != self.classes[members]
-        return anchors[other], members[other], leads
+        one, other, leads = self.led(np.flatnonzero(np.repeat(long, length)), percent)
+        old = self.anchor_n[one] > 0
+        before = one[old], other[old]
+        new_one, new_other = self.alike(first[~long], length[~long], percent)
+        root = connected(np.append(one[~old], new_one), np.append(other[~old], new_other), len(self.key))
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        new = leads & (self.anchor_n == 0)
+        self.anchor[new], self.anchor_n[new] = self.classes[root[new]], self.n[root[new]]
+        anchors, members = np.append(before[0], root[tied]), np.append(before[1], tied)
+        self.leads = leads
+        return anchors, members
+
+    def named(self, anchors: np.ndarray, members: np.ndarray) -> list[np.ndarray]:
+        """anchor, anchor_n, class and n of ties, each once and none of a class to itself."""
+        begun = self.anchor_n[anchors] > 0
+        anchor = np.where(begun, self.anchor[anchors], self.classes[anchors])
+        anchor_n = np.where(begun, self.anchor_n[anchors], self.n[anchors])
+        member = self.classes[members]
+        at = np.flatnonzero(anchor != member)
+        at = at[np.unique(fold(anchor[at].view(U), member[at].view(U)), return_index=True)[1]]
+        return [anchor[at], anchor_n[at], member[at], self.n[members][at]]
 
     def alike(self, first: np.ndarray, length: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """In whole lists, all pairs are held against the limits; what hangs together is tied to its first row."""
-        ones, others = [], []
+        """Pairs of rows within the limits, of whole lists of which all pairs are held against them."""
+        ones, others = [first[:0]], [first[:0]]
         for n in np.unique(length[length > 1]):
             i, j = np.triu_indices(n, 1)
             at = first[length == n]
@@ -296,20 +324,7 @@ class Entries:
                 within = (self.classes[one] == self.classes[other]) | self.near(one, other, percent)[0]
                 ones.append(one[within])
                 others.append(other[within])
-        if not ones:
-            return first[:0], first[:0]
-        one, other = np.concatenate(ones), np.concatenate(others)
-        names, code = np.unique(np.append(one, other), return_inverse=True)
-        one, other = code[: len(one)], code[len(one) :]
-        root, before = np.arange(len(names)), None
-        while before is None or (root != before).any():
-            before = root.copy()
-            least = np.minimum(root[one], root[other])
-            np.minimum.at(root, one, least)
-            np.minimum.at(root, other, least)
-            root = root[root]
-        tied = np.flatnonzero(root != np.arange(len(root)))
-        return names[root[tied]], names[tied]
+        return np.concatenate(ones), np.concatenate(others)
 
     def led(self, left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ties to leaders.  One of every list is taken at a time, the first that no leader covers yet, and held against the others not yet covered."""
@@ -324,35 +339,48 @@ class Entries:
             if not len(member):
                 break
             covered, tied = self.near(member, leader, percent) if turn < MAX_LEADERS else (np.ones(len(member), bool),) * 2
-            anchors.append(leader[tied])
-            members.append(member[tied])
-            left = member[~(covered | (self.classes[member] == self.classes[leader]))]
+            same = self.classes[member] == self.classes[leader]
+            anchors.append(leader[tied | same])
+            members.append(member[tied | same])
+            left = member[~(covered | same)]
         return np.concatenate(anchors), np.concatenate(members), leads
 
 
+def connected(one: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
+    """Smallest number reachable from each of 0 to n-1 by the pairs."""
+    root, before = np.arange(n), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        least = np.minimum(root[one], root[other])
+        np.minimum.at(root, root[one], least)
+        np.minimum.at(root, root[other], least)
+        np.minimum.at(root, one, least)
+        np.minimum.at(root, other, least)
+        root = root[root]
+    return root
+
+
 def _anchor(percent: int):
     """Ties of entries that come ordered by key.  A short list waits until it is whole; of a long one its leaders are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int16, np.int64)]
+        kept = Entries(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int16, np.int64)))
         led = False
 
         def step(held: list[list[np.ndarray]], last: bool) -> pa.RecordBatch:
             nonlocal kept, led
-            rows = Entries(*(np.concatenate(x) for x in zip(kept, *held, strict=True)))
-            begun, open_list = led, rows.key == rows.key[-1] if len(rows.key) else np.zeros(0, bool)
-            if last:
-                open_list[:] = False
-            waits = open_list.any() and open_list.sum() <= LIST_PAIRS and not (begun and open_list.all())
+            new = [np.concatenate(x) for x in zip(*held, strict=True)] if held else kept.columns(slice(0, 0))[:5]
+            rows = Entries(*(np.concatenate(x) for x in zip(kept.columns(), Entries(*new).columns(), strict=True)))
+            begun, goes_on = led, np.zeros(len(rows.key), bool) if last or not len(rows.key) else rows.key == rows.key[-1]
+            waits = goes_on.any() and goes_on.sum() <= LIST_PAIRS and not (begun and goes_on.all())
             if waits:
-                kept, led = rows.columns(open_list), False
-                rows = Entries(*rows.columns(~open_list))
-            anchor, member, leads = rows.ties(percent, (begun, open_list.any() and not waits))
+                kept, rows = Entries(*rows.columns(goes_on)), Entries(*rows.columns(~goes_on))
+            anchors, members = rows.ties(percent, (begun, bool(goes_on.any()) and not waits))
+            named = rows.named(anchors, members)
             if not waits:
-                kept, led = rows.columns(leads & open_list), True
-            once = np.unique(fold(rows.classes[anchor].view(U), rows.classes[member].view(U)), return_index=True)[1]
-            anchor, member = anchor[once], member[once]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows.classes[anchor], rows.n[anchor], rows.classes[member], rows.n[member])], ["anchor", "anchor_n", "class", "n"])
+                kept = Entries(*rows.columns(rows.leads & goes_on))
+            led = not waits
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in named], ["anchor", "anchor_n", "class", "n"])
 
         held: list[list[np.ndarray]] = []
         rows = 0
