@@ -17,8 +17,9 @@ n-grams (a row of three longs costs four times the bytes):
 
 A. Blocks of texts send, for each history, its followers with training counts
    and the texts they occur in to the history's part.  A part knows all counts
-   of its histories, so it adds up each text's share there and then; only
-   unseen pairs of held-out texts are left over.  Histories with more than
+   of its histories, so it adds up the share of each text that occurs in it there
+   and then; only unseen pairs of held-out texts are left over.  Shares are at most
+   as many as tokens, however many parts there are; ids go one way once a block.  Histories with more than
    1/HOT of all tokens, fewer than HOT by count, are spread over several parts by
    their follower; their counts come with the broadcast list of them.
 B. Parts ask the unigram table for the counts of the words they hold.
@@ -45,11 +46,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats.llm.store import release, stage
-from fieldstats.llm.text import U, mix, slices, trim
+from fieldstats.llm.text import U, mix, runs, slices, trim
 
 K = 5
 HOT = 1_000
 BLOCK_TOKENS = 1_000_000
+BLOCK_TEXTS = 20_000
 PART_TOKENS = 2_000_000
 START = U(0x9D5B_31C7_04E2_A6F1)
 END = U(0x3E0F_7AC5_9912_D84B)
@@ -71,15 +73,7 @@ def unplanes(data: bytes, kind) -> np.ndarray:
 
 
 def packed(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 10, _TYPES, strict=True)], _NAMES)
-
-
-def runs(*keys: np.ndarray) -> np.ndarray:
-    """First places of runs of equal keys."""
-    new = np.ones(len(keys[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 10, _TYPES, strict=True)], _NAMES)
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -187,7 +181,7 @@ def _blocks(shape: Shape):
         h = np.empty(n, U)
         h[1:], h[0] = w[:-1], START
         h[ends[:-1] + 1] = START
-        doc = np.repeat(np.arange(len(ids)), sizes + 1).astype(np.uint16)
+        doc = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes + 1)
         route = shape.route(h, w)
         order = np.lexsort((w, route))
         h, w, doc, route = h[order], w[order], doc[order], route[order]
@@ -196,15 +190,15 @@ def _blocks(shape: Shape):
         count = sums(train[doc].astype(np.int64), pair).astype(np.uint32)
         part = shape.part(route[pair])
         cuts = np.searchsorted(part, np.arange(shape.parts + 1))
-        rows = []
-        data = ids.tobytes() + train.tobytes()
+        rows = [(block % shape.parts, 6, block, ids.tobytes(), train.tobytes(), *[None] * 5)]
         for p in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[p], cuts[p + 1]
             at = pair[a:b]
             history = runs(h[at])
             length = np.diff(np.append(history, len(at))).astype(np.uint32)
             stop = pair[b] if b < len(pair) else n
-            rows.append((int(p), 0, block, data, h[at[history]].tobytes() + planes(length), w[at].tobytes(), planes(count[a:b]), planes(occurs[a:b]), planes(doc[at[0] : stop]), None))
+            names, local = np.unique(doc[at[0] : stop], return_inverse=True)
+            rows.append((int(p), 0, block, planes(names), h[at[history]].tobytes() + planes(length), w[at].tobytes(), planes(count[a:b]), planes(occurs[a:b]), planes(local.astype(np.uint16)), None))
         return packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,10 +207,16 @@ def _blocks(shape: Shape):
         size = texts_held = 0
         for batch, texts in slices(batches):
             words = texts.words()
-            held.append((batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), words.counts, words.hashes))
-            size += len(words.hashes)
-            texts_held += texts.n
-            if size > BLOCK_TOKENS or texts_held > 20_000:
+            for a in range(0, texts.n, BLOCK_TEXTS):
+                b = min(a + BLOCK_TEXTS, texts.n)
+                if held and texts_held + b - a > BLOCK_TEXTS:  # numbers of texts fit into 16 bits
+                    yield flush(block, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size, texts_held, block = [], 0, 0, block + 1
+                hashes = words.hashes[words.first[a] : words.first[b]]
+                held.append((batch.column(0).to_numpy()[a:b], batch.column(2).to_numpy(zero_copy_only=False)[a:b], words.counts[a:b], hashes))
+                size += len(hashes)
+                texts_held += b - a
+            if size > BLOCK_TOKENS:
                 yield flush(block, *(np.concatenate(x) for x in zip(*held, strict=True)))
                 held, size, texts_held, block = [], 0, 0, block + 1
         if held:
@@ -226,12 +226,17 @@ def _blocks(shape: Shape):
 
 
 def _counted(shape: Shape):
-    """Exchange A, receiving side: kinds 0 text sums, 1 bigram table, 2 left-over pairs."""
+    """Exchange A, receiving side: kinds 0 sums of the texts that occur in the part, 1 bigram table, 2 left-over pairs; 6 is handed on."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        blocks = table.column("block").to_pylist()
-        rows = [{name: table.column(name)[i].as_buffer() for name in "abcdef"} for i in range(len(blocks))]  # views, not copies
+        kind = table.column("kind").to_numpy()
+        named = table.take(np.flatnonzero(kind == 6)).cast(packed([]).schema)
+        at = np.flatnonzero(kind == 0)
+        if not len(at):
+            return named
+        blocks = [table.column("block")[i].as_py() for i in at]
+        rows = [{name: table.column(name)[i].as_buffer() for name in "abcdef"} for i in at]  # views, not copies
         lens = [r["c"].size // 8 for r in rows]
         hs, ws, cs = [], [], []
         for r in rows:
@@ -261,7 +266,8 @@ def _counted(shape: Shape):
         del h, w, c, order
         out, left, start = [], [], 0
         for block, r, n in zip(blocks, rows, lens, strict=True):
-            docs = r["a"].size // 9
+            docs = r["a"].size // 2
+            names = unplanes(r["a"], np.uint16)
             mine = np.repeat(back[start : start + n], unplanes(r["e"], np.uint32))
             start += n
             doc = unplanes(r["f"], np.uint16)
@@ -271,7 +277,7 @@ def _counted(shape: Shape):
             real = (ph[history] != START)[hist]
             out.append((part, 0, block, r["a"].to_pybytes(), total(base[hist]).tobytes(), total(seen[mine]).tobytes(), planes(total(known[hist]).astype(np.uint32)), planes(by_count), planes(total(real).astype(np.uint32)), None))
             new = np.flatnonzero(pc[mine] == 0)
-            left.append((mine[new], (block << 16) + doc[new].astype(np.int64)))
+            left.append((mine[new], (block << 16) + names[doc[new]].astype(np.int64)))
         held = np.flatnonzero(pc > 0)
         hh = runs(ph[held])
         n_of = np.bincount(np.minimum(pc[held], K + 2), minlength=K + 3)[1 : K + 2]
@@ -281,7 +287,7 @@ def _counted(shape: Shape):
         mine, ids = mine[order], ids[order]
         # the weight of a history without training counts is 1; such pairs are marked by the start mark
         out.append((part, 2, 0, np.where(ch[of_pair[mine]] > 0, ph[mine], START ^ U(1)).tobytes(), pw[mine].tobytes(), ids.tobytes(), None, None, None, None))
-        done = pa.Table.from_batches([packed(out)])
+        done = pa.concat_tables([pa.Table.from_batches([packed(out)]), named])
         del rows, out, ph, pw, pc, back, mine, ids
         trim()
         return done
@@ -388,13 +394,22 @@ def _left_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _text_sums(table: pa.Table) -> pa.Table:
     """Sums over all parts for the texts of one block."""
     rows = table.to_pylist()
-    docs = len(rows[0]["a"]) // 9
-    base, seen = (np.sum([np.frombuffer(r[x], np.float64) for r in rows], axis=0) for x in "bc")
-    known, real = (np.sum([unplanes(r[x], np.uint32).astype(np.int64) for r in rows], axis=0) for x in "df")
-    by_count = np.sum([unplanes(r["e"], np.uint32).astype(np.int64) for r in rows], axis=0).reshape(docs, K + 2)
+    name = next(r for r in rows if r["kind"] == 6)
+    ids, train = np.frombuffer(name["a"], np.int64), np.frombuffer(name["b"], np.uint8).astype(bool)
+    docs = len(ids)
+    base, seen = np.zeros(docs), np.zeros(docs)
+    known, real = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+    by_count = np.zeros((docs, K + 2), np.int64)
+    for r in rows:
+        if r["kind"] == 0:
+            at = unplanes(r["a"], np.uint16)  # each text once
+            base[at] += np.frombuffer(r["b"], np.float64)
+            seen[at] += np.frombuffer(r["c"], np.float64)
+            known[at] += unplanes(r["d"], np.uint32)
+            by_count[at] += unplanes(r["e"], np.uint32).reshape(-1, K + 2)
+            real[at] += unplanes(r["f"], np.uint32)
     counts = pa.ListArray.from_arrays(pa.array(np.arange(docs + 1, dtype=np.int32) * (K + 2)), pa.array(by_count.ravel()))
-    train = np.frombuffer(rows[0]["a"][8 * docs :], np.uint8).astype(bool)
-    return pa.table({"text": pa.array((rows[0]["block"] << 16) + np.arange(docs)), "doc_id": pa.array(np.frombuffer(rows[0]["a"][: 8 * docs], np.int64)), "train": pa.array(train), "base": pa.array(base), "seen": pa.array(seen), "known": pa.array(known), "words": pa.array(real), "by_count": counts})
+    return pa.table({"text": pa.array((name["block"] << 16) + np.arange(docs)), "doc_id": pa.array(ids), "train": pa.array(train), "base": pa.array(base), "seen": pa.array(seen), "known": pa.array(known), "words": pa.array(real), "by_count": counts})
 
 
 @dataclass
@@ -402,6 +417,7 @@ class Model:
     """Discounts, sizes and the staged tables of a fitted model."""
 
     unigrams: DataFrame
+    counted: DataFrame
     bigrams: DataFrame
     backoff: DataFrame
     uni: Discounts
@@ -444,7 +460,7 @@ def fit_and_score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> tuple[M
     over = finished.filter("kind = 5").mapInArrow(_left_histories, "history long, ids array<long>, n array<long>, p array<double>")
     over = over.join(backoff, "history", "left").select(F.coalesce(F.log10("weight"), F.lit(0.0)).alias("weight"), "ids", "n", "p")
     over = over.mapInArrow(_left_texts, "text long, left double").groupBy("text").agg(F.sum("left").alias("left"))
-    texts = counted.filter("kind = 0").groupBy("block").applyInArrow(_text_sums, "text long, doc_id long, train boolean, base double, seen double, known long, words long, by_count array<long>")
+    texts = counted.filter("kind in (0, 6)").groupBy("block").applyInArrow(_text_sums, "text long, doc_id long, train boolean, base double, seen double, known long, words long, by_count array<long>")
     ends = words.filter(F.col("word") == int(END.view(np.int64))).first()
     ends = ends.n if ends else 0
     scale = math.log10(total + 0.5 * (types + 1))
@@ -452,16 +468,8 @@ def fit_and_score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> tuple[M
     n = F.col("words") + 1
     shares = texts.join(over, "text", "left")
     scored = shares.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), (~F.col("train")).alias("held_out"), n.alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + math.log10(ends + 0.5) - n * scale).alias("base_score"), (F.col("seen") + discount + F.coalesce("left", F.lit(0.0))).alias("score"))
-    return Model(words, bigrams, backoff, uni, bi, total, types, unknown), scored
-
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(0).to_numpy().view(U)
-            part = ((mix(words) >> U(32)) * U(parts) >> U(32)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), batch.column(1)], ["part", "word", "n"])
+    return Model(words, counted, bigrams, backoff, uni, bi, total, types, unknown), scored
 
-    return run
 
 
 def _word_parts(parts: int):

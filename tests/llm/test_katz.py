@@ -89,6 +89,22 @@ def test_scores_equal_the_plain_model(make_docs, monkeypatch, block):
     assert model.types == len(plain.c)
 
 
+def test_shares_are_no_more_than_tokens(make_docs, monkeypatch):
+    """However many parts the histories are dealt over, a part answers only for texts that occur in it."""
+    docs = make_docs(corpus(3))
+    texts = [(r.doc_id, (r.text or "").split()) for r in docs.collect()]
+    found = {}
+    for tokens in (2_000_000, 10):
+        monkeypatch.setattr(katz, "PART_TOKENS", tokens)
+        model, scored = katz.fit_and_score(docs)
+        shares = model.counted.filter("kind = 0").selectExpr("sum(length(a)) / 2 AS n", "count(DISTINCT part) AS parts").first()
+        assert shares.n <= sum(len(w) + 1 for _, w in texts)
+        found[shares.parts] = {r.doc_id: (r.base_score, r.score) for r in scored.collect()}
+    (few, one), (many, two) = sorted(found.items())
+    assert few <= 8 < 30 < many
+    assert all(one[d] == pytest.approx(two[d], abs=1e-8) for d in one)
+
+
 def test_probabilities_sum_to_one():
     plain = Plain([(i, (t or "").encode().lower().split()) for i, t in enumerate(corpus(2))])
     for h in plain.alpha:
