@@ -5,6 +5,7 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,11 @@ def residuals_qq(rows: DataFrame, column: str = "residual") -> DataFrame:
     if n < 3:
         raise ValueError("at least 3 residuals are required")
     ranked = rows.select(F.col(column).alias("sample")).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sample")))
-    quantile = F.udf(lambda p: NormalDist().inv_cdf(p), "double")
+
+    @F.pandas_udf("double")
+    def quantile(p: pd.Series) -> pd.Series:
+        return p.map(NormalDist().inv_cdf)
+
     return ranked.withColumn("probability", (F.col("rank") - 0.5) / n).withColumn("theoretical", quantile("probability"))
 
 

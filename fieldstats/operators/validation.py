@@ -24,6 +24,8 @@ from fieldstats.sources.points import axes
 
 VariogramBuilder = Callable[[np.ndarray, np.ndarray], Variogram]
 PredictorBuilder = Callable[[Variogram], Kriging]
+#: Points of a cross-validation, which every task holds; a fold trains on 8,000 at most.
+MAX_POINTS = 20_000
 
 
 def lag_arrays(coords: np.ndarray, values: np.ndarray, n_bins: int, max_distance: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,8 +64,8 @@ class CrossValidation:
         return {"rmse": m.rmse, "r2": 1 - m.s / m.t if m.t else float("nan")}
 
 
-def _run(points: DataFrame, folds: list[tuple[int, np.ndarray, np.ndarray]], ids, coords, values, build, predictor) -> DataFrame:
-    """folds: number, members of the test set, members of the training set; without one the prediction is 0."""
+def _run(points: DataFrame, folds: list[tuple[int, np.ndarray]], ids, coords, values, build, predictor, least: int = 1) -> DataFrame:
+    """folds: number and members of the test set, all others being trained on; with fewer than `least` of those the prediction is 0."""
     spark = points.sparkSession
     shared = spark.sparkContext.broadcast((coords, values, ids, folds))
 
@@ -71,9 +73,10 @@ def _run(points: DataFrame, folds: list[tuple[int, np.ndarray, np.ndarray]], ids
         coords, values, ids, folds = shared.value
         for frame in frames:
             for i in frame["id"]:
-                number, test, train = folds[int(i)]
+                number, test = folds[int(i)]
                 out = np.zeros(len(test))
-                if len(train):
+                train = np.delete(np.arange(len(ids)), test)
+                if len(train) >= least:
                     model = predictor(build(coords[train], values[train])).fit_arrays(coords[train], values[train])
                     out = model.predict_arrays(coords[test])[0]
                 yield pd.DataFrame({"id": ids[test], "fold": np.int32(number), "value": values[test], "prediction": out, "residual": values[test] - out})
@@ -83,7 +86,9 @@ def _run(points: DataFrame, folds: list[tuple[int, np.ndarray, np.ndarray]], ids
 
 
 def _arrays(points: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = points.select("id", *axes(points), "value").orderBy("id").toPandas()
+    rows = points.select("id", *axes(points), "value").orderBy("id").limit(MAX_POINTS + 1).toPandas()
+    if len(rows) > MAX_POINTS:
+        raise ValueError(f"cross-validation takes at most {MAX_POINTS} points")
     return rows["id"].to_numpy(), rows[axes(points)].to_numpy(float), rows["value"].to_numpy(float)
 
 
@@ -92,8 +97,7 @@ def leave_one_out(points: DataFrame, build: VariogramBuilder | None = None, pred
     n = len(ids)
     if n < 3:
         raise ValueError("leave-one-out cross-validation requires at least 3 observations")
-    every = np.arange(n)
-    folds = [(i, np.array([i]), np.delete(every, i)) for i in range(n)]
+    folds = [(i, np.array([i])) for i in range(n)]
     return CrossValidation(_run(points, folds, ids, coords, values, build or default_variogram_builder(), predictor or default_kriging_builder()))
 
 
@@ -126,7 +130,7 @@ def spatial_kfold(points: DataFrame, n_splits: int = 5, seed: int | None = None,
     if len(ids) < max(n_splits, 3):
         raise ValueError(f"spatial k-fold cross-validation requires at least {max(n_splits, 3)} observations")
     labels = spatial_folds(coords, n_splits, seed)
-    folds = [(int(f), np.flatnonzero(labels == f), np.flatnonzero(labels != f)) for f in np.unique(labels)]
+    folds = [(int(f), np.flatnonzero(labels == f)) for f in np.unique(labels)]
     return CrossValidation(_run(points, folds, ids, coords, values, build or default_variogram_builder(), predictor or default_kriging_builder()))
 
 
@@ -149,12 +153,8 @@ def block_cv(points: DataFrame, grid: tuple[int, int] = (2, 2), build: Variogram
     held: dict[int, list[int]] = {}
     for r in block_folds(points, *grid).collect():
         held.setdefault(r.fold, []).append(place[r.id])
-    folds = []
-    for f in sorted(held):
-        test = np.sort(np.array(held[f]))
-        train = np.setdiff1d(np.arange(len(ids)), test)
-        folds.append((f, test, train if len(train) >= 3 else train[:0]))
-    rows = _run(points, folds, ids, coords, values, build or default_variogram_builder(), predictor or default_kriging_builder())
+    folds = [(f, np.sort(np.array(held[f]))) for f in sorted(held)]
+    rows = _run(points, folds, ids, coords, values, build or default_variogram_builder(), predictor or default_kriging_builder(), 3)
     last = rows.groupBy("id").agg(F.max_by(F.struct("fold", "value", "prediction", "residual"), "fold").alias("r"))
     return CrossValidation(last.select("id", "r.fold", "r.value", "r.prediction", "r.residual"))
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldstats.operators.pairs import SMALL, all_pairs, radius_pairs
+from fieldstats.operators.pairs import SMALL, all_pairs, pairs, radius_pairs
 from fieldstats.sources.points import axes
 
 #: Points that may be broadcast to block tasks: 32 bytes each.
@@ -154,11 +154,12 @@ def check_directions(directions: Sequence[float], tolerance: float, n_bins: int)
         raise ValueError("n_bins must be at least 1")
 
 
-def directional_pairs(points: DataFrame) -> DataFrame:
-    """dx, dy, d, gamma of each pair of distinct places."""
+def directional_pairs(points: DataFrame, radius: float | None = None) -> DataFrame:
+    """dx, dy, d, gamma of each pair of distinct places, within the radius if one is given."""
     if axes(points) != ["x", "y"]:
         raise ValueError("Directional variograms require 2D coordinates")
-    return all_pairs(points).filter("d > 0").select((F.col("b_x") - F.col("a_x")).alias("dx"), (F.col("b_y") - F.col("a_y")).alias("dy"), "d", semivariance_column().alias("gamma"))
+    found = all_pairs(points) if radius is None else pairs(points, radius)
+    return found.filter("d > 0").select((F.col("b_x") - F.col("a_x")).alias("dx"), (F.col("b_y") - F.col("a_y")).alias("dy"), "d", semivariance_column().alias("gamma"))
 
 
 def directional(points: DataFrame, directions: Sequence[float] = (0.0, 45.0, 90.0, 135.0), tolerance: float = 22.5, bandwidth: float | None = None, max_distance: float | None = None, n_bins: int = 12, edges: Sequence[float] | None = None) -> DataFrame:
@@ -169,7 +170,7 @@ def directional(points: DataFrame, directions: Sequence[float] = (0.0, 45.0, 90.
     """
     check_directions(directions, tolerance, n_bins)
     edges = default_edges(points, n_bins, max_distance) if edges is None else check_edges(edges)
-    found = directional_pairs(points).withColumn("bin", bin_of(F.col("d"), edges)).filter(F.col("bin").isNotNull())
+    found = directional_pairs(points, edges[-1]).withColumn("bin", bin_of(F.col("d"), edges)).filter(F.col("bin").isNotNull())
     axis = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("angle"), F.lit(float(np.cos(np.radians(a)))).alias("c"), F.lit(float(np.sin(np.radians(a)))).alias("s")) for a in directions]))
     found = found.select("*", axis.alias("axis"))
     c, s = F.col("axis.c"), F.col("axis.s")

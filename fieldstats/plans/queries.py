@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from fieldstats.functions import models, plotdata
 from fieldstats.operators import anisotropy, autocorr, kriging, patterns, validation, variogram
 from fieldstats.operators import pairs as pairing
-from fieldstats.operators.fit import Variogram
+from fieldstats.operators.fit import Variogram, criterion
+from fieldstats.session import shared_folder
 from fieldstats.sources import points as source
 from fieldstats.streaming import accumulator
 
@@ -128,10 +129,7 @@ def _(spark, sf_dir):
 
 @query("variogram_stream_query", _SQL["variogram_streaming"])
 def _(spark, sf_dir):
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fieldstats-")
-    base = f"{base}/stream-{np.random.default_rng().integers(1 << 62)}"
+    base = f"{shared_folder(spark)}/stream-{np.random.default_rng().integers(1 << 62)}"
     pts(spark, sf_dir).drop("mark").repartition(3).write.parquet(f"{base}/in")
     stream = spark.readStream.schema("id long, x double, y double, value double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     accumulator.accumulate_points(stream, EDGES, f"{base}/state", f"{base}/history", f"{base}/checkpoint").awaitTermination()
@@ -190,11 +188,8 @@ def _(spark, sf_dir):
 
 @query("variogram_aic_bic", f"WITH {PAIRS}, {_BINS}, m AS (SELECT ({_BIN})::INT AS bin, avg(g) AS gamma, count(*) AS n FROM pairs WHERE d < {EDGES[-1]!r} GROUP BY 1), s AS (SELECT count(*) AS k, greatest(sum(n*(gamma - (0.001 + 0.019*(1-exp(-lag/0.15))))*(gamma - (0.001 + 0.019*(1-exp(-lag/0.15))))), 1e-12) AS rss FROM m JOIN bins USING (bin)) SELECT round(k*ln(rss/k) + 6, 5)+0.0 AS aic, round(k*ln(rss/k) + 3*ln(k), 5)+0.0 AS bic FROM s")
 def _(spark, sf_dir):
-    table = variogram.empirical(pts(spark, sf_dir), EDGES).filter("count > 0")
-    off = F.col("gamma") - (0.001 + 0.019 * (1 - F.exp(-F.col("lag") / 0.15)))
-    s = table.agg(F.count("*").alias("k"), F.greatest(F.sum(F.col("count") * off * off), F.lit(1e-12)).alias("rss"))
-    base = F.col("k") * F.log(F.col("rss") / F.col("k"))
-    return s.select((F.round(base + 6, 5) + F.lit(0.0)).alias("aic"), (F.round(base + 3 * F.log(F.col("k").cast("double")), 5) + F.lit(0.0)).alias("bic"))
+    table = variogram.empirical(pts(spark, sf_dir), EDGES).filter("count > 0").orderBy("bin").toPandas()
+    return spark.createDataFrame([tuple(round(float(criterion(kind, MODEL, table["lag"], table["gamma"], table["count"])), 5) for kind in ("aic", "bic"))], "aic double, bic double")
 
 
 # -- distances and joins ----------------------------------------------------
@@ -597,8 +592,12 @@ def _(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from fieldstats.plans import closed_forms  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from fieldstats.plans import closed_forms  # noqa: F401
+
     return dict(_SQL)

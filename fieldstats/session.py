@@ -14,11 +14,19 @@ ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share, `spark.checkpoint.dir`; only in local mode, as in tests, a local one stands in."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="fieldstats-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint df, in the cluster's folder; only where none is set, as in tests, in a local one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fieldstats-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
