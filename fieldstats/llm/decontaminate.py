@@ -14,8 +14,10 @@ a text word by word.  A window and an item are held against each other by
 A window that shares no shingle with an item has similarity 0, so windows are
 only taken around shingles that some item of that length holds; this loses none.
 
-Items are collected in chunks of CHUNK_BYTES of text, each broadcast in its own
-pass, so what is broadcast does not grow with the benchmark.
+Items are collected in chunks of about CHUNK_BYTES of text, each broadcast in its own
+pass over the texts; the results of a pass are written before the next one, so what
+is held at a time does not grow with the benchmark.  Window sums are taken SPAN words
+at a time.
 
 Defined cases: null or empty texts and items match nothing; an item, or a text,
 of fewer than five words is one shingle, its whole word sequence; a text shorter
@@ -35,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldstats.llm.store import drop, stage
 from fieldstats.llm.text import Texts, U, Words, fold, mix, slices, texts_of
 
 SHINGLE = 5
@@ -42,6 +45,7 @@ THRESHOLD = 0.8
 RADIUS = 19
 BLOCKS = 10
 CHUNK_BYTES = 16_000_000
+SPAN = 65_536
 NO_ID = -(1 << 63)
 
 _WIDTHS = [64 // BLOCKS + (i < 64 % BLOCKS) for i in range(BLOCKS)]
@@ -152,13 +156,17 @@ class Items:
             grams = {int(s): words.hashes[words.first[t] + s : words.first[t] + s + length] for s in starts}
             rows = {s: fold(*(g[i : i + 1] for i in range(length))) for s, g in grams.items()}
             sums = np.stack([bits(rows[int(s)])[0].astype(np.int64) for s in starts])
-            window_of = lambda s: rows[int(s)]
         else:
-            low, high = int(starts[0]), min(int(starts[-1]) + size, len(hashes))
-            total = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(bits(hashes[low:high]), axis=0, dtype=np.int64)])
-            ends = np.minimum(starts + size, len(hashes))
-            sums = total[ends - low] - total[starts - low]
-            window_of = lambda s: hashes[s : s + size]
+            for some in np.split(starts, np.searchsorted(starts, np.arange(int(starts[0]), int(starts[-1]), SPAN)[1:])):
+                if len(some):
+                    low, high = int(some[0]), min(int(some[-1]) + size, len(hashes))
+                    total = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(bits(hashes[low:high]), axis=0, dtype=np.int64)])
+                    sums = total[np.minimum(some + size, len(hashes)) - low] - total[some - low]
+                    self._verify(t, length, some, sums, lambda s: hashes[s : s + size], best)
+            return
+        self._verify(t, length, starts, sums, lambda s: rows[int(s)], best)
+
+    def _verify(self, t: int, length: int, starts: np.ndarray, sums: np.ndarray, window_of, best: dict) -> None:
         for w, i in zip(*self.within(length, fingerprints(sums)), strict=True):
             s = int(starts[w])
             x = float(self.similarity(int(i), window_of(s)))
@@ -166,24 +174,28 @@ class Items:
                 best[t, int(i)] = (x, s)  # windows come in order, so the first of equals stays
 
 
-def chunks(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark in chunks of bounded size, one at a time on the driver."""
+def chunks(benchmark: DataFrame) -> Iterator[tuple[Items, bool]]:
+    """The benchmark in chunks of bounded size, one at a time on the driver, and whether there is but one."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), "text").filter(F.col("text").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / CHUNK_BYTES))
     for i in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id").collect()
-        yield Items([r.item_id for r in part], pa.array([r.text for r in part], pa.string()))
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
+        yield Items([r.item_id for r in part], pa.array([r.text for r in part], pa.string())), n == 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word and similarity of every text that holds an item."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = [rows.mapInArrow(_finder(context.broadcast(items)), "doc_id long, item_id long, first_word long, similarity double") for items in chunks(benchmark)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for items, only in chunks(benchmark):
+        shared = context.broadcast(items)
+        found = rows.mapInArrow(_finder(shared), "doc_id long, item_id long, first_word long, similarity double")
+        if not only:  # one chunk at a time is held by the tasks
+            found = stage(found, "matches")
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -209,6 +221,14 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for items in chunks(benchmark):
-        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+    before = None
+    for items, only in chunks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.mapInArrow(keeper(shared), docs.schema)
+        if not only:
+            docs = stage(docs, "clean")
+            shared.destroy()
+            if before is not None:
+                drop(before)
+            before = docs
     return docs

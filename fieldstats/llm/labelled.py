@@ -19,12 +19,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int = 0, ro
     """Texts and 0/1 labels of a fixed pseudo-random choice of labelled rows outside the held-out fold.
 
     Null labels and texts are left out; a doc_id labelled more than once counts
-    as 1 if any of its labels is.  The choice follows a hash of doc_id; of equal
+    as 1 if any of its labels is, and of several texts of one doc_id the first in order
+    is taken, so that what is collected stays bounded.  The choice follows a hash of doc_id; of equal
     texts in it the one with the smallest doc_id stays.
     """
     ids = labels.filter(F.col(label).isNotNull() & (fold_of() != held_out)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").toArrow()
+    found = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow()
     found = found.combine_chunks().sort_by("doc_id")
     first = pa.table({"text": found.column("text"), "at": pa.array(np.arange(found.num_rows))}).group_by("text").aggregate([("at", "min")])
     found = found.take(first.column("at_min").combine_chunks().sort())

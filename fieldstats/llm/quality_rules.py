@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats.llm.store import stage
-from fieldstats.llm.text import Texts, U, fold, lists, mix, slices, span_hashes
+from fieldstats.llm.text import Texts, U, fold, lists, mix, slices, span_hashes, texts_of
 
 MIN_DOCS = 10
 MIN_LEFT = 0.5
@@ -96,9 +96,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"])
 
 
-def measure(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Base counts and the distinct line hashes of each row, which `row` names for as long as the table is not read again."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(_measure, SCHEMA)
+def measure(docs: DataFrame, host: str = "source", row: str | None = None) -> DataFrame:
+    """Base counts and the distinct line hashes of each row; `row` is that column or else a number for as long as the table is not read again."""
+    return docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(_measure, SCHEMA)
 
 
 def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: float | None = None) -> DataFrame:
@@ -112,32 +112,38 @@ def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: flo
     return lines.join(hosts, same).filter(F.col("n_docs") > max_share * F.col("n_host")).select(lines["host"], "line", "n_docs")
 
 
-def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float | None = None, min_left: float = MIN_LEFT) -> DataFrame:
-    """Counts, words in removed lines, base verdict and final verdict of each document."""
-    measured = stage(measure(docs, host), "lines")
+def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float | None = None, min_left: float = MIN_LEFT, row: str | None = None) -> DataFrame:
+    """Counts, words in removed lines, base verdict and final verdict of each document; with `row` also that column and the hashes of its removed lines."""
+    measured = stage(measure(docs, host, row), "lines")
     frequent = frequent_lines(measured, min_docs, max_share).select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("nil"), "line")
     held = measured.select("row", F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("nil"), F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "h", "nil", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
-    removed = held.join(frequent, ["h", "nil", "line"]).groupBy("row").agg(F.sum("n").alias("removed"))
+    removed = held.join(frequent, ["h", "nil", "line"]).groupBy("row").agg(F.sum("n").alias("removed"), *([F.collect_set("line").alias("removed_lines")] if row else []))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = measured.drop("lines", "line_words").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0))).drop("removed", "row")
+    out = measured.drop("lines", "line_words").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0))).drop("removed", *([] if row else ["row"]))
     left = F.col("n_words") - F.col("removed_words")
     return out.withColumn("base_failed", base).withColumn("kept", ~base & (left >= min_left * F.col("n_words")))
 
 
 def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """docs without the rejected ones, and with frequent lines taken out of `text`."""
-    verdicts = stage(judge(docs, host, **limits).select("doc_id", "kept"), "verdicts")
-    frequent = frequent_lines(measure(docs, host), limits.get("min_docs", MIN_DOCS), limits.get("max_share"))
-    lines = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.posexplode(F.split("text", "\n")).alias("at", "row")).mapInArrow(_hash_rows, "doc_id long, host string, at int, row string, line long")
-    bad = frequent.select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("nil"), "line")
-    kept = lines.withColumn("h", F.coalesce("host", F.lit(""))).withColumn("nil", F.col("host").isNull()).join(bad, ["h", "nil", "line"], "left_anti")
-    texts = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"]), "\n").alias("_text"))
-    return docs.join(verdicts.filter("kept").select("doc_id"), "doc_id", "left_semi").join(texts, "doc_id", "left").withColumn("text", F.col("_text")).drop("_text")
-
-
-def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in slices(batches, "row"):
-        text, hashes, _ = line_words(texts)
-        out = np.zeros(texts.n, U)
-        out[text] = hashes
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out.view(np.int64))], ["doc_id", "host", "at", "row", "line"])
+    """docs without the rejected rows, and with frequent lines taken out of `text`; every row is judged and cut by itself."""
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = judge(rows, host, **limits, row="_row").filter("kept").select(F.col("row").alias("_row"), F.coalesce("removed_lines", F.array().cast("array<long>")).alias("_gone"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = batch.column(len(docs_columns)).to_pylist()
+            texts = [_without(t, set(g)) if g else t for t, g in zip(batch.column(at).to_pylist(), gone, strict=True)]
+            columns = [pa.array(texts, batch.schema.types[i]) if i == at else batch.column(i) for i in range(len(docs_columns))]
+            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+
+    docs_columns = docs.columns
+    return rows.join(kept, "_row").select(*docs_columns, "_gone").mapInArrow(run, docs.schema)
+
+
+def _without(text: str, gone: set[int]) -> str:
+    """The text without the lines of these hashes."""
+    rows = text.split("\n")
+    at, hashes, _ = line_words(texts_of(pa.array(rows, pa.string())))
+    out = {int(i) for i, h in zip(at, hashes.view(np.int64), strict=True) if int(h) in gone}
+    return "\n".join(r for i, r in enumerate(rows) if i not in out)

@@ -53,19 +53,20 @@ def shard(rows: DataFrame, key: str, size: str, shards: int) -> DataFrame:
     return out.withColumn("shard", F.coalesce("_alone", "_bundled")).drop("_alone", "_bundled", "_bundle")
 
 
-def slots(rows: DataFrame, order: str, shard: str = "shard") -> DataFrame:
+def slots(rows: DataFrame, *order: str, shard: str = "shard") -> DataFrame:
     """Add column `slot`, gapless from 0 in each shard.
 
-    A shard is cut into ranges by a hash of `order`, in numbers that grow with
+    Rows equal in all columns of `order` may trade places.  A shard is cut into ranges by a
+    hash of `order`, in numbers that grow with
     the rows, so no task sorts a whole shard; range totals give the offsets.
     """
     n = rows.count()
     ranges = max(1, n // ROWS_PER_SLOT_RANGE)
-    cut = rows.withColumn("_range", F.pmod(F.xxhash64(order), F.lit(ranges)).cast("int"))
+    cut = rows.withColumn("_range", F.pmod(F.xxhash64(*order), F.lit(ranges)).cast("int"))
     totals = cut.groupBy(shard, "_range").count()
     before = Window.partitionBy(shard).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(shard, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(shard, "_range").orderBy(order)
+    inside = Window.partitionBy(shard, "_range").orderBy(*order)
     placed = cut.withColumn("_n", F.row_number().over(inside))
     return placed.join(starts, [shard, "_range"]).withColumn("slot", F.col("_start") + F.col("_n") - 1).drop("_range", "_n", "_start")
 
@@ -74,4 +75,4 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, group, shard and slot of each document."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = stage(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("group")), "sizes")
-    return slots(shard(rows, "group", "size", shards), "doc_id")
+    return slots(shard(rows, "group", "size", shards), "doc_id", "text_crc32", "group")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from fieldstats.llm import decontaminate, jaccard, katz, language, quality_model, quality_rules, shards, toxicity
+from fieldstats.llm import decontaminate, jaccard, katz, labelled, language, quality_model, quality_rules, shards, toxicity
 
 CLASHES = ["1 as label", "'x' as `class`", "2 as shingles", "3 as train", "4 as n", "'h' as host", "5 as lines", "6 as size", "7 as shard", "8 as id", "9 as kept", "10 as score"]
 
@@ -33,3 +33,31 @@ def test_every_operator_returns_every_row(spark, docs):
     assert decontaminate.clean(docs, bench).count() == 5
     model = language.fit_text(docs)
     assert language.identify(language.document_records(docs, model), model.languages).count() == 7
+
+
+def test_rows_are_judged_and_cut_by_themselves(spark):
+    """Repeated and missing ids: removed words are those of the row, and no kept row or line is lost."""
+    frequent = "the same line of twenty words " + " ".join(f"w{i}" for i in range(14))
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(60))
+    rows = [(i, f"{own(i)}\n{frequent}", "h") for i in range(12)]
+    rows += [(100, f"{own(100 + i)}\n{frequent}", "h") for i in range(4)] + [(None, f"{own(200)}\n{frequent}", "h"), (None, own(201), "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    judged = quality_rules.judge(docs).collect()
+    assert sorted((r.doc_id is None, r.removed_words) for r in judged) == sorted([(False, 20)] * 16 + [(True, 20), (True, 0)])
+    assert all(r.kept for r in judged)
+    kept = quality_rules.clean(docs)
+    assert kept.schema == docs.schema
+    assert sorted(r.text for r in kept.collect()) == sorted(t.split("\n")[0] for _, t, _ in rows)
+
+
+def test_slots_do_not_follow_the_order_of_rows(spark):
+    rows = [(1, "a"), (1, "b"), (1, "c"), (None, "d"), (None, "e"), (2, "a")] * 3
+    placed = [sorted(map(str, shards.shard_documents(spark.createDataFrame(r, "doc_id long, text string").repartition(n), 2).collect())) for r, n in ((rows, 1), (rows[::-1], 4))]
+    assert placed[0] == placed[1]
+
+
+def test_repeated_rows_of_one_label_are_collected_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    texts, found = labelled.sample(docs, labels, "toxic", held_out=9)
+    assert texts.n == 2 and sorted(found.tolist()) == [0, 1]
