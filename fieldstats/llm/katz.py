@@ -6,8 +6,9 @@ p(w|h) = d(c(hw)) c(hw) / C(h)                         if the pair occurs in tra
 p(w|h) = a(h) p(w)                                     otherwise; a(h) = 1 for a new history
 
 d are Good-Turing discounts for counts up to K, from the counts of counts of the
-order concerned.  C(h) is the history's count, plus 1 where the history has no
-follower that occurs once (or is hot), so that every history leaves mass.  a(h)
+order concerned.  C(h) is the history's count, plus 1 where the history occurs OFTEN
+times or has no follower that occurs once, so that every history leaves mass; this
+does not depend on the size of the corpus.  a(h)
 divides what a history leaves by the mass of the words it was not followed by,
 so that p(.|h) sums to 1 exactly.  A text is its words and one end token; the
 history of its first token is a start mark.
@@ -20,8 +21,9 @@ A. Blocks of texts send, for each history, its followers with training counts
    of its histories, so it adds up the share of each text that occurs in it there
    and then; only unseen pairs of held-out texts are left over.  Shares are at most
    as many as tokens, however many parts there are; ids go one way once a block.  Histories with more than
-   1/HOT of all tokens, fewer than HOT by count, are spread over several parts by
-   their follower; their counts come with the broadcast list of them.
+   1/HOT of all tokens and more than OFTEN, at most HOT by count, the start mark
+   among them, are spread over several parts by their follower; their counts come
+   with the broadcast list of them.
 B. Parts ask the unigram table for the counts of the words they hold.
 C. Parts add up the followers' unigram mass for a(h), and finish the left-over
    pairs.
@@ -50,6 +52,7 @@ from fieldstats.llm.text import U, mix, runs, slices, trim
 
 K = 5
 HOT = 1_000
+OFTEN = 1_000
 BLOCK_TOKENS = 1_000_000
 BLOCK_TEXTS = 20_000
 PART_TOKENS = 2_000_000
@@ -105,7 +108,7 @@ class Discounts:
 
 @dataclass
 class Shape:
-    """What every task needs to know; hot has fewer than HOT entries."""
+    """What every task needs to know; hot has at most HOT entries."""
 
     parts: int
     hot: np.ndarray
@@ -255,7 +258,7 @@ def _counted(shape: Shape):
         is_hot, hot_count = shape.hot_at(ph[history])
         ch = np.where(is_hot, hot_count, sums(pc, history))
         ones = sums((pc == 1).astype(np.int64), history)
-        full = ch + (is_hot | (ones == 0))
+        full = ch + ((ch >= OFTEN) | (ones == 0))
         of_pair = np.repeat(np.arange(len(history)), length)
         base = np.where(ph[history] == START, 0, np.log10(ch + 0.5))
         known = (ch > 0) & (ph[history] != START)
@@ -439,8 +442,8 @@ def fit_and_score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> tuple[M
     unknown = less / total if total else 1.0
     if not unknown > 0:  # no word occurs at most K times
         unknown = 1 / (total + 1)
-    hot = words.filter(F.col("n") > total / HOT).orderBy("word").collect()
-    hot = sorted((int(np.int64(r.word).view(U)), r.n) for r in hot if int(np.int64(r.word).view(U)) != int(END))
+    hot = words.filter(F.col("n") > max(total / HOT, OFTEN)).collect()  # each follower of the start mark begins a text, so it is as frequent as END
+    hot = sorted((int(START) if r.word == int(END.view(np.int64)) else int(np.int64(r.word).view(U)), r.n) for r in hot)
     shape = Shape(max(8, math.ceil(total / PART_TOKENS)), np.array([h for h, _ in hot], U), np.array([n for _, n in hot], np.int64), total)
     release(spark)
     counted = rows.select("doc_id", "text", F.col("train").cast("byte").alias("train")).mapInArrow(_blocks(shape), PACKED)
@@ -471,7 +474,6 @@ def fit_and_score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> tuple[M
     return Model(words, counted, bigrams, backoff, uni, bi, total, types, unknown), scored
 
 
-
 def _word_parts(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -43,8 +43,7 @@ class Plain:
             history[h] += c
             ones[h] += c == 1
             self.after[h].append((w, c))
-        hot = {h for h, c in self.c.items() if c > self.n / katz.HOT and h != END}
-        self.full = {h: n + (h in hot or not ones[h]) for h, n in history.items()}
+        self.full = {h: n + (n >= katz.OFTEN or not ones[h]) for h, n in history.items()}
         self.alpha = {h: (1 - sum(self.db.get(c, 1) * c for _, c in f) / self.full[h]) / (1 - sum(self.p1(w) for w, _ in f)) for h, f in self.after.items()}
 
     def p1(self, w):
@@ -70,9 +69,10 @@ def corpus(seed, n=120):
     return [*texts, None, "", "new words only here", texts[0], texts[0], "W0 W1\tw2", "hot pair " * 50]
 
 
-@pytest.mark.parametrize("block", [50, 1_000_000])
-def test_scores_equal_the_plain_model(make_docs, monkeypatch, block):
-    monkeypatch.setattr(katz, "HOT", 20)  # some words count as hot and are spread over parts
+@pytest.mark.parametrize(("block", "often"), [(50, 60), (1_000_000, 60), (1_000_000, 1_000)])
+def test_scores_equal_the_plain_model(make_docs, monkeypatch, block, often):
+    monkeypatch.setattr(katz, "HOT", 20)  # some words and the start mark count as hot and are spread over parts
+    monkeypatch.setattr(katz, "OFTEN", often)
     docs = make_docs(corpus(1)).repartition(3)
     rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
     plain = Plain(rows)
