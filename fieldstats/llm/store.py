@@ -76,7 +76,7 @@ def join_keyed(rows: DataFrame, table: DataFrame, key: str, held: str) -> DataFr
     hot = table.filter(F.col(held) > most).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
     cold = table.filter(F.col(held) <= most).select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in values])
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    at = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))
+    at = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns).cast(rows.schema[key].dataType))
     out = out.withColumn("_at", at).join(cold, F.col("_at") == F.col("_cold"), "left")
     return out.select(*rows.columns, *[F.when(F.col("_hot").isNull(), F.col(f"_cold_{c}")).otherwise(F.col(f"_hot_{c}")).alias(c) for c in values])
 
