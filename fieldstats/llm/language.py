@@ -5,8 +5,8 @@ its address, and its host.
 
 - Text: naive Bayes over hashed byte trigrams (letters only, A-Z lower-cased),
   fitted on a bounded sample of labelled documents: the languages are those of all
-  labelled documents (the MAX_LANGUAGES most frequent), and each has an equal share
-  of the sample, what it cannot fill going to the others.  The log likelihood is
+  labelled documents, however many, and each has an equal share of the sample and
+  one document at least, what it cannot fill going to the others.  The log likelihood is
   tempered to EVIDENCE trigrams at most, as neighbouring trigrams overlap.
 - Declared language and suffix: P(value | language), from the text posteriors
   of all records summed by a grouped aggregation, smoothed.
@@ -44,7 +44,6 @@ EVIDENCE = 200
 HOST_WEIGHT = 5.0
 DOMAIN_WEIGHT = 20.0
 SMOOTH = 1.0
-MAX_LANGUAGES = 200
 HOT_KEYS = 256
 
 _LETTER = np.zeros(256, bool)
@@ -97,7 +96,7 @@ def choose(usable: DataFrame, rows: int) -> tuple[DataFrame, list[str]]:
     Rows far above their label's quota are left out by hash before they are ranked, so
     that no task sees all rows of a label.
     """
-    found = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
+    found = usable.groupBy("label").count().collect()
     held = {r["label"]: r["count"] for r in found}
     take = quotas(held, rows)
     most = {name: (1 << 63) - 1 if 2 * q + 50 >= held[name] else int((2 * q + 50) / held[name] * (1 << 64)) - (1 << 63) for name, q in take.items()}
@@ -143,7 +142,7 @@ def rows_of(values: np.ndarray) -> pa.Array:
 
 def page_records(pages: DataFrame, model: TextModel) -> DataFrame:
     """id, host, declared, likelihood and text posterior p of raw web pages."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS rows of MAX_LANGUAGES numbers
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _ in slices(batches, "html"):

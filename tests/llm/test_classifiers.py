@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fieldstats.llm import language, quality_model, toxicity
 from fieldstats.llm.text import texts_of
@@ -100,8 +101,13 @@ def test_rare_languages_are_learnt(spark):
     model = language.fit_text(spark.createDataFrame(rows, schema), rows=100)
     assert model.languages == ["en", "xx"]
     assert model.log_likelihood(texts_of(pa.array(["qvw jkl zyx", "the common word"]))).argmax(1).tolist() == [1, 0]
-    many = [(i, "text of language %d" % (i % 210), "l%03d" % (i % 210)) for i in range(2100)]
-    assert len(language.fit_text(spark.createDataFrame(many, schema)).languages) == language.MAX_LANGUAGES
+    own = lambda k: "".join("abcdef"[k // 6**j % 6] for j in range(3)) + " "
+    many = [(i, own(i % 210) * 20, "l%03d" % (i % 210)) for i in range(2100)]
+    frame = spark.createDataFrame(many, schema).withColumn("source", F.col("lang"))
+    model = language.fit_text(frame)
+    assert len(model.languages) == 210
+    some = frame.filter("doc_id < 420")
+    assert {(r.id, r.lang) for r in language.identify(language.document_records(some, model), model.languages).collect()} >= {(0, "l000"), (209, "l209")}
     assert language.quotas({"a": 3, "b": 1000, "c": 70}, 100) == {"a": 3, "c": 48, "b": 49}
 
 
