@@ -4,7 +4,7 @@ Every word, every pair of neighbouring words (a word followed by itself is one
 feature whatever the word) and every 3- and 4-byte n-gram inside a word (with its
 borders) is hashed to a vector; a document is the mean of its vectors; a softmax gives the
 class.  Vectors and softmax are trained together by stochastic gradient descent
-in numpy, on a bounded sample: FIT_ROWS labelled texts of at most labelled.SAMPLE_BYTES bytes.
+in numpy, on a bounded sample: labelled.SAMPLE_ROWS texts of at most labelled.SAMPLE_BYTES bytes.
 
 The mean and the softmax input are linear, so for scoring each vector is
 projected once onto the difference of the two output rows: a document's logit
@@ -35,7 +35,7 @@ EPOCHS = 6
 RATE = 4.0
 SEED = 7
 THRESHOLD = 0.3
-FIT_ROWS = 3_000
+FIT_PART = 1 << 18  # bytes of text whose n-grams are sorted at once
 NGRAMS = (3, 4)
 _SAME = 0x5A17_0000_0000_0000
 
@@ -108,7 +108,7 @@ def train(texts: Texts, labels: np.ndarray) -> Model:
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     output, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     data: list[tuple[np.ndarray, np.ndarray]] = []
-    for part, _ in parts(texts):
+    for part, _ in parts(texts, FIT_PART):
         data += bags(part)
     target = np.eye(2, dtype=np.float32)[labels] if len(labels) else np.zeros((0, 2), np.float32)
     steps = EPOCHS * len(data)
@@ -130,7 +130,7 @@ def train(texts: Texts, labels: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    return train(*labelled.sample(docs, labels, label, rows=FIT_ROWS))
+    return train(*labelled.sample(docs, labels, label))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,5 +1,7 @@
 """Rows without an id, clashing column names and repeated rows in every operator."""
 
+import zlib
+
 import pytest
 
 from fieldstats.llm import decontaminate, jaccard, katz, labelled, language, quality_model, quality_rules, shards, toxicity
@@ -61,3 +63,16 @@ def test_repeated_rows_of_one_label_are_collected_once(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     texts, found = labelled.sample(docs, labels, "toxic", held_out=9)
     assert texts.n == 2 and sorted(found.tolist()) == [0, 1]
+
+
+def test_labels_without_a_usable_text_take_up_no_place(spark):
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    docs = spark.range(0, 20_000, 40).selectExpr("id AS doc_id", "CASE WHEN id % 80 = 0 THEN repeat('long ', 9000) WHEN id % 400 = 40 THEN 'a copy' ELSE concat('text ', id) END AS text")
+    texts, found = labelled.sample(docs, labels, "toxic", rows=60)
+    held = [i for i in range(0, 20_000, 40) if i % 80 and zlib.crc32(str(i).encode()) % 5]
+    usable = len([i for i in held if i % 400 != 40]) + 1
+    assert texts.n == len(found) == 60 < usable
+    every, _ = labelled.sample(docs, labels, "toxic")
+    assert every.n == usable
+    again, _ = labelled.sample(docs.repartition(5), labels.repartition(3), "toxic", rows=60)
+    assert (again.raw == texts.raw).all()
