@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fieldstats.llm import decontaminate, encoding, jaccard, katz, language, oracles, quality_model, quality_rules, shards, token_counts, toxicity
+from fieldstats.llm import decontaminate, encoding, fim, jaccard, katz, language, negatives, oracles, quality_model, quality_rules, shards, simhash, token_counts, toxicity
 from fieldstats.llm.store import load
 
 
@@ -26,11 +26,6 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(load(spark, sf_dir, "documents"), 3, 90, counts=True)
 
 
-def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of op2_jaccard_join by the name of before; the same job."""
-    return op2_jaccard_join(spark, sf_dir)
-
-
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(load(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -71,9 +66,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents.unionByName(pages), model.languages).drop("id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are a hundredth of the rows; every seventh row has its label moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.quantised(load(spark, sf_dir, "embeddings"), label), F.col("id") % 100 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(load(spark, sf_dir, "documents"))
+
+
+def op13_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.join(load(spark, sf_dir, "documents"), 3, 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": oracles.OP2_LINKS, "op2_jaccard_links": oracles.OP2_LINKS, "op8_quality_rules": oracles.OP8}
+    return {"op2_jaccard_join": oracles.OP2_LINKS, "op8_quality_rules": oracles.OP8, "op11_hard_negatives": oracles.OP11, "op12_fill_in_middle": oracles.OP12}
