@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldstats.operators.fit import Variogram
+from fieldstats.operators.ranks import normal_quantile, ranked
 from fieldstats.operators.variogram import cloud, direction_ranges
 
 
@@ -48,18 +46,13 @@ def comparison(residuals: DataFrame) -> DataFrame:
     return residuals.select("id", F.col("value").alias("observed"), F.col("prediction").alias("predicted"))
 
 
-def residuals_qq(rows: DataFrame, column: str = "residual") -> DataFrame:
-    """rank, probability, theoretical and sample quantile; at least three residuals, which one plot can show."""
+def residuals_qq(rows: DataFrame, column: str = "residual", tie: str = "id") -> DataFrame:
+    """rank, probability, theoretical and sample quantile of at least three residuals; equal ones are ranked by the column `tie`."""
     n = rows.count()
     if n < 3:
         raise ValueError("at least 3 residuals are required")
-    ranked = rows.select(F.col(column).alias("sample")).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sample")))
-
-    @F.pandas_udf("double")
-    def quantile(p: pd.Series) -> pd.Series:
-        return p.map(NormalDist().inv_cdf)
-
-    return ranked.withColumn("probability", (F.col("rank") - 0.5) / n).withColumn("theoretical", quantile("probability"))
+    found = ranked(rows.select(F.col(column).alias("sample"), F.col(tie).alias("_tie")), "sample", "_tie").drop("_tie")
+    return found.withColumn("probability", (F.col("rank") - 0.5) / n).withColumn("theoretical", normal_quantile(F.col("probability")))
 
 
 def variogram_cloud(points: DataFrame) -> DataFrame:

@@ -1,27 +1,33 @@
-"""Kriging: fit is one dense solve on the driver, predict a map over targets.
-
-Samples are collected (at most MAX_SAMPLES, a 512 MB matrix); targets never are.
-Predictions use dual weights; variances use the inverse Cholesky factor, or the
-bordered system where the covariance matrix is not positive definite.  Larger
-sample sets go to local kriging, which joins each target to its neighbours.
+"""Kriging: fit solves one system, predict is a map over targets.
+
+Up to MAX_SAMPLES samples are solved densely on the driver (a 512 MB matrix), more of them, up
+to conjugate.MAX_GLOBAL, by conjugate gradients over Spark tasks that never hold
+the matrix; targets are not collected.  Predictions use dual weights; variances
+use the inverse Cholesky factor, or the bordered system where the covariance
+matrix is not positive definite.  Local kriging joins each target to its
+neighbours and has no limit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldstats.functions import models
+from fieldstats.operators import conjugate
 from fieldstats.operators.fit import Variogram
 from fieldstats.operators.pairs import knn_join
 from fieldstats.sources.points import axes
 
 MAX_SAMPLES = 8_000
+#: Targets whose variance is asked of a system without a factorisation, and how many are solved for at once.
+MAX_SOLVED_TARGETS = 4_096
+COLUMNS = 64
 SINGULAR = "Singular covariance matrix - check for duplicate points or poor conditioning"
 
 
@@ -52,19 +58,29 @@ class System:
     bordered: np.ndarray | None
 
     @classmethod
-    def build(cls, coords: np.ndarray, values: np.ndarray, model: Variogram, trend: str | None = "constant", mean: float = 0.0) -> System:
-        """trend None is simple kriging with a known mean, 'constant' ordinary, 'linear' or 'quadratic' universal."""
+    def build(cls, coords: np.ndarray, values: np.ndarray, model: Variogram, trend: str | None = "constant", mean: float = 0.0, solve: Callable[[np.ndarray], np.ndarray] | None = None) -> System:
+        """trend None is simple kriging with a known mean, 'constant' ordinary, 'linear' or 'quadratic' universal.
+
+        `solve` gives the covariance matrix's solution for each column of an array;
+        without it the matrix is made and factorised here.
+        """
         if not model.fitted:
             raise ValueError("Variogram must be fitted before kriging")
         if len(coords) != len(values):
             raise ValueError("Coordinates and values must have same length")
-        if len(coords) > MAX_SAMPLES:
-            raise ValueError(f"{len(coords)} samples: global kriging takes {MAX_SAMPLES}, use local kriging")
+        if solve is None and len(coords) > MAX_SAMPLES:
+            raise ValueError(f"{len(coords)} samples: a dense solve takes {MAX_SAMPLES}, fit a DataFrame or use local kriging")
         if len(np.unique(coords, axis=0)) < len(coords):
             raise ValueError(SINGULAR)
-        c = models.cov(models.distances(coords, coords), model.model, model.nugget, model.sill, model.range)
         drift = models.design(coords, trend) if trend else np.zeros((len(coords), 0))
         m = drift.shape[1]
+        if solve is not None:
+            solved = solve(np.column_stack([values - mean, drift]))
+            alone, whitened = solved[:, 0], solved[:, 1:]
+            gram = drift.T @ whitened
+            mu = np.linalg.solve(gram, drift.T @ alone) if m else np.zeros(0)
+            return cls(coords, model, trend, mean, np.concatenate([alone - whitened @ mu, mu]), None, whitened, gram, None)
+        c = models.cov(models.distances(coords, coords), model.model, model.nugget, model.sill, model.range)
         try:
             inverse = lower_inverse(np.linalg.cholesky(c))
         except np.linalg.LinAlgError:
@@ -96,6 +112,8 @@ class System:
             right = np.concatenate([c, f], axis=1).T
             left = np.sum(right * np.linalg.solve(self.bordered, right), axis=0)
             return prediction, np.maximum(v.sill - left, 0)
+        if self.inverse is None:
+            raise ValueError("a system solved by conjugate gradients has variances for targets in a DataFrame only")
         u = self.inverse @ c.T
         left = v.sill - np.sum(u * u, axis=0)
         if self.trend:
@@ -103,6 +121,47 @@ class System:
             left += np.sum(q * np.linalg.solve(self.drift_gram, q), axis=0)
         return prediction, np.maximum(left, 0)
 
+    def variances(self, targets: np.ndarray, solve: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Variances of a few targets by a solve for the covariances of each; `whitened` holds the solution for the drift."""
+        v, out = self.model, []
+        for start in range(0, len(targets), COLUMNS):
+            some = targets[start : start + COLUMNS]
+            c = models.cov(models.distances(self.coords, some), v.model, v.nugget, v.sill, v.range)
+            left = v.sill - np.sum(c * solve(c), axis=0)
+            if self.trend:
+                q = models.design(some, self.trend).T - self.whitened.T @ c
+                left += np.sum(q * np.linalg.solve(self.drift_gram, q), axis=0)
+            out.append(np.maximum(left, 0))
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def fold_residuals(self, folds: Sequence[np.ndarray], right: Sequence[np.ndarray] | None = None) -> list[np.ndarray]:
+        """Observed less predicted in each fold, had its samples been left out; from this one factorisation.
+
+        With P the inverse of the system (its samples' rows and columns), the
+        residuals of the samples S are the solution of P[S, S] e = (P z)[S]; the right
+        sides are the dual weights unless given.
+        """
+        n, whole = len(self.coords), None
+        if self.bordered is not None:
+            whole = np.linalg.inv(self.bordered)[:n, :n]
+        elif self.inverse is None:
+            raise ValueError("a system solved by conjugate gradients has no inverse to take residuals from")
+        out = []
+        for k, fold in enumerate(folds):
+            if whole is not None:
+                p = whole[np.ix_(fold, fold)]
+            else:
+                a = self.inverse[:, fold]
+                p = a.T @ a
+                if self.trend:
+                    b = self.whitened.T @ a
+                    p = p - b.T @ np.linalg.solve(self.drift_gram, b)
+            try:
+                out.append(np.linalg.solve(p, self.dual[fold] if right is None else right[k]))
+            except np.linalg.LinAlgError:
+                raise ValueError(SINGULAR) from None
+        return out
+
 
 @dataclass(frozen=True)
 class Kriging:
@@ -114,9 +173,12 @@ class Kriging:
     trend: str = "auto"
     angle: float = 0.0
     range_minor: float | None = None
+    solver: str = "auto"
     system: System | None = None
 
     def __post_init__(self) -> None:
+        if self.solver not in ("auto", "dense", "iterative"):
+            raise ValueError("solver must be one of {'auto', 'dense', 'iterative'}")
         if self.kind == "universal" and self.trend not in ("auto", "linear", "quadratic"):
             raise ValueError("trend must be one of {'auto', 'linear', 'quadratic'}")
         if self.kind == "anisotropic" and (self.range_minor is None or not self.variogram.fitted):
@@ -132,10 +194,12 @@ class Kriging:
         dims = axes(samples)
         if self.kind == "anisotropic" and dims != ["x", "y"]:
             raise ValueError("Anisotropic kriging requires 2D coordinates")
-        data = samples.select(*dims, "value").limit(MAX_SAMPLES + 1).toPandas().to_numpy(float)
-        return self.fit_arrays(data[:, :-1], data[:, -1])
+        most = MAX_SAMPLES if self.solver == "dense" else conjugate.MAX_GLOBAL
+        data = samples.select(*dims, "value").limit(most + 1).toPandas().to_numpy(float)
+        return self.fit_arrays(data[:, :-1], data[:, -1], samples.sparkSession)
 
-    def fit_arrays(self, coords: np.ndarray, values: np.ndarray) -> Kriging:
+    def fit_arrays(self, coords: np.ndarray, values: np.ndarray, spark: SparkSession | None = None) -> Kriging:
+        """Fit samples in memory; with a session, more than MAX_SAMPLES of them by conjugate gradients over its tasks."""
         if not (np.isfinite(coords).all() and np.isfinite(values).all()):
             raise ValueError("Coordinates must not contain NaN or infinite values")
         model = replace(self.variogram, range=1.0) if self.kind == "anisotropic" else self.variogram
@@ -145,7 +209,14 @@ class Kriging:
         mean = 0.0
         if self.kind == "simple":
             mean = float(np.mean(values)) if self.mean is None else float(self.mean)
-        return replace(self, system=System.build(self.shape(coords), values, model, trend, mean))
+        shaped = self.shape(coords)
+        if self.solver == "dense" or spark is None or self.solver == "auto" and len(coords) <= MAX_SAMPLES:
+            return replace(self, system=System.build(shaped, values, model, trend, mean))
+        operator = conjugate.Covariance(spark, shaped, model)
+        try:
+            return replace(self, system=System.build(shaped, values, model, trend, mean, operator.solve))
+        finally:
+            operator.close()
 
     def predict_arrays(self, coords: np.ndarray, variance: bool = False):
         if self.system is None:
@@ -157,7 +228,10 @@ class Kriging:
         if self.system is None:
             raise ValueError("Model must be fitted before prediction")
         dims = axes(targets)
-        shared = targets.sparkSession.sparkContext.broadcast(self)
+        if variance and self.system.inverse is None and self.system.bordered is None:
+            return self._with_solved_variance(targets, batch)
+        model = self if variance else replace(self, system=replace(self.system, inverse=None, whitened=None, bordered=None))
+        shared = targets.sparkSession.sparkContext.broadcast(model)
         size = max(64, min(batch, 8_000_000 // max(1, len(self.system.coords))))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,6 +243,20 @@ class Kriging:
 
         return targets.select("id", *dims).mapInPandas(run, "id long, prediction double" + ", variance double" * variance)
 
+    def _with_solved_variance(self, targets: DataFrame, batch: int) -> DataFrame:
+        """Predictions, and variances by solving for each target; for at most MAX_SOLVED_TARGETS of them."""
+        spark, dims = targets.sparkSession, axes(targets)
+        rows = targets.select("id", *dims).limit(MAX_SOLVED_TARGETS + 1).toPandas()
+        if len(rows) > MAX_SOLVED_TARGETS:
+            raise ValueError(f"variances of more than {MAX_SAMPLES} samples are solved for at most {MAX_SOLVED_TARGETS} targets; use local kriging")
+        operator = conjugate.Covariance(spark, self.system.coords, self.system.model)
+        try:
+            rows["variance"] = self.system.variances(self.shape(rows[dims].to_numpy(float)), operator.solve)
+        finally:
+            operator.close()
+        found = spark.createDataFrame(rows[["id", "variance"]], "id long, variance double")
+        return self.predict(targets, False, batch).join(F.broadcast(found), "id")
+
     def residuals(self, points: DataFrame) -> DataFrame:
         """id, value, prediction and residual (observed less predicted)."""
         return points.select("id", "value").join(self.predict(points), "id").withColumn("residual", F.col("value") - F.col("prediction"))

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldstats.operators.extent import largest_distance
 from fieldstats.operators.pairs import SMALL, all_pairs, pairs, radius_pairs
 from fieldstats.sources.points import axes
 
@@ -61,11 +62,6 @@ def lag_table(found: DataFrame, bins: DataFrame, empty: float | None = 0.0) -> D
     return bins.join(found, "bin", "left").select("bin", "lag", gamma.alias("gamma"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-def largest_distance(points: DataFrame) -> float:
-    """Largest pair distance; a single point gives 0."""
-    return float(all_pairs(points).agg(F.max("d")).first()[0] or 0.0)
-
-
 def default_edges(points: DataFrame, n_bins: int = 15, max_distance: float | None = None) -> list[float]:
     """n_bins equal bins from 0 to max_distance, by default half the largest pair distance."""
     top = largest_distance(points) / 2 if max_distance is None else float(max_distance)

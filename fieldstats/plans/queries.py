@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldstats.functions import models, plotdata
-from fieldstats.operators import anisotropy, autocorr, kriging, patterns, validation, variogram
+from fieldstats.operators import anisotropy, autocorr, kriging, patterns, ranks, validation, variogram
 from fieldstats.operators import pairs as pairing
 from fieldstats.operators.fit import Variogram, criterion
 from fieldstats.session import shared_folder
@@ -66,6 +66,21 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: r6(c) for c in columns})
 
 
+def quantile_sql(p: str) -> str:
+    """The normal quantile of a column, in SQL."""
+
+    def poly(coefficients, x: str) -> str:
+        out = repr(coefficients[-1])
+        for c in reversed(coefficients[:-1]):
+            out = f"({out}*{x} + {c!r}::DOUBLE)"
+        return out
+
+    ratio = lambda over, under, x: f"{poly(over, x)}/{poly(under, x)}"
+    q, r = f"({p}-0.5)", f"sqrt(-ln(least({p}, 1-{p})))"
+    tail = f"CASE WHEN {r} <= 5 THEN {ratio(ranks.TAIL, ranks.TAIL_BELOW, f'({r}-1.6)')} ELSE {ratio(ranks.FAR, ranks.FAR_BELOW, f'({r}-5.0)')} END"
+    return f"(CASE WHEN abs({q}) <= 0.425 THEN {q}*{ratio(ranks.CENTRE, ranks.CENTRE_BELOW, f'(0.180625-{q}*{q})')} ELSE sign({q})*{tail} END)"
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         _QUERIES[name] = f
@@ -392,11 +407,40 @@ def _(spark, sf_dir):
     return rounded(autocorr.local_g(p, knn6(p)), "z").select("id", "z")
 
 
-@query("moran_permutations")
-def _(spark, sf_dir):
-    p = pts(spark, sf_dir)
-    found = autocorr.morans_i(p, knn6(p), 99, 7)
-    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, value double")
+_DRAWS = """b AS (SELECT id, value, row_number() OVER (ORDER BY id) AS r FROM pts),
+o AS (SELECT p, id, row_number() OVER (PARTITION BY p ORDER BY md5('7:' || p || ':' || id), id) AS r FROM pts, (SELECT unnest(range(0, 99)) AS p)),
+v AS (SELECT o.p, o.id, b.value AS x, b.value - (SELECT avg(value) FROM pts) AS z FROM o JOIN b USING (r)),
+t AS (SELECT count(*) AS n, var_pop(value)*count(*) AS ss, sum(value) AS sx, sum(value*value) AS sxx FROM pts),
+d AS (SELECT p, {0} AS s FROM (SELECT a.p, sum(w) AS s0, sum(w*{1}) AS c FROM e JOIN v a ON a.id = e.src JOIN v b ON b.id = e.dst AND b.p = a.p GROUP BY 1), t),
+seen AS (SELECT {0} AS s FROM (SELECT sum(w) AS s0, sum(w*{2}) AS c FROM j), t), c AS (SELECT {3} AS c)"""
+_TEST = {
+    "moran": ("n*c/(s0*ss)", "a.z*b.z", "zi*zj", "0.0", "i", "(SELECT -1.0/(n-1) FROM t)"),
+    "geary": ("(n-1)*c/(2*s0*ss)", "(a.x-b.x)*(a.x-b.x)", "(xi-xj)*(xi-xj)", "1.0", "c", "1.0"),
+    "g": ("c/(sx*sx-sxx)", "a.x*b.x", "xi*xj", "(SELECT avg(s) FROM d)", "g", "(SELECT avg(s) FROM d)"),
+}
+
+
+def permutation_sql(kind: str) -> str:
+    *draws, name, expected = _TEST[kind]
+    shifted = EDGE.replace("embedding[3]::DOUBLE AS value", "embedding[3]::DOUBLE + 1 AS value") if kind == "g" else EDGE
+    return (
+        f"WITH {shifted}, {_DRAWS.format(*draws)} SELECT '{name}' AS name, round(s, 6)+0.0 AS value FROM seen UNION ALL SELECT 'expected', round({expected}, 6)+0.0 "
+        "UNION ALL SELECT 'p_value', round(((SELECT count(*) FROM d, c, seen WHERE abs(d.s - c.c) >= abs(seen.s - c.c)) + 1)/100.0, 6)+0.0"
+    )
+
+
+def _permutations(test: Callable[..., dict[str, float]], shift: float = 0.0):
+    def run(spark, sf_dir):
+        p = pts(spark, sf_dir, shift)
+        found = test(p, knn6(p), 99, 7)
+        return rounded(spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, value double"), "value")
+
+    return run
+
+
+query("moran_permutations", permutation_sql("moran"))(_permutations(autocorr.morans_i))
+query("geary_permutations", permutation_sql("geary"))(_permutations(autocorr.gearys_c))
+query("global_g_permutations", permutation_sql("g"))(_permutations(autocorr.global_getis_ord_g, 1.0))
 
 
 # -- axes -------------------------------------------------------------------
@@ -540,20 +584,17 @@ def _(spark, sf_dir):
 
 @query("block_cross_validation")
 def _(spark, sf_dir):
-    fixed = lambda coords, values: MODEL
-    return rounded(validation.block_cv(pts(spark, sf_dir), (2, 2), fixed).rows, "value", "prediction", "residual")
+    return rounded(validation.block_cv(pts(spark, sf_dir), (2, 2), MODEL).rows, "value", "prediction", "residual")
 
 
 @query("leave_one_out")
 def _(spark, sf_dir):
-    fixed = lambda coords, values: MODEL
-    return rounded(validation.leave_one_out(pts(spark, sf_dir), fixed).rows, "value", "prediction", "residual")
+    return rounded(validation.leave_one_out(pts(spark, sf_dir), MODEL).rows, "value", "prediction", "residual")
 
 
 @query("spatial_kfold")
 def _(spark, sf_dir):
-    fixed = lambda coords, values: MODEL
-    return rounded(validation.spatial_kfold(pts(spark, sf_dir), 5, 3, fixed).rows, "value", "prediction", "residual")
+    return rounded(validation.spatial_kfold(pts(spark, sf_dir), 5, 3, MODEL).rows, "value", "prediction", "residual")
 
 
 @query("standardized_residuals", f"WITH {PTS} SELECT id, round((value - avg(value) OVER ())/stddev_samp(value - m) OVER (), 6)+0.0 AS standardized FROM (SELECT *, avg(value) OVER () AS m FROM pts)")
@@ -564,10 +605,10 @@ def _(spark, sf_dir):
     return rounded(validation.standardized_residuals(rows), "standardized").select("id", "standardized")
 
 
-@query("residual_qq", f"WITH {PTS} SELECT row_number() OVER (ORDER BY value)::INT AS rank, round(value, 6)+0.0 AS sample, round((row_number() OVER (ORDER BY value) - 0.5)/count(*) OVER (), 6)+0.0 AS probability FROM pts")
+@query("residual_qq", f"WITH {PTS}, q AS (SELECT row_number() OVER (ORDER BY value, id) AS rank, value, (row_number() OVER (ORDER BY value, id) - 0.5)/count(*) OVER () AS p FROM pts) SELECT rank::INT AS rank, round(value, 6)+0.0 AS sample, round(p, 6)+0.0 AS probability, round({quantile_sql('p')}, 6)+0.0 AS theoretical FROM q")
 def _(spark, sf_dir):
     out = plotdata.residuals_qq(pts(spark, sf_dir), "value")
-    return out.select(F.col("rank").cast("int").alias("rank"), r6("sample").alias("sample"), r6("probability").alias("probability"))
+    return rounded(out, "sample", "probability", "theoretical").select(F.col("rank").cast("int").alias("rank"), "sample", "probability", "theoretical")
 
 
 @query("normality")
@@ -592,12 +633,12 @@ def _(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from fieldstats.plans import closed_forms  # noqa: F401  registers its queries
+    from fieldstats.plans import closed_forms, scale  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from fieldstats.plans import closed_forms  # noqa: F401
+    from fieldstats.plans import closed_forms, scale  # noqa: F401
 
     return dict(_SQL)
