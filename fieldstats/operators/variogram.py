@@ -13,8 +13,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldstats.functions import models
 from fieldstats.operators.extent import largest_distance
 from fieldstats.operators.pairs import SMALL, all_pairs, pairs, radius_pairs
+from fieldstats.operators.ranks import ranked
 from fieldstats.sources.points import axes
 
 #: Points that may be broadcast to block tasks: 32 bytes each.
@@ -141,6 +143,42 @@ def sampled(points: DataFrame, max_points: int, seed: int = 0, **options) -> Dat
     return empirical(points.sample(min(1.0, max_points / max(n, 1)), seed=seed), **options)
 
 
+def sampled_pairs(points: DataFrame, n_pairs: int, seed: int = 0) -> DataFrame:
+    """a_id, b_id, d, gamma of n_pairs pairs drawn with replacement from all pairs, without listing them.
+
+    Pairs are numbered by rows of the upper triangle over the points in id order;
+    numbers come from a digest of seed and draw, and are unranked to two places, which are
+    looked up.  The draw depends on the ids and the seed only.
+    """
+    if n_pairs < 1:
+        raise ValueError("n_pairs must be positive")
+    dims = axes(points)
+    place = ranked(points.select("id", *dims, "value"), "id", name="at").withColumn("at", F.col("at") - 1)
+    n = place.count()
+    if n < 2:
+        raise ValueError("at least 2 points are required")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.lit(n * (n - 1) // 2)
+    before = lambda i: F.expr(f"({i} * (2L * {n}L - {i} - 1L)) div 2")  # noqa: E731  pairs in the rows above
+    guess = F.floor((F.lit(2.0 * n - 1) - F.sqrt(F.lit((2.0 * n - 1) ** 2) - 8.0 * F.col("t"))) / 2).cast("long")
+    drawn = points.sparkSession.range(n_pairs).withColumn("t", number).withColumn("i", guess)
+    # the root of a large number may be off by one
+    drawn = drawn.withColumn("i", F.when(before("i") > F.col("t"), F.col("i") - 1).otherwise(F.col("i")))
+    drawn = drawn.withColumn("i", F.when(before("(i + 1L)") <= F.col("t"), F.col("i") + 1).otherwise(F.col("i")))
+    drawn = drawn.select(F.col("id").alias("draw"), F.col("i").alias("a_at"), (F.col("t") - before("i") + F.col("i") + 1).alias("b_at"))
+    a, b = (place.select(*[F.col(c).alias(f"{s}_{c}") for c in place.columns]) for s in "ab")
+    found = drawn.join(a, "a_at").join(b, "b_at")
+    d = models.euclidean([F.col(f"a_{c}") for c in dims], [F.col(f"b_{c}") for c in dims])
+    return found.select("draw", "a_id", "b_id", d.alias("d"), semivariance_column().alias("gamma"))
+
+
+def sampled_variogram(points: DataFrame, n_pairs: int, edges: Sequence[float], seed: int = 0, closed: str = "left") -> DataFrame:
+    """Lag table of sampled_pairs; counts are those of the draws."""
+    edges = check_edges(edges)
+    found = sampled_pairs(points, n_pairs, seed).select(bin_of(F.col("d"), edges, closed).alias("bin"), "gamma").filter("bin is not null")
+    return lag_table(found.groupBy("bin").agg(F.avg("gamma").alias("gamma"), F.count("*").alias("count")), bins_frame(points, edges))
+
+
 def check_directions(directions: Sequence[float], tolerance: float, n_bins: int) -> None:
     if not len(directions):
         raise ValueError("directions must not be empty")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from fieldstats.operators import extent, validation
+from fieldstats.operators import extent, validation, variogram
 from fieldstats.plans.closed_forms import _S, NATIONS, NUGGET, RANGE, SILL, estimator, grid_sql, krige_sql, nations, targets
-from fieldstats.plans.queries import DIST, EVT, MODEL, PTS, events, kriging, pts, quantile_sql, query, r6, rounded
+from fieldstats.plans.queries import _BIN, _BINS, _SQL, DIST, EDGES, EVT, MODEL, PTS, events, kriging, pts, quantile_sql, query, r6, rounded
+from fieldstats.session import shared_folder
+from fieldstats.sources import points as source
+from fieldstats.streaming import accumulator
 
 
 def _iterative(kind: str):
@@ -101,3 +105,37 @@ _W = (
 def _(spark, sf_dir):
     w, _ = validation.shapiro_wilk_of(pts(spark, sf_dir))
     return spark.createDataFrame([(w,)], "w double").select(r6("w").alias("w"))
+
+
+def raw_folder(spark, name: str) -> str:
+    """A new folder for raw files in the folder that driver and executors share."""
+    return f"{shared_folder(spark).removeprefix('file://')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("raw_array_round_trip", f"WITH {EVT} SELECT row_number() OVER (ORDER BY id) - 1 AS id, round(x, 6)+0.0 AS c0, round(y, 6)+0.0 AS c1 FROM evt")
+def _(spark, sf_dir):
+    """Coordinates of all events through raw files, in tasks of 700 rows."""
+    path = raw_folder(spark, "events")
+    source.write_raw_array(events(spark, sf_dir), ["x", "y"], path)
+    return rounded(source.read_raw_array(spark, path, 2, rows_per_slice=700), "c0", "c1")
+
+
+@query("variogram_memmap", _SQL["variogram_streaming"])
+def _(spark, sf_dir):
+    p, folder = pts(spark, sf_dir), raw_folder(spark, "pts")
+    source.write_raw_array(p, ["x", "y"], f"{folder}/coords")
+    source.write_raw_array(p, ["value"], f"{folder}/values")
+    out = accumulator.streaming_variogram_memmap(spark, f"{folder}/coords", f"{folder}/values", EDGES, rows_per_slice=150)
+    return rounded(out, "lag", "gamma")
+
+
+_DRAWN = f"""WITH {PTS}, r AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM pts),
+f AS (SELECT i, sum(n - 1 - i) OVER (ORDER BY i) - (n - 1 - i) AS before, n FROM r),
+t AS (SELECT k, ('0x' || substr(md5('4:' || k), 1, 15))::BIGINT % (SELECT any_value(n*(n-1)//2) FROM r) AS t FROM (SELECT unnest(range(0, 3000)) AS k)),
+u AS (SELECT k, f.i, t - f.before + f.i + 1 AS j FROM t ASOF JOIN f ON t.t >= f.before),
+p AS (SELECT {DIST} AS d, 0.5*(a.value-b.value)*(a.value-b.value) AS g FROM u JOIN r a ON a.i = u.i JOIN r b ON b.i = u.j)"""
+
+
+@query("variogram_sampled_pairs", f"{_DRAWN}, {_BINS} SELECT b.bin, round(any_value(lag), 6)+0.0 AS lag, round(coalesce(avg(g), 0), 6)+0.0 AS gamma, count(g)::BIGINT AS count FROM bins b LEFT JOIN (SELECT ({_BIN})::INT AS bin, g FROM p WHERE d < {EDGES[-1]!r}) USING (bin) GROUP BY b.bin")
+def _(spark, sf_dir):
+    return rounded(variogram.sampled_variogram(pts(spark, sf_dir), 3_000, EDGES, 4), "lag", "gamma")

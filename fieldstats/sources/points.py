@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldstats.sources.raw import read_raw_array, write_raw_array  # noqa: F401  part of this module's interface
+
 AXES = ("x", "y", "z")
 
 
@@ -92,43 +94,6 @@ def write_points(frame: DataFrame, path: str, fmt: str = "parquet", mode: str =
     frame.write.format(fmt).mode(mode).save(path)
 
 
-def read_raw_array(spark: SparkSession, path: str, n_columns: int, dtype: str = "<f8", rows_per_slice: int = 500_000) -> DataFrame:
-    """Rows of a headerless row-major binary file as id and c0, c1, ...
-
-    Files of equal layout are read as Spark tasks; rows keep their file order in id.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = ", ".join(["path string", "id long", *[f"c{i} double" for i in range(n_columns)]])
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                data = np.frombuffer(content, dtype)
-                if len(data) % n_columns:
-                    raise ValueError(f"{name} does not hold rows of {n_columns} numbers")
-                data = data.reshape(-1, n_columns)
-                for start in range(0, len(data), rows_per_slice):
-                    part = data[start : start + rows_per_slice].astype(float)
-                    yield pd.DataFrame({"path": name, "id": np.arange(start, start + len(part)), **{f"c{i}": part[:, i] for i in range(n_columns)}})
-
-    return files.mapInPandas(run, schema)
-
-
-def write_raw_array(frame: DataFrame, columns: Sequence[str], path: str, order: str = "id", dtype: str = "<f8") -> int:
-    """Write columns as a headerless row-major file on the driver, streaming one partition at a time."""
-    from pathlib import Path
-
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    n = 0
-    with open(path, "wb") as out:
-        for row in frame.select(order, *columns).orderBy(order).toLocalIterator(prefetchPartitions=True):
-            out.write(np.array(row[1:], dtype).tobytes())
-            n += 1
-    return n
-
-
 def _check_bounds(bounds: tuple[float, float, float, float]) -> None:
     xmin, xmax, ymin, ymax = bounds
     if not (xmax > xmin and ymax > ymin):
