@@ -23,24 +23,23 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN m ON m.id = doc_id
 #: OP2 with the number of links of each document.
 OP2_LINKS = OP2.replace("AS component_id", "AS component_id, coalesce(k.n, 0)::BIGINT AS n_links") + "LEFT JOIN (SELECT x AS doc_id, count(*) AS n FROM b GROUP BY 1) k USING (doc_id)\n"
 
+#: Every row is judged by itself; rows of one doc_id are one document for the counts, each row without one is another.
 OP8 = f"""
-WITH t AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, host, t, regexp_extract_all(t, {_WORD}) AS w FROM t),
-g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM
-  (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
-rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY 1),
-l AS (SELECT doc_id, host, line, len(regexp_extract_all(line, {_WORD})) AS n,
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT row, doc_id, host, t, regexp_extract_all(t, {_WORD}) AS w FROM t),
+g AS (SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c) AS n FROM
+  (SELECT row, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
+rep AS (SELECT row, count(DISTINCT i + k) AS n FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY 1),
+l AS (SELECT row, coalesce(doc_id::VARCHAR, 'row ' || row) AS document, host, line, len(regexp_extract_all(line, {_WORD})) AS n,
   array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}), ' ') AS norm
-  FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM t)),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE n > 0 GROUP BY 1),
-hosts AS (SELECT host, count(*) AS docs FROM t GROUP BY 1),
-freq AS (SELECT l.host, norm FROM l JOIN hosts h ON h.host IS NOT DISTINCT FROM l.host WHERE n > 0
-  GROUP BY l.host, norm HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.005 * any_value(docs)),
-gone AS (SELECT doc_id, sum(n) AS n FROM l JOIN freq f ON f.host IS NOT DISTINCT FROM l.host AND f.norm = l.norm WHERE n > 0 GROUP BY 1),
+  FROM (SELECT row, doc_id, host, unnest(string_split(t, chr(10))) AS line FROM t)),
+dup AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM l WHERE n > 0 GROUP BY 1),
+freq AS (SELECT host, norm FROM l WHERE n > 0 GROUP BY host, norm HAVING count(DISTINCT document) > 10),
+gone AS (SELECT row, sum(n) AS n FROM l JOIN freq f ON f.host IS NOT DISTINCT FROM l.host AND f.norm = l.norm WHERE n > 0 GROUP BY 1),
 o AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
-  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+  FROM w LEFT JOIN dup USING (row) LEFT JOIN rep USING (row) LEFT JOIN gone USING (row)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o)
 SELECT *, NOT base_failed AND n_words - removed_words >= 0.5 * n_words AS kept FROM f
 """

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldstats.llm.store import stage
+from fieldstats.llm.store import join_keyed, stage
 from fieldstats.llm.text import Texts, U, fold, lists, mix, slices, span_hashes, texts_of
 
 MIN_DOCS = 10
@@ -102,22 +102,25 @@ def measure(docs: DataFrame, host: str = "source", row: str | None = None) -> Da
 
 
 def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: float | None = None) -> DataFrame:
-    """host, line, n_docs of lines in more than min_docs documents of a host, and above the share if one is given."""
+    """host, line, n_docs and n_rows (rows that hold it) of lines in more than min_docs documents of a host, and above the share if one is given."""
     lines = measured.select("host", F.coalesce("doc_id", "row").alias("document"), F.col("doc_id").isNull().alias("nameless"), F.explode("lines").alias("line"))
-    lines = lines.groupBy("host", "line").agg(F.countDistinct("document", "nameless").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    lines = lines.groupBy("host", "line").agg(F.countDistinct("document", "nameless").alias("n_docs"), F.count("*").alias("n_rows")).filter(F.col("n_docs") > min_docs)
     if max_share is None:
         return lines
     hosts = measured.groupBy("host").agg((F.countDistinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("n_host"))
     same = lines["host"].eqNullSafe(hosts["host"])
-    return lines.join(hosts, same).filter(F.col("n_docs") > max_share * F.col("n_host")).select(lines["host"], "line", "n_docs")
+    return lines.join(hosts, same).filter(F.col("n_docs") > max_share * F.col("n_host")).select(lines["host"], "line", "n_docs", "n_rows")
 
 
 def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float | None = None, min_left: float = MIN_LEFT, row: str | None = None) -> DataFrame:
     """Counts, words in removed lines, base verdict and final verdict of each document; with `row` also that column and the hashes of its removed lines."""
     measured = stage(measure(docs, host, row), "lines")
-    frequent = frequent_lines(measured, min_docs, max_share).select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("nil"), "line")
-    held = measured.select("row", F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("nil"), F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "h", "nil", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n"))
-    removed = held.join(frequent, ["h", "nil", "line"]).groupBy("row").agg(F.sum("n").alias("removed"), *([F.collect_set("line").alias("removed_lines")] if row else []))
+    # a line that every document of a host has would bring them all to one task: such keys are broadcast
+    key = F.xxhash64(F.col("host").isNull(), F.coalesce("host", F.lit("")), "line").alias("key")
+    frequent = stage(frequent_lines(measured, min_docs, max_share).select(key, F.col("host").alias("at_host"), F.col("line").alias("at_line"), "n_rows"), "frequent-lines")
+    held = measured.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("n")).select("row", "host", "line", "n", key)
+    found = join_keyed(held, frequent, "key", "n_rows").filter(F.col("host").eqNullSafe(F.col("at_host")) & (F.col("line") == F.col("at_line")))
+    removed = found.groupBy("row").agg(F.sum("n").alias("removed"), *([F.collect_set("line").alias("removed_lines")] if row else []))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = measured.drop("lines", "line_words").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0))).drop("removed", *([] if row else ["row"]))
     left = F.col("n_words") - F.col("removed_words")
