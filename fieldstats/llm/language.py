@@ -15,12 +15,18 @@ its address, and its host.
   that it does not confirm itself.
 
 The posterior is the normalised product.  Sums are DataFrame aggregations of small
-rows, pre-aggregated before shuffles, and joined back by their key.
+rows (key, language), pre-aggregated before shuffles, and joined back by their key.
+
+Tables are sparse, so that many languages cost what the sample holds and no more: the text model
+keeps the trigrams that a language has; a record keeps what they add to a
+baseline, and its votes of at least LEAST_VOTE.  A record without trigrams has no vote.
 
 Defined cases: a null or empty text has a flat likelihood, so declaration,
 suffix and host decide; a null address, a host of no name and a missing
 declaration are values of their own that say nothing; ties go to the language
-first in alphabetical order.  Repeated rows are scored alike.
+first in alphabetical order.  Repeated rows are scored alike.  Markup is read in one pass forward, so that
+a page of unclosed tags, comments or scripts of any length takes linear time: what
+is never closed is text, as is a tag without an end.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 
 from fieldstats.llm.labelled import SAMPLE_BYTES, SAMPLE_ROWS
 from fieldstats.llm.store import fold_of, stage
-from fieldstats.llm.text import _LOWER, Texts, parts, slices, texts_of
+from fieldstats.llm.text import _LOWER, Texts, lists, parts, slices, texts_of
 
 BITS = 16
 EVIDENCE = 200
@@ -45,6 +51,9 @@ HOST_WEIGHT = 5.0
 DOMAIN_WEIGHT = 20.0
 SMOOTH = 1.0
 HOT_KEYS = 256
+LEAST_VOTE = 1e-9
+#: Numbers of a dense block of records by languages.
+CELLS = 2_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -53,23 +62,53 @@ _LETTER[0x80:] = True
 
 @dataclass
 class TextModel:
+    """log P(trigram bucket | language): `base` for buckets that a language lacks, and for those it has, by bucket, what they add to that."""
+
     languages: list[str]
-    table: np.ndarray  # log P(trigram bucket | language), one row per bucket
+    base: np.ndarray
+    first: np.ndarray  # entries of bucket b: first[b] to first[b + 1]
+    owner: np.ndarray
+    gain: np.ndarray
+
+    @classmethod
+    def of(cls, languages: list[str], buckets: np.ndarray, labels: np.ndarray) -> TextModel:
+        """From trigram occurrences with their languages; each bucket counts half an occurrence more."""
+        k = len(languages)
+        names, n = np.unique(buckets * np.int64(max(k, 1)) + labels, return_counts=True)
+        bucket, owner = names // max(k, 1), names % max(k, 1)
+        total = np.bincount(labels, minlength=k) + 0.5 * (1 << BITS)
+        first = np.searchsorted(bucket, np.arange((1 << BITS) + 1))
+        return cls(languages, np.log(0.5 / total), first, owner.astype(np.int32), np.log((n + 0.5) / 0.5).astype(np.float32))
+
+    def evidence(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tempered trigrams of each text; text, language and tempered gain of the languages that share a trigram with it, in order."""
+        k = max(1, len(self.languages))
+        buckets, text = trigrams(texts)
+        n = np.bincount(text, minlength=texts.n)
+        scale = np.minimum(1, EVIDENCE / np.maximum(n, 1))
+        buckets, counts = np.unique(text * np.int64(1 << BITS) + buckets, return_counts=True)
+        text, buckets = buckets >> BITS, buckets & ((1 << BITS) - 1)
+        held = self.first[buckets + 1] - self.first[buckets]
+        at = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held - self.first[buckets], held)
+        names, where = np.unique(np.repeat(text, held) * np.int64(k) + self.owner[at], return_inverse=True)
+        gain = np.bincount(where, np.repeat(counts, held) * self.gain[at], len(names))
+        return n * scale, names // k, names % k, gain * scale[names // k]
 
     def log_likelihood(self, texts: Texts) -> np.ndarray:
         """Tempered log likelihood of each text under each language."""
-        buckets, text = trigrams(texts)
-        k = len(self.languages)
-        n = np.bincount(text, minlength=texts.n)
-        sums = np.stack([np.bincount(text, self.table[buckets, j], texts.n) for j in range(k)], axis=1) if k else np.zeros((texts.n, 0))
-        return sums * np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
+        length, text, owner, gain = self.evidence(texts)
+        out = length[:, None] * self.base
+        out[text, owner] += gain
+        return out
 
 
 def trigrams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and text of each byte trigram; runs of other bytes count as one blank, trigrams of no letter are left out."""
     data = _LOWER[texts.raw]
     data = np.where(_LETTER[data], data, np.uint8(32)).astype(np.uint32)
-    at = np.flatnonzero((data != 32) | np.concatenate([[True], data[:-1] != 32])[: len(data)])
+    first = np.concatenate([[True], data[:-1] != 32])[: len(data)]
+    first[texts.offsets[:-1][texts.sizes > 0]] = True  # a text's first blank counts, whatever text stands before it
+    at = np.flatnonzero((data != 32) | first)
     owner = np.repeat(np.arange(texts.n), texts.sizes)[at]
     data = data[at]
     if len(data) < 3:
@@ -113,57 +152,127 @@ def fit_text(docs: DataFrame, language: str = "lang", held_out: int = 0, rows: i
     usable = docs.filter(F.col(language).isNotNull() & (fold_of() != held_out) & (F.octet_length("text").between(1, SAMPLE_BYTES)))
     chosen, names = choose(usable.select("doc_id", "text", F.col(language).cast("string").alias("label")), rows)
     found = chosen.toArrow().combine_chunks()
-    counts = np.full((1 << BITS, len(names)), 0.5)
-    labels = np.array([names.index(x) for x in found.column("label").to_pylist()], np.int64) if names else np.zeros(0, np.int64)
-    if names:
-        for part, first in parts(texts_of(found.column("text"))):
-            buckets, text = trigrams(part)
-            np.add.at(counts, (buckets, labels[text + first]), 1.0)
-    return TextModel(names, np.log(counts / counts.sum(0)).astype(np.float32) if names else counts)
+    labels = np.searchsorted(names, found.column("label").to_pylist()).astype(np.int64) if names else np.zeros(0, np.int64)
+    seen, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part, first in parts(texts_of(found.column("text"))) if names else ():
+        buckets, text = trigrams(part)
+        seen.append(buckets)
+        owners.append(labels[text + first])
+    return TextModel.of(names, np.concatenate(seen), np.concatenate(owners))
 
 
-_SKIP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,3})|<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?\s*([a-z]{2,3})", re.I)
+_KIND = re.compile(r"(script|style)\b|!--", re.I)
+_CLOSE = {"script": re.compile(r"</script\s*+>", re.I), "style": re.compile(r"</style\s*+>", re.I), "!--": re.compile("-->")}
+_HTML, _META = re.compile(r"<html\b", re.I), re.compile(r"<meta\b", re.I)
+_LANG = re.compile(r"\b(?:xml:)?lang\s*+=\s*+[\"']?+\s*+([a-z]{2,3})", re.I)
+_NAMED = re.compile("content-language", re.I)
+_CONTENT = re.compile(r"content\s*+=\s*+[\"']?+\s*+([a-z]{2,3})", re.I)
 
 
 def visible(page: str) -> str:
-    return entities.unescape(_SKIP.sub(" ", page))
+    """The text of a page: tags, comments, scripts and styles become a blank, entities their characters."""
+    out, at, unclosed = [], 0, set()
+    while (start := page.find("<", at)) >= 0:
+        end, kind = -1, _KIND.match(page, start + 1)
+        name = kind and (kind[1] or "!--").lower()
+        if name and name not in unclosed:
+            closed = _CLOSE[name].search(page, kind.end())
+            if closed:
+                end = closed.end()
+            else:
+                unclosed.add(name)  # nor is a later one closed
+        if end < 0:
+            end = page.find(">", start) + 1
+            if not end:
+                break
+        out += [page[at:start], " "]
+        at = end
+    return entities.unescape("".join([*out, page[at:]]))
 
 
 def declared(page: str) -> str | None:
-    found = _DECLARED.search(page)
-    return (found[1] or found[2]).lower() if found else None
+    """Language of the first html tag with a lang attribute, or content-language tag, that has one.
+
+    A tag ends at the next `>`, so each piece up to one is searched once.
+    """
+    start = 0
+    while start < len(page):
+        end = page.find(">", start)
+        end = len(page) if end < 0 else end
+        found = []
+        if tag := _HTML.search(page, start, end):
+            if said := _LANG.search(page, tag.end(), end):
+                found.append((tag.start(), said[1]))
+        if tag := _META.search(page, start, end):
+            named = _NAMED.search(page, tag.end(), end)
+            said = [m[1] for m in _CONTENT.finditer(page, named.end(), end)] if named else []
+            if said:
+                found.append((tag.start(), said[-1]))
+        if found:
+            return min(found)[1].lower()
+        start = end + 1
+    return None
+
+
+_FIELDS = ["id", "host", "declared", "length", "seen", "gain", "voted", "p"]
+RECORD = "id long, host string, declared string, length double, seen array<int>, gain array<double>, voted array<int>, p array<double>"
+
+
+def blocks(n: int, k: int) -> Iterator[slice]:
+    """Runs of records whose dense rows hold about CELLS numbers."""
+    size = max(1, CELLS // max(1, k))
+    for start in range(0, n, size):
+        yield slice(start, min(n, start + size))
+
+
+def dense(values: np.ndarray, owner: np.ndarray, column: np.ndarray, rows: slice, k: int) -> np.ndarray:
+    """Rows of a sparse table as an array."""
+    a, b = np.searchsorted(owner, [rows.start, rows.stop])
+    out = np.zeros((rows.stop - rows.start, k))
+    out[owner[a:b] - rows.start, column[a:b]] = values[a:b]
+    return out
 
 
-def rows_of(values: np.ndarray) -> pa.Array:
-    n, k = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(values.ravel(), pa.float64()))
+def record_columns(model: TextModel, texts: Texts) -> list[pa.Array]:
+    """length, seen, gain, voted and p of each text."""
+    k, n = len(model.languages), texts.n
+    length, text, owner, gain = model.evidence(texts)
+    voters, voted, p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for rows in blocks(n, k) if k else ():
+        share = softmax(length[rows, None] * model.base + dense(gain, text, owner, rows, k))
+        share[length[rows] == 0] = 0
+        at, which = np.nonzero(share >= LEAST_VOTE)
+        voters.append(at + rows.start)
+        voted.append(which)
+        p.append(share[at, which])
+    voters = np.concatenate(voters)
+    sparse = lambda values, owner, kind: lists(values, owner, n, kind)
+    return [pa.array(length), sparse(owner.astype(np.int32), text, pa.int32()), sparse(gain, text, pa.float64()), sparse(np.concatenate(voted).astype(np.int32), voters, pa.int32()), sparse(np.concatenate(p), voters, pa.float64())]
 
 
 def page_records(pages: DataFrame, model: TextModel) -> DataFrame:
-    """id, host, declared, likelihood and text posterior p of raw web pages."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers for each language
+    """id, host, declared and text evidence of raw web pages."""
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # as large as the trigrams of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _ in slices(batches, "html"):
             raw = [x or "" for x in batch.column(2).to_pylist()]
-            values = shared.value.log_likelihood(texts_of(pa.array([visible(x) for x in raw], pa.string())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([declared(x) for x in raw], pa.string()), rows_of(values), rows_of(softmax(values) if values.size else values)], ["id", "host", "declared", "likelihood", "p"])
+            texts = texts_of(pa.array([visible(x) for x in raw], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([declared(x) for x in raw], pa.string()), *record_columns(shared.value, texts)], _FIELDS)
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1))
-    return pages.select(F.col("page_id").cast("long").alias("id"), host.alias("host"), "html").mapInArrow(run, "id long, host string, declared string, likelihood array<double>, p array<double>")
+    return pages.select(F.col("page_id").cast("long").alias("id"), host.alias("host"), "html").mapInArrow(run, RECORD)
 
 
 def document_records(docs: DataFrame, model: TextModel, host: str = "source") -> DataFrame:
-    """id, host, declared (none), likelihood and text posterior p of plain documents."""
+    """id, host, declared (none) and text evidence of plain documents."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            values = shared.value.log_likelihood(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([None] * texts.n, pa.string()), rows_of(values), rows_of(softmax(values) if values.size else values)], ["id", "host", "declared", "likelihood", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([None] * texts.n, pa.string()), *record_columns(shared.value, texts)], _FIELDS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.lower(F.col(host).cast("string")), F.lit("")).alias("host"), "text").mapInArrow(run, "id long, host string, declared string, likelihood array<double>, p array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.lower(F.col(host).cast("string")), F.lit("")).alias("host"), "text").mapInArrow(run, RECORD)
 
 
 def softmax(values: np.ndarray) -> np.ndarray:
@@ -171,9 +280,10 @@ def softmax(values: np.ndarray) -> np.ndarray:
     return raised / raised.sum(1, keepdims=True)
 
 
-def matrix(column: pa.Array, k: int) -> np.ndarray:
-    """Rows of a list column of k numbers each."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+def table(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the row of each."""
+    held = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), held)
 
 
 @dataclass
@@ -213,30 +323,47 @@ def join_votes(rows: DataFrame, name: str, votes: DataFrame, total: float) -> Da
     return rows.withColumn(f"by_{name}", F.coalesce("hot", "cold")).drop("join_key", "key", "hot", "cold")
 
 
-def identify(records: DataFrame, languages: list[str]) -> DataFrame:
-    """lang, probability and text_lang of records of id, host, declared, likelihood and p; other columns stay."""
+def identify(records: DataFrame, model: TextModel) -> DataFrame:
+    """lang, probability and text_lang of records; other columns stay."""
+    languages = model.languages
     k = len(languages)
-    kept = [c for c in records.columns if c not in ("likelihood", "p", "host")]
+    kept = [c for c in records.columns if c not in ("length", "seen", "gain", "voted", "p", "host")]
     if not k:
         return records.select(*kept, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"))
     suffix = F.when(F.col("host").contains("."), F.regexp_extract("host", r"([^.]*)$", 1)).otherwise("")
     read = stage(records.withColumns({"domain": F.regexp_extract("host", r"([^.]*\.[^.]*|[^.]*)$", 1), "suffix": suffix, "said": F.coalesce("declared", F.lit(""))}), "language")
-    sums = [F.sum(F.element_at("p", j + 1)).alias(f"s{j}") for j in range(k)]
-    total = np.array([x or 0.0 for x in read.agg(*sums).first()])
+    keys = ("host", "domain", "suffix", "said")
+    each = read.select(*keys, F.explode(F.arrays_zip("voted", "p")).alias("v")).select(*keys, F.col("v.voted").alias("language"), F.col("v.p").alias("p"))
+    total = np.zeros(k)
+    for r in each.groupBy("language").agg(F.sum("p").alias("s")).collect():  # a row for each language
+        total[r.language] = r.s
+    n = read.count()
     out = read
-    for name in ("host", "domain", "suffix", "said"):
-        votes = read.groupBy(name).agg(*sums, F.count("*").alias("rows")).select(F.col(name).alias("key"), F.array(*[F.col(f"s{j}") for j in range(k)]).alias("votes"), "rows")
-        out = join_votes(out, name, stage(votes, f"votes-{name}"), sum(total))
+    for name in keys:
+        sums = each.groupBy(name, "language").agg(F.sum("p").alias("s")).groupBy(name).agg(F.collect_list(F.struct("language", "s")).alias("votes"))
+        rows = read.groupBy(name).agg(F.count("*").alias("rows"))
+        votes = stage(sums.join(rows, name).withColumnRenamed(name, "key"), f"votes-{name}")
+        out = join_votes(out, name, votes, n)
     names = pa.array(languages)
+    shared = records.sparkSession.sparkContext.broadcast((model.base, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, total = shared.value
         for batch in batches:
             at = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
-            p, found = matrix(at["p"], k), {n: matrix(at[f"by_{n}"], k) for n in ("host", "domain", "suffix", "said")}
+            length = at["length"].to_numpy()
+            sparse = {"gain": (at["gain"], at["seen"]), "p": (at["p"], at["voted"])}
+            sparse |= {n: (pa.ListArray.from_arrays(v.offsets, v.values.field("s"), mask=v.is_null()), pa.ListArray.from_arrays(v.offsets, v.values.field("language"), mask=v.is_null())) for n in keys for v in [at[f"by_{n}"]]}
+            sparse = {n: (*table(v), table(c)[0]) for n, (v, c) in sparse.items()}
             known = {n: np.array([x != "" for x in at[n].to_pylist()], bool) for n in ("host", "suffix", "said")}
-            posterior = Evidence(total).posterior(matrix(at["likelihood"], k), p, found, known)
-            best = posterior.argmax(1) if len(p) else np.zeros(0, np.int64)
-            columns = [*(at[c] for c in kept), names.take(pa.array(best)), pa.array(posterior.max(1) if len(p) else np.zeros(0)), names.take(pa.array(p.argmax(1) if len(p) else best))]
+            best, share, text = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for rows in blocks(batch.num_rows, k):
+                full = {n: dense(v, o, c, rows, k) for n, (v, o, c) in sparse.items()}
+                likelihood = length[rows, None] * base + full.pop("gain")
+                p = full.pop("p")
+                posterior = Evidence(total).posterior(likelihood, p, full, {n: x[rows] for n, x in known.items()})
+                best[rows], share[rows], text[rows] = posterior.argmax(1), posterior.max(1), likelihood.argmax(1)
+            columns = [*(at[c] for c in kept), names.take(pa.array(best)), pa.array(share), names.take(pa.array(text))]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "lang", "probability", "text_lang"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema if f.name in kept), "lang string, probability double, text_lang string"])

@@ -63,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit_text(docs)
     documents = language.document_records(docs, model).withColumns({"doc_id": F.col("id"), "page_id": F.lit(None).cast("long")})
     pages = language.page_records(load(spark, sf_dir, "pages"), model).withColumns({"doc_id": F.lit(None).cast("long"), "page_id": F.col("id")})
-    return language.identify(documents.unionByName(pages), model.languages).drop("id")
+    return language.identify(documents.unionByName(pages), model).drop("id")
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,17 @@
 """Rows without an id, clashing column names and repeated rows in every operator."""
 
+import hashlib
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from fieldstats.llm import decontaminate, jaccard, katz, labelled, language, quality_model, quality_rules, shards, toxicity
+from fieldstats.llm import decontaminate, encoding, jaccard, katz, labelled, language, quality_model, quality_rules, shards, token_counts, toxicity
+from fieldstats.llm.queries import vocabulary_path
+from fieldstats.llm.text import texts_of
 
 CLASHES = ["1 as label", "'x' as `class`", "2 as shingles", "3 as train", "4 as n", "'h' as host", "5 as lines", "6 as size", "7 as shard", "8 as id", "9 as kept", "10 as score"]
 
@@ -27,14 +34,44 @@ def test_every_operator_returns_every_row(spark, docs):
     assert shards.shard_documents(docs, 3).count() == 7
     for module in (toxicity, quality_model):
         model = module.fit(docs, labels)
-        assert module.score(docs, model).count() == 7
-        assert module.score(docs, model).filter("held_out is null").count() == 0
-        assert module.keep(docs, model).columns == docs.columns
+        plain = {t: float(model.score(texts_of(pa.array([t])))[0]) for t in ("a b c d e f", "", "x " * 40_000)}
+        scored = module.score(docs, model).collect()
+        wanted = [(r.doc_id, plain[r.text or ""], r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in docs.collect()]
+        assert sorted(map(str, ((r.doc_id, r.held_out) for r in scored))) == sorted(map(str, ((i, h) for i, _, h in wanted)))
+        assert sorted(r.score for r in scored) == pytest.approx(sorted(p for _, p, _ in wanted), rel=1e-6)
+        assert all(r.predicted == (r.score >= module.THRESHOLD) for r in scored)
+        stays = (lambda p: p < module.THRESHOLD) if module is toxicity else (lambda p: p >= module.THRESHOLD)
+        kept = module.keep(docs, model)
+        assert kept.columns == docs.columns and kept.count() == sum(stays(p) for _, p, _ in wanted)
     found = decontaminate.contaminated(docs, bench).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (None, 1)}
     assert decontaminate.clean(docs, bench).count() == 5
     model = language.fit_text(docs)
-    assert language.identify(language.document_records(docs, model), model.languages).count() == 7
+    found = language.identify(language.document_records(docs, model), model).collect()
+    assert sorted(map(str, (r.id for r in found))) == sorted(map(str, (r.doc_id for r in docs.collect())))
+    # no labelled text is short enough to learn from and not empty
+    assert {(r.lang, r.probability) for r in found} == {(None, None)}
+    short = docs.withColumn("lang", F.when(F.col("doc_id") == 1, "de").when(F.col("doc_id") == 2, "en").otherwise(F.col("lang"))).withColumn("text", F.when(F.col("doc_id") == 2, "the other words").otherwise(F.col("text")))
+    model = language.fit_text(short, held_out=9)
+    found = {(r.id, r.lang) for r in language.identify(language.document_records(short, model), model).collect()}
+    assert model.languages == ["de", "en"] and {(1, "de"), (None, "de"), (2, "en")} <= found and {lang for _, lang in found} == {"de", "en"}
+
+
+def test_encodings_of_missing_and_repeated_rows(docs):
+    path = vocabulary_path()
+    tokens = Tokenizer.from_file(path)
+    tokens.no_truncation()
+    tokens.no_padding()
+    wanted = []
+    for r in docs.collect():
+        ids = tokens.encode(r.text or "", add_special_tokens=False).ids
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        wanted.append((r.doc_id, len((r.text or "").encode()), len(ids), sha(np.array(ids, "<u4").tobytes()), sha(tokens.decode(ids, skip_special_tokens=False).encode())))
+    coded = {str((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256)) for r in encoding.digests(docs, path).collect()}
+    assert coded == {str((w[0], *w[2:])) for w in wanted}
+    counted = sorted(str((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit)) for r in token_counts.count(docs, path).collect())
+    assert counted == sorted(str((*w[:3], w[2] > 512)) for w in wanted)
+    assert encoding.digests(docs, path).count() == 7
 
 
 def test_rows_are_judged_and_cut_by_themselves(spark):
