@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldstats.llm import language, quality_model, toxicity
-from fieldstats.llm.text import texts_of
+from fieldstats.llm.text import U, fold, span_hashes, texts_of
 
 BAD = ["vile", "rotten", "awful"]
 
@@ -86,13 +89,13 @@ def test_language_fusion(spark):
         pages.append((i, f"http://{lang}.site.{lang}/p{i}", f'<html lang="{lang}"><script>var der;</script><p>{text(lang, 30)}</p></html>'))
     pages += [(90, "http://de.site.de/x", None), (91, None, "<html lang=fr><p></p></html>"), (92, "not an address", ""), (93, "http://en.site.en/y", "<p>" + text("en", 20) + "</p>")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r.id: r for r in language.identify(language.page_records(frame, model), model.languages).collect()}
+    got = {r.id: r for r in language.identify(language.page_records(frame, model), model).collect()}
     assert len(got) == 94 and all(got[i].lang == list(stems)[i % 3] for i in range(90))
     assert got[90].lang == "de" and got[91].lang == "fr" and got[93].lang == "en"
     assert all(0 < r.probability <= 1 for r in got.values())
-    assert language.identify(language.page_records(frame.limit(0), model), model.languages).count() == 0
+    assert language.identify(language.page_records(frame.limit(0), model), model).count() == 0
     none = language.fit_text(docs.limit(0))
-    assert {r.lang for r in language.identify(language.page_records(frame, none), none.languages).collect()} == {None}
+    assert {r.lang for r in language.identify(language.page_records(frame, none), none).collect()} == {None}
 
 
 def test_rare_languages_are_learnt(spark):
@@ -107,7 +110,7 @@ def test_rare_languages_are_learnt(spark):
     model = language.fit_text(frame)
     assert len(model.languages) == 210
     some = frame.filter("doc_id < 420")
-    assert {(r.id, r.lang) for r in language.identify(language.document_records(some, model), model.languages).collect()} >= {(0, "l000"), (209, "l209")}
+    assert {(r.id, r.lang) for r in language.identify(language.document_records(some, model), model).collect()} >= {(0, "l000"), (209, "l209")}
     assert language.quotas({"a": 3, "b": 1000, "c": 70}, 100) == {"a": 3, "c": 48, "b": 49}
 
 
@@ -116,3 +119,131 @@ def test_markup():
     assert language.declared('<meta http-equiv="content-language" content="de">') == "de"
     assert language.declared("<p lang=fr>") is None
     assert language.visible("<style>a{}</style>x<!-- y --><b>z</b>&amp;").split() == ["x", "z", "&"]
+
+
+def plain_sentences(text):
+    """Words of letters by sentence, A-Z lower-cased; sentences end at . ! ? and line ends."""
+    out = []
+    for part in text.replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
+        words, word = [], bytearray()
+        for b in [*part.encode(), 0]:
+            b = b + 32 if 65 <= b <= 90 else b
+            if 97 <= b <= 122 or b >= 128:
+                word.append(b)
+            elif word:
+                words.append(bytes(word))
+                word = bytearray()
+        if words:
+            out.append(words)
+    return out
+
+
+def bucket_of(word, bits):
+    texts = texts_of(pa.array([word.decode()]))
+    return int(span_hashes(texts.raw, np.array([0]), np.array([len(texts.raw)]))[0] >> U(64 - bits))
+
+
+def test_toxicity_scores_are_the_noisy_or(labelled):
+    docs, marks = labelled
+    model = toxicity.fit(docs, marks)
+    bad = [["fine words. VILE and vile rotten!\nawful?"], [""], ["alpha vile. beta rotten vile? " * 40]]
+    for (text,) in bad:
+        left = 1 - model.leak
+        base = 1 / (1 + math.exp(-model.bias))
+        for words in plain_sentences(text):
+            z = model.bias + sum(float(model.weights[b]) for b in {bucket_of(w, toxicity.BUCKET_BITS) for w in words})
+            left *= 1 - min(1 - 1e-12, max(0, (1 / (1 + math.exp(-max(-30, min(30, z)))) - base) / (1 - base)))
+        assert model.score(texts_of(pa.array([text])))[0] == pytest.approx(1 - left, rel=1e-6)
+    assert model.score(texts_of(pa.array([bad[0][0]])))[0] > 0.5
+
+
+def test_toxicity_training_is_plain_gradient_ascent(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 6)
+    rng = random.Random(5)
+    texts = [". ".join(" ".join(rng.choice(["a", "b", "c", "vile", "rotten"]) for _ in range(4)) for _ in range(3)) for _ in range(40)]
+    labels = [int("vile" in t) for t in texts]
+    found = toxicity.train(texts_of(pa.array(texts)), np.array(labels))
+    bags = [[set(s) for s in plain_sentences(t)] for t in texts]
+    names = sorted({w for bag in bags for s in bag for w in s})
+    w, sums, bias, leak_z = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), toxicity.BIAS, -3.0
+    sigmoid = lambda x: 1 / (1 + math.exp(-max(-30, min(30, x))))
+    for step in range(6):
+        base, leak, gradient, pulls = sigmoid(bias), sigmoid(leak_z), dict.fromkeys(names, 0.0), []
+        for bag, y in zip(bags, labels, strict=True):
+            p = [sigmoid(bias + sum(w[x] for x in s)) for s in bag]
+            none = 1 - leak
+            for v in p:
+                none *= 1 - min(1 - 1e-12, max(0, (v - base) / (1 - base)))
+            pulls.append(none / max(1 - none, 1e-9) if y else -1.0)
+            for s, v in zip(bag, p, strict=True):
+                for x in s:
+                    gradient[x] += v * pulls[-1]
+        for x in names:
+            sums[x] = 0.9 * sums[x] + 0.1 * gradient[x] ** 2
+            rate = toxicity.RATE * (1 - step / 6) / math.sqrt(sums[x] + 1e-3)
+            if step < 3:
+                w[x] = max(w[x] + rate * (gradient[x] - toxicity.SHRINK * math.sqrt(40)), 0)
+            elif w[x] > 0:
+                w[x] = max(w[x] + rate * gradient[x], 1e-9)
+        leak_z = max(-6, min(-1.5, leak_z + 2.0 * leak * sum(pulls) / len(pulls)))
+    assert found.leak == pytest.approx(sigmoid(leak_z), rel=1e-9)
+    for x in names:
+        assert found.weights[bucket_of(x, toxicity.BUCKET_BITS)] == pytest.approx(w[x], rel=1e-5, abs=1e-9), x
+
+
+def plain_features(text):
+    """Buckets of words, word pairs and byte n-grams of a text, each as often as it occurs."""
+    raw = text.encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    h = [int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words]
+    pair = lambda a, b: quality_model._SAME if a == b else int(fold(np.array([a], U), np.array([b], U))[0])
+    out = [x >> 64 - quality_model.BUCKET_BITS for x in [*h, *(pair(a, b) for a, b in zip(h, h[1:]))]]
+    blank = lambda b: b == 32 or 9 <= b <= 13
+    for n in quality_model.NGRAMS:
+        for i in range(len(raw) - n + 1):
+            gram = raw[i : i + n]
+            if any(blank(b) for b in gram[1:-1]):
+                continue
+            x = sum((32 if blank(b) else b) << 8 * k for k, b in enumerate(gram)) & 0xFFFFFFFF
+            x = (x ^ n * 0x3C6EF372 & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF
+            x = (x ^ x >> 15) * 0x85EBCA77 & 0xFFFFFFFF
+            out.append(x >> 32 - quality_model.BUCKET_BITS)
+    return out
+
+
+def test_quality_scores_are_means_of_plain_features(labelled):
+    docs, marks = labelled
+    model = quality_model.fit(docs, marks)
+    for text in ("alpha beta  gamma\nalpha alpha", "x", "", "é ü 漢字 words", "one " * 300):
+        f = plain_features(text)
+        z = model.bias + sum(float(model.table[b]) for b in f) / max(1, len(f))
+        assert model.score(texts_of(pa.array([text])))[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-5)
+
+
+def test_quality_training_is_plain_gradient_descent(monkeypatch):
+    monkeypatch.setattr(quality_model, "EPOCHS", 2)
+    texts, labels = ["alpha beta gamma", "beta | beta", "gamma delta alpha", "x | y"], [1, 0, 1, 0]
+    found = quality_model.train(texts_of(pa.array(texts)), np.array(labels))
+    rng = np.random.default_rng(quality_model.SEED)
+    start = rng.uniform(-1 / quality_model.DIM, 1 / quality_model.DIM, (1 << quality_model.BUCKET_BITS, quality_model.DIM))
+    bags = [Counter(plain_features(t)) for t in texts]
+    v = {b: [float(x) for x in start[b]] for bag in bags for b in bag}
+    out, bias, dims, step = [[0.0, 0.0] for _ in range(quality_model.DIM)], [0.0, 0.0], range(quality_model.DIM), 0
+    for _ in range(2):
+        for i in rng.permutation(4):
+            rate, step = quality_model.RATE * (1 - step / 8), step + 1
+            total = sum(bags[i].values())
+            mean = [sum(n * v[b][d] for b, n in bags[i].items()) / total for d in dims]
+            z = [sum(mean[d] * out[d][c] for d in dims) + bias[c] for c in (0, 1)]
+            e = [math.exp(x - max(z)) for x in z]
+            error = [e[c] / sum(e) - (labels[i] == c) for c in (0, 1)]
+            pull = [sum(out[d][c] * error[c] for c in (0, 1)) for d in dims]
+            for d in dims:
+                for c in (0, 1):
+                    out[d][c] -= rate * mean[d] * error[c]
+            bias = [bias[c] - rate * 0.01 * error[c] for c in (0, 1)]
+            for b, n in bags[i].items():
+                v[b] = [v[b][d] - rate * n / total * pull[d] for d in dims]
+    assert found.bias == pytest.approx(bias[1] - bias[0], rel=1e-4)
+    for b in v:
+        assert found.table[b] == pytest.approx(sum(v[b][d] * (out[d][1] - out[d][0]) for d in dims), rel=1e-3, abs=1e-5)
