@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from fieldstats.llm.labelled import SAMPLE_BYTES, SAMPLE_ROWS
 from fieldstats.llm.store import fold_of, stage
-from fieldstats.llm.text import _LOWER, Texts, lists, parts, slices, texts_of
+from fieldstats.llm.text import _LOWER, Texts, lists, parts, slices, texts_of, trim
 
 BITS = 16
 EVIDENCE = 200
@@ -71,12 +71,11 @@ class TextModel:
     gain: np.ndarray
 
     @classmethod
-    def of(cls, languages: list[str], buckets: np.ndarray, labels: np.ndarray) -> TextModel:
-        """From trigram occurrences with their languages; each bucket counts half an occurrence more."""
-        k = len(languages)
-        names, n = np.unique(buckets * np.int64(max(k, 1)) + labels, return_counts=True)
-        bucket, owner = names // max(k, 1), names % max(k, 1)
-        total = np.bincount(labels, minlength=k) + 0.5 * (1 << BITS)
+    def of(cls, languages: list[str], keys: np.ndarray, n: np.ndarray) -> TextModel:
+        """From distinct keys (bucket * languages + language), in order, and how often each occurs; each bucket counts half an occurrence more."""
+        k = max(1, len(languages))
+        bucket, owner = keys // k, keys % k
+        total = np.bincount(owner, n, len(languages)) + 0.5 * (1 << BITS)
         first = np.searchsorted(bucket, np.arange((1 << BITS) + 1))
         return cls(languages, np.log(0.5 / total), first, owner.astype(np.int32), np.log((n + 0.5) / 0.5).astype(np.float32))
 
@@ -153,12 +152,14 @@ def fit_text(docs: DataFrame, language: str = "lang", held_out: int = 0, rows: i
     chosen, names = choose(usable.select("doc_id", "text", F.col(language).cast("string").alias("label")), rows)
     found = chosen.toArrow().combine_chunks()
     labels = np.searchsorted(names, found.column("label").to_pylist()).astype(np.int64) if names else np.zeros(0, np.int64)
-    seen, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for part, first in parts(texts_of(found.column("text"))) if names else ():
         buckets, text = trigrams(part)
-        seen.append(buckets)
-        owners.append(labels[text + first])
-    return TextModel.of(names, np.concatenate(seen), np.concatenate(owners))
+        new, n = np.unique(buckets * np.int64(len(names)) + labels[text + first], return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+    trim()
+    return TextModel.of(names, keys, counts)
 
 
 _KIND = re.compile(r"(script|style)\b|!--", re.I)
