@@ -458,20 +458,6 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(round(angle, 5),)], "angle double")
 
 
-@query("anisotropy_detection")
-def _(spark, sf_dir):
-    table = variogram.directional(pts(spark, sf_dir), [0.0, 30.0, 60.0, 90.0, 120.0, 150.0], 22.5, edges=EDGES)
-    found = anisotropy.detect(table)
-    return spark.createDataFrame([(found.is_anisotropic, found.major_direction, found.minor_direction, found.ratio, found.sill)], "is_anisotropic boolean, major double, minor double, ratio double, sill double")
-
-
-@query("anisotropy_ensemble")
-def _(spark, sf_dir):
-    p = pts(spark, sf_dir)
-    found = anisotropy.ensemble(p, variogram.directional(p, [0.0, 30.0, 60.0, 90.0, 120.0, 150.0], 22.5, edges=EDGES))
-    return spark.createDataFrame([(found.angle_deg, found.confidence, found.quality, found.geometry.strength, found.geometry.pattern)], "angle double, confidence string, quality double, strength string, pattern string")
-
-
 # -- fitting and kriging ----------------------------------------------------
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from fieldstats.operators import extent, validation, variogram
+from fieldstats.functions import models
+from fieldstats.operators import anisotropy, extent, validation, variogram
 from fieldstats.plans.closed_forms import _S, NATIONS, NUGGET, RANGE, SILL, estimator, grid_sql, krige_sql, nations, targets
-from fieldstats.plans.queries import _BIN, _BINS, _SQL, DIST, EDGES, EVT, MODEL, PTS, events, kriging, pts, quantile_sql, query, r6, rounded
+from fieldstats.plans.queries import _BIN, _BINS, _SQL, DIST, EDGES, EVT, MODEL, PAIRS, PTS, events, kriging, pts, quantile_sql, query, r6, rounded
 from fieldstats.session import shared_folder
 from fieldstats.sources import points as source
 from fieldstats.streaming import accumulator
@@ -139,3 +141,67 @@ p AS (SELECT {DIST} AS d, 0.5*(a.value-b.value)*(a.value-b.value) AS g FROM u JO
 @query("variogram_sampled_pairs", f"{_DRAWN}, {_BINS} SELECT b.bin, round(any_value(lag), 6)+0.0 AS lag, round(coalesce(avg(g), 0), 6)+0.0 AS gamma, count(g)::BIGINT AS count FROM bins b LEFT JOIN (SELECT ({_BIN})::INT AS bin, g FROM p WHERE d < {EDGES[-1]!r}) USING (bin) GROUP BY b.bin")
 def _(spark, sf_dir):
     return rounded(variogram.sampled_variogram(pts(spark, sf_dir), 3_000, EDGES, 4), "lag", "gamma")
+
+
+_SIX = [30.0 * i for i in range(6)]
+_COS = float(np.cos(np.radians(22.5)))
+#: Directional ranges at a share of the sill, and the ellipses through them every half degree.
+_ELLIPSE = """{lags}, mt AS (SELECT *, max(gamma) OVER ({over}) AS sill FROM m), rg AS (SELECT angle, coalesce(min(CASE WHEN gamma >= {share}*sill THEN lag END), max(lag)) AS r, max(sill) AS sill FROM mt GROUP BY 1),
+tr AS (SELECT phi, r, cos(radians(angle - phi))^2 AS c, sin(radians(angle - phi))^2 AS s, 1/(r*r) AS f FROM rg, (SELECT unnest(range(0, 360))*0.5 AS phi)),
+ne AS (SELECT phi, sum(c*c) AS cc, sum(c*s) AS cs, sum(s*s) AS ss, sum(c*f) AS cf, sum(s*f) AS sf FROM tr GROUP BY 1),
+ab AS (SELECT phi, (ss*cf - cs*sf)/(cc*ss - cs*cs) AS a, (cc*sf - cs*cf)/(cc*ss - cs*cs) AS b FROM ne),
+el AS (SELECT phi, any_value(a) AS a, any_value(b) AS b, sum((1/sqrt(a*c + b*s) - r)^2) AS sse FROM tr JOIN ab USING (phi) WHERE a > 0 AND b > 0 GROUP BY 1),
+be AS (SELECT CASE WHEN a <= b THEN phi ELSE (phi + 90) % 180 END AS axis, 1/sqrt(least(a, b)) AS major, 1/sqrt(greatest(a, b)) AS minor, sse FROM el ORDER BY round(sse, 9), 1 LIMIT 1)"""
+_MEASURED = f"{PAIRS}, {_BINS}, axes AS (SELECT unnest({_SIX})::DOUBLE AS angle), m AS (SELECT angle, bin, lag, avg(g) AS gamma FROM (SELECT angle, ({_BIN})::INT AS bin, g FROM pairs, axes WHERE d > 0 AND d < {EDGES[-1]!r} AND abs(dx*cos(radians(angle)) + dy*sin(radians(angle))) >= {_COS!r} * d) JOIN bins USING (bin) GROUP BY 1, 2, 3)"
+#: A directional table on an ellipse of ranges 0.3 and 0.1, its axis at 40 degrees; lags from the rows of nation.
+_EXACT = f"{PTS}, m AS (SELECT angle, n_nationkey AS bin, lag, 0.05 + 0.95*(1 - exp(-lag*sqrt((cos(radians(angle - 40))/0.3)^2 + (sin(radians(angle - 40))/0.1)^2))) AS gamma FROM (SELECT n_nationkey, (n_nationkey + 1)/25.0::DOUBLE AS lag FROM nation), (SELECT unnest(range(0, 12))*15.0::DOUBLE AS angle))"
+_ellipse = lambda lags, share, over: _ELLIPSE.format(lags=lags, share=share, over=over)
+
+
+def exact_directions(spark, sf_dir):
+    lags = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("bin"), ((F.col("n_nationkey") + 1) / 25.0).alias("lag"))
+    turn = F.radians(F.col("angle") - 40)
+    h = F.col("lag") * F.sqrt((F.cos(turn) / 0.3) ** 2 + (F.sin(turn) / 0.1) ** 2)
+    table = lags.crossJoin(F.broadcast(spark.range(12).select((F.col("id") * 15.0).alias("angle"))))
+    return table.select("angle", "bin", "lag", models.semivariance(h, "exponential", 0.05, 1.0, 1.0).alias("gamma"), F.lit(10).cast("long").alias("count"))
+
+
+def _six_directions(spark, sf_dir):
+    return variogram.directional(pts(spark, sf_dir), _SIX, 22.5, edges=EDGES)
+
+
+@query("anisotropy_detection", f"WITH {_ellipse(_MEASURED, 0.95, '')} SELECT major/minor >= 1.2 AS is_anisotropic, round(axis::DOUBLE, 6)+0.0 AS major, round(((axis + 90) % 180)::DOUBLE, 6)+0.0 AS minor, round(major/minor, 6)+0.0 AS ratio, round((SELECT max(sill) FROM rg), 6)+0.0 AS sill FROM be")
+def _(spark, sf_dir):
+    found = anisotropy.detect(_six_directions(spark, sf_dir))
+    row = (found.is_anisotropic, found.major_direction, found.minor_direction, found.ratio, found.sill)
+    return rounded(spark.createDataFrame([row], "is_anisotropic boolean, major double, minor double, ratio double, sill double"), "major", "minor", "ratio", "sill")
+
+
+@query("axis_fits", f"WITH {_ellipse(_EXACT, 0.9, 'PARTITION BY angle')} SELECT phi::DOUBLE AS axis, round((CASE WHEN a <= b THEN phi ELSE (phi + 90) % 180 END)::DOUBLE, 6)+0.0 AS major_axis, round(1/sqrt(least(a, b)), 6)+0.0 AS major, round(1/sqrt(greatest(a, b)), 6)+0.0 AS minor, round(sse, 6)+0.0 AS sse FROM el WHERE phi % 15 = 0")
+def _(spark, sf_dir):
+    ranges = variogram.direction_ranges(exact_directions(spark, sf_dir), 0.9, own_sill=True)
+    return rounded(anisotropy.axis_fits(ranges), "major_axis", "major", "minor", "sse")
+
+
+_AGREED = (
+    "st AS (SELECT max(r) AS hi, min(r) AS lo, stddev_samp(r)/sqrt(count(*)) AS se, stddev_samp(r) AS sd, stddev_pop(r)/avg(r) AS v FROM rg), pc AS (SELECT var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM pts), "
+    "pe AS (SELECT degrees(0.5*atan2(2*xy, xx-yy)) AS t, ((xx+yy)/2 + sqrt(((xx-yy)/2)^2 + xy*xy))/((xx+yy)/2 - sqrt(((xx-yy)/2)^2 + xy*xy)) AS long FROM pc), "
+    "lg AS (SELECT angle FROM rg WHERE sill > 0 ORDER BY r DESC, angle LIMIT 1), "
+    "ge AS (SELECT long, degrees(atan2(sin(radians(2*t)) + sin(radians(2*angle)), cos(radians(2*t)) + cos(radians(2*angle))))/2 AS p, hi/lo AS ratio, CASE WHEN hi/lo >= 3 THEN 'strong' WHEN hi/lo >= 2 THEN 'moderate' WHEN hi/lo < 1.5 OR v <= 0.1 THEN 'isotropic' ELSE 'weak' END AS strength, hi/lo/(1+se) AS rq, hi > lo AND (hi-lo)/(sd+1e-12) > 1.5 AS sure FROM pe, lg, st), "
+    "co AS (SELECT ge.*, be.axis, CASE WHEN major/minor > 1.5 AND sure THEN 'high' WHEN major/minor > 1.2 AND sure THEN 'medium' ELSE 'low' END AS confidence FROM ge, be), "
+    "sc AS (SELECT *, CASE confidence WHEN 'high' THEN 2.0 WHEN 'medium' THEN 1.2 ELSE 0.7 END AS w1, CASE strength WHEN 'strong' THEN 2.0 WHEN 'moderate' THEN 1.3 WHEN 'weak' THEN 0.8 ELSE 0.4 END AS w2, "
+    "CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 ELSE 0.4 END AS q1, CASE strength WHEN 'strong' THEN 1.0 WHEN 'moderate' THEN 0.8 WHEN 'weak' THEN 0.6 ELSE 0.3 END AS q2 FROM co), "
+    "ev AS (SELECT axis AS angle, w1 AS w, 0 AS o FROM sc UNION ALL SELECT (p + 180) % 180, w2, 1 FROM sc UNION ALL SELECT (p + 180) % 180, greatest(0.5, long), 2 FROM sc), "
+    "bl AS (SELECT (degrees(atan2(sum(w*sin(radians(2*angle))), sum(w*cos(radians(2*angle)))))/2 + 180) % 180 AS b FROM ev), "
+    "vo AS (SELECT s FROM (SELECT round_even(angle/15, 0)*15 % 180 AS s, count(*) AS n, min(o) AS o FROM ev GROUP BY 1), bl ORDER BY n DESC, abs(s - b), o LIMIT 1), "
+    "nd AS (SELECT min(sqrt((a.x-b.x)^2 + (a.y-b.y)^2)) AS d FROM (SELECT DISTINCT x, y FROM pts) a JOIN (SELECT DISTINCT x, y FROM pts) b ON a.x <> b.x OR a.y <> b.y GROUP BY a.x, a.y) "
+    "SELECT round((degrees(atan2(0.6*sin(radians(2*b)) + 0.4*sin(radians(2*s)), 0.6*cos(radians(2*b)) + 0.4*cos(radians(2*s))))/2 + 180) % 180, 6)+0.0 AS angle, confidence, round(0.4*q1 + 0.3*q2 + 0.3*rq, 6)+0.0 AS quality, strength, "
+    "(SELECT CASE WHEN stddev_pop(d)/avg(d) < 0.15 THEN 'regular' WHEN stddev_pop(d)/avg(d) < 0.35 THEN 'quasi-regular' ELSE 'irregular' END FROM nd) AS pattern FROM sc, bl, vo"
+)
+
+
+@query("anisotropy_ensemble", f"WITH {_ellipse(_EXACT, 0.9, 'PARTITION BY angle')}, {_AGREED}")
+def _(spark, sf_dir):
+    found = anisotropy.ensemble(pts(spark, sf_dir), exact_directions(spark, sf_dir))
+    row = (found.angle_deg, found.confidence, found.quality, found.geometry.strength, found.geometry.pattern)
+    return rounded(spark.createDataFrame([row], "angle double, confidence string, quality double, strength string, pattern string"), "angle", "quality")
