@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from math import factorial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldstats.functions.models import cell
-from fieldstats.operators.pairs import cross_pairs, knn_join, nearest_neighbor_distances, pairs, radius_join
+from fieldstats.functions.models import cell, distances
+from fieldstats.operators.graph import components
+from fieldstats.operators.pairs import knn_join, nearest_neighbor_distances, pairs, radius_join
+from fieldstats.operators.ranks import ranked
 from fieldstats.session import cut
 
+#: Points that may be broadcast to block tasks.
+BLOCK_LIMIT = 500_000
+
 
 def check_radii(radii: Sequence[float]) -> list[float]:
     radii = [float(r) for r in radii]
@@ -103,11 +110,20 @@ def pair_correlation(points: DataFrame, radii: Sequence[float], area: float | No
     return k.select("r", (slope / (2 * np.pi * F.col("r"))).alias("pcf"))
 
 
+#: Half the side of a cell of the density sum, and the reach of a point, in standard deviations of the kernel; terms of the expansion.
+KDE_HALF, KDE_REACH, KDE_TERMS = 0.25, 7.0, 12
+
+
 def kde(points: DataFrame, bandwidth: float | None = None, grid_size: int = 100, bounds: Sequence[float] | None = None) -> DataFrame:
     """ix, iy, x, y, density of a Gaussian kernel whose covariance is the data's times bandwidth squared.
 
-    The default factor is n^(-1/6).  Grid cells are broadcast (grid_size^2 rows), so
-    points stream past them with partial sums and are not collected.
+    The default factor is n^(-1/6).  Points are summed up to moments of small cells, in
+    coordinates in which the kernel is round, and each cell adds a Hermite expansion of
+    its moments to the grid places in reach.  Work is linear in points and in cells.
+
+    A point's kernel is at most 1; its error is at most exp(-KDE_REACH^2 / 2) = 2e-11 for
+    places out of reach, and within reach the remainder of the expansion in two
+    coordinates, below 2 * KDE_TERMS * KDE_HALF^KDE_TERMS / sqrt(KDE_TERMS!) = 7e-11.
     """
     if grid_size < 2:
         raise ValueError("grid_size must be at least 2")
@@ -118,17 +134,55 @@ def kde(points: DataFrame, bandwidth: float | None = None, grid_size: int = 100,
     if factor <= 0:
         raise ValueError("bandwidth must be positive")
     h = np.array([[m.xx, m.xy], [m.xy, m.yy]]) * factor**2
-    inverse = np.linalg.inv(h)
-    x0, x1, y0, y1 = (m.x0, m.x1, m.y0, m.y1) if bounds is None else bounds
+    root = np.linalg.cholesky(h)
+    a, b, c = float(root[0, 0]), float(root[1, 0]), float(root[1, 1])
+    x0, x1, y0, y1 = map(float, (m.x0, m.x1, m.y0, m.y1) if bounds is None else bounds)
     spark = points.sparkSession
     sx, sy = (x1 - x0) / (grid_size - 1), (y1 - y0) / (grid_size - 1)
-    cells = spark.range(grid_size * grid_size).select((F.col("id") % grid_size).cast("int").alias("ix"), F.floor(F.col("id") / grid_size).cast("int").alias("iy"))
-    cells = cells.withColumns({"gx": x0 + F.col("ix") * sx, "gy": y0 + F.col("iy") * sy})
-    dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
-    m2 = dx * dx * float(inverse[0, 0]) + 2.0 * dx * dy * float(inverse[0, 1]) + dy * dy * float(inverse[1, 1])
-    scale = 1.0 / (m.n * 2 * np.pi * np.sqrt(np.linalg.det(h)))
-    sums = points.select("x", "y").crossJoin(F.broadcast(cells)).groupBy("ix", "iy", "gx", "gy").agg((F.sum(F.exp(-0.5 * m2)) * scale).alias("density"))
-    return sums.select("ix", "iy", F.col("gx").alias("x"), F.col("gy").alias("y"), "density")
+    scale = 1.0 / (m.n * 2 * np.pi * a * c)
+    # round coordinates: x = a u, y = b u + c v
+    u = F.col("x") / a
+    v = (F.col("y") - b * F.col("u")) / c
+    wide = 2 * KDE_HALF
+    held = points.select("x", "y").withColumn("u", u).withColumn("v", v).withColumns({"i": F.floor(F.col("u") / wide), "j": F.floor(F.col("v") / wide)})
+    held = held.withColumns({"p": F.col("u") - (F.col("i") + 0.5) * wide, "q": F.col("v") - (F.col("j") + 0.5) * wide})
+    orders = [(s, t) for s in range(KDE_TERMS) for t in range(KDE_TERMS - s)]
+    power = lambda name, k: F.lit(1.0) if k == 0 else F.col(name) if k == 1 else F.pow(name, F.lit(float(k)))
+    moments_ = [F.sum(power("p", s) * power("q", t) / float(factorial(s) * factorial(t))) for s, t in orders]
+    cells = held.groupBy("i", "j").agg(F.array(*moments_).alias("m"))
+    reach = KDE_REACH + wide
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(grid_size * grid_size)
+        span = (int(2 * reach * a / sx) + 2 if sx > 0 else grid_size, int(2 * reach * np.hypot(b, c) / sy) + 2 if sy > 0 else grid_size)
+        nx, ny = (min(grid_size, k) for k in span)
+        for batch in batches:
+            cu, cv = ((batch.column(k).to_numpy() + 0.5) * wide for k in range(2))
+            m = batch.column(2).flatten().to_numpy().reshape(len(cu), len(orders))
+            size = max(1, 200_000 // (nx * ny))
+            for start in range(0, len(cu), size):
+                own = slice(start, start + size)
+                at = lambda centre, low, step, k, half: np.clip(np.ceil((centre - half - low) / step) if step > 0 else 0 * centre, 0, grid_size - k).astype(np.int64)
+                fx = at(a * cu[own], x0, sx, nx, reach * a)
+                fy = at(b * cu[own] + c * cv[own], y0, sy, ny, reach * np.hypot(b, c))
+                gx, gy = fx[:, None] + np.arange(nx), fy[:, None] + np.arange(ny)
+                px, py = (x0 + gx * sx)[:, :, None], (y0 + gy * sy)[:, None, :]
+                gu = px / a
+                tu, tv = gu - cu[own][:, None, None], (py - b * gu) / c - cv[own][:, None, None]
+                hu, hv = [np.ones_like(tu), tu], [np.ones_like(tv), tv]
+                for k in range(2, KDE_TERMS):
+                    hu.append(tu * hu[-1] - (k - 1) * hu[-2])
+                    hv.append(tv * hv[-1] - (k - 1) * hv[-2])
+                value = np.zeros(tv.shape)
+                for k, (s, t) in enumerate(orders):
+                    value += m[own, k][:, None, None] * hu[s] * hv[t]
+                value *= np.exp(-0.5 * (tu * tu + tv * tv))
+                np.add.at(total, (gy[:, None, :] * grid_size + gx[:, :, None]).ravel(), value.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["id", "s"])
+
+    sums = cells.mapInArrow(run, "id long, s double").groupBy("id").agg(F.greatest(F.sum("s") * scale, F.lit(0.0)).alias("density"))
+    ix, iy = (F.col("id") % grid_size).cast("int").alias("ix"), F.floor(F.col("id") / grid_size).cast("int").alias("iy")
+    return sums.select(ix, iy, "density").select("ix", "iy", (x0 + F.col("ix") * sx).alias("x"), (y0 + F.col("iy") * sy).alias("y"), "density")
 
 
 def z_score(n: Column, mean: Column, spread: Column, wx: Column, w1: Column, w2: Column) -> Column:
@@ -159,32 +213,102 @@ def gi_star(points: DataFrame, threshold: float, include_self: bool = True) -> D
     return all_.select("id", z_score(F.col("n"), F.col("mean"), F.col("s"), F.col("wx"), F.col("w"), F.col("w")).alias("z"))
 
 
+#: Core points of a cell that one task holds when it looks for a link between two cells; larger cells are cut into parts.
+CELL_PART = 50_000
+
+
+def touching(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether a point of a and a point of b are within eps, by halving both sets along their boxes.
+
+    A pair of boxes farther apart than eps is dropped, one that lies within eps as a whole settles the answer.
+    """
+    todo = [(a, b)]
+    while todo:
+        p, q = todo.pop()
+        low, high = np.stack([p.min(0), q.min(0)]), np.stack([p.max(0), q.max(0)])
+        gap = np.maximum(0.0, np.maximum(low[0] - high[1], low[1] - high[0]))
+        if np.sqrt((gap * gap).sum()) > eps:
+            continue
+        wide = np.maximum(high[0] - low[1], high[1] - low[0])
+        if np.sqrt((wide * wide).sum()) <= eps:
+            return True
+        if len(p) * len(q) <= 4_096:
+            dx, dy = np.subtract.outer(p[:, 0], q[:, 0]), np.subtract.outer(p[:, 1], q[:, 1])
+            if (np.sqrt(dx * dx + dy * dy) <= eps).any():
+                return True
+            continue
+        if len(p) < len(q):
+            p, q = q, p
+        along = p[:, int(np.ptp(p, axis=0).argmax())]
+        order = np.argsort(along, kind="stable")
+        half = len(p) // 2
+        todo += [(p[order[:half]], q), (p[order[half:]], q)]
+    return False
+
+
+def _cell_links(core: DataFrame, cells: DataFrame, eps: float) -> DataFrame:
+    """Links (a, b), by first core id, of core cells that hold two core points within eps of each other."""
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])).alias("o")
+    a = cells.select(*[F.col(c).alias(f"a_{c}") for c in cells.columns], around).withColumns({"b_cx": F.col("a_cx") + F.col("o.i"), "b_cy": F.col("a_cy") + F.col("o.j")}).drop("o")
+    met = a.join(cells.select(*[F.col(c).alias(f"b_{c}") for c in cells.columns]), ["b_cx", "b_cy"])
+    gap = [F.greatest(F.lit(0.0), F.col(f"a_{c}0") - F.col(f"b_{c}1"), F.col(f"b_{c}0") - F.col(f"a_{c}1")) for c in "xy"]
+    wide = [F.greatest(F.col(f"a_{c}1") - F.col(f"b_{c}0"), F.col(f"b_{c}1") - F.col(f"a_{c}0")) for c in "xy"]
+    length = lambda d: F.sqrt(d[0] * d[0] + d[1] * d[1])
+    met = cut(met.filter(length(gap) <= eps).withColumn("sure", length(wide) <= eps))
+    open_ = met.filter(~F.col("sure"))
+    parts = {s: F.ceil(F.col(f"{s}_n") / CELL_PART).cast("int") for s in "ab"}
+    sides = []
+    for own, other in ("ab", "ba"):
+        pairs_of = open_.select(F.col(f"{own}_cx").alias("cx"), F.col(f"{own}_cy").alias("cy"), "a_first", "b_first", parts[own].alias("mine"), parts[other].alias("others"), *[F.col(f"{other}_{c}") for c in ("x0", "x1", "y0", "y1")])
+        out = [F.greatest(F.lit(0.0), F.col(f"{other}_{c}0") - F.col(c), F.col(c) - F.col(f"{other}_{c}1")) for c in "xy"]
+        near = core.join(pairs_of, ["cx", "cy"]).filter(length(out) <= eps)
+        near = near.withColumns({"part": F.pmod(F.xxhash64("id"), F.col("mine")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("others") - 1))})
+        i, j = ("part", "other") if own == "a" else ("other", "part")
+        sides.append(near.select("a_first", "b_first", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(own == "a").alias("left"), "x", "y"))
+
+    def link(table: pa.Table) -> pa.Table:
+        left = table.column("left").to_numpy()
+        place = np.stack([table.column(c).to_numpy() for c in "xy"], axis=1)
+        found = left.any() and not left.all() and touching(place[left], place[~left], eps)
+        return pa.table({"a": table.column("a_first")[:1], "b": table.column("b_first")[:1]}).slice(0, int(found))
+
+    tested = sides[0].unionByName(sides[1]).groupBy("a_first", "b_first", "i", "j").applyInArrow(link, "a long, b long")
+    return met.filter("sure").select(F.col("a_first").alias("a"), F.col("b_first").alias("b")).unionByName(tested)
+
+
 def dbscan(points: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
     """id, label: density clusters numbered by their smallest core id, noise -1.
 
-    A border point joins the lowest-numbered cluster it touches.  Core points are
-    joined by minimum-label rounds with checkpoints.
+    A border point joins the lowest-numbered cluster it touches.  Cells have a diagonal of eps, so
+    all points of a cell with min_samples of them are core without a look at any pair,
+    and only points of emptier cells count their neighbours.  Clusters are components of core
+    cells; two cells are linked by their boxes where these settle it, else by a search
+    that stops at the first pair.  No table of near pairs is made.
     """
     if eps <= 0:
         raise ValueError("eps must be positive")
     if min_samples < 1:
         raise ValueError("min_samples must be at least 1")
-    flat = points.select("id", "x", "y")
-    near = cut(radius_join(flat, flat, eps).select("a_id", "b_id"))
-    core = near.groupBy("a_id").count().filter(F.col("count") >= min_samples).select(F.col("a_id").alias("id"))
-    edges = cut(near.join(core.withColumnRenamed("id", "a_id"), "a_id", "left_semi").join(core.withColumnRenamed("id", "b_id"), "b_id", "left_semi").select("a_id", "b_id"))
-    labels = cut(core.select("id", F.col("id").alias("label")))
-    while True:
-        step = edges.join(labels.withColumnRenamed("id", "b_id"), "b_id").groupBy(F.col("a_id").alias("id")).agg(F.min("label").alias("label"))
-        jump = cut(step.join(step.select(F.col("id").alias("label"), F.col("label").alias("far")), "label", "left").select("id", F.coalesce("far", "label").alias("label")))
-        moved = jump.join(labels.withColumnRenamed("label", "old"), "id").filter("label != old").limit(1).count()
-        labels = jump
-        if not moved:
-            break
-    reached = near.join(labels.withColumnRenamed("id", "b_id"), "b_id").groupBy(F.col("a_id").alias("id")).agg(F.min("label").alias("label"))
-    number = labels.select("label").distinct().withColumn("cluster", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")) - 1)
-    own = labels.unionByName(reached.join(labels.select("id"), "id", "left_anti"))
-    return points.select("id").join(own, "id", "left").join(number, "label", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("label"))
+    side = eps / np.sqrt(2) * (1 - 1e-9)  # the slack keeps points of a cell within eps whatever the rounding
+    number = lambda c: F.floor(F.col(c) / side).cast("long").alias(f"c{c}")
+    flat = cut(points.select("id", F.col("x").cast("double"), F.col("y").cast("double")).withColumns({"cx": number("x"), "cy": number("y")}))
+    full = flat.groupBy("cx", "cy").agg((F.count("*") >= min_samples).alias("full"))
+    tagged = cut(flat.join(full, ["cx", "cy"]))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)]))
+    loose = tagged.filter(~F.col("full")).drop("full")
+    visits = loose.withColumn("o", around).select(F.col("id").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    dx, dy = F.col("a_x") - F.col("x"), F.col("a_y") - F.col("y")
+    within = F.sqrt(dx * dx + dy * dy) <= eps
+    crowded = visits.join(flat, ["cx", "cy"]).filter(within).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("id")
+    core = cut(tagged.filter("full").drop("full").unionByName(loose.join(crowded, "id", "left_semi").select("cx", "cy", "id", "x", "y")))
+    cells = cut(core.groupBy("cx", "cy").agg(F.min("id").alias("first"), F.count("*").alias("n"), *[f(c).alias(f"{c}{k}") for c in "xy" for f, k in ((F.min, 0), (F.max, 1))]))
+    whole = components(_cell_links(core, cells, eps))
+    named = cells.select("cx", "cy", F.col("first").alias("node")).join(whole, "node", "left").select("cx", "cy", F.coalesce("label", "node").alias("label"))
+    labelled = cut(core.join(named, ["cx", "cy"]))
+    border = visits.join(labelled.select("cx", "cy", "x", "y", "label"), ["cx", "cy"]).filter(within).groupBy(F.col("a_id").alias("id")).agg(F.min("label").alias("label"))
+    own = labelled.select("id", "label").unionByName(border.join(labelled.select("id"), "id", "left_anti"))
+    clusters = ranked(labelled.select("label").distinct(), "label", name="cluster").withColumn("cluster", F.col("cluster") - 1)
+    return points.select("id").join(own, "id", "left").join(clusters, "label", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("label"))
 
 
 def core_counts(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
@@ -193,6 +317,52 @@ def core_counts(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return radius_join(flat, flat, eps).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n")).withColumn("core", F.col("n") >= min_samples)
 
 
+def silhouettes(points: DataFrame, block: int = 1_024) -> DataFrame:
+    """id and silhouette of each point of (id, x, y, label); 0 for the only point of a cluster, null with a single cluster.
+
+    A task takes blocks of points and adds up their distances to all points by cluster, a
+    block of each at a time: no row for a pair is made.  Points are broadcast, at most BLOCK_LIMIT.
+    """
+    rows = points.join(_numbered(points), "label").select("id", "x", "y", "c")
+    data = rows.limit(BLOCK_LIMIT + 1).toPandas()
+    if len(data) > BLOCK_LIMIT:
+        raise ValueError(f"silhouettes take at most {BLOCK_LIMIT} points; sample them")
+    data = data.sort_values("c", kind="stable")
+    spark = points.sparkSession
+    n_of = np.bincount(data["c"].to_numpy(np.int64)) if len(data) else np.zeros(0, np.int64)
+    shared = spark.sparkContext.broadcast((data["id"].to_numpy(), data[["x", "y"]].to_numpy(float), data["c"].to_numpy(np.int64), n_of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, place, cluster, n_of = shared.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                own = slice(k * block, min(len(ids), (k + 1) * block))
+                sums = np.zeros((own.stop - own.start, len(n_of)))
+                for start in range(0, len(ids), block):
+                    d = distances(place[own], place[start : start + block])
+                    # points are in order of cluster, so a cluster is a run of columns
+                    c = cluster[start : start + block]
+                    first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+                    sums[:, c[first]] += np.add.reduceat(d, first, axis=1)
+                mine = cluster[own]
+                at = np.arange(len(mine))
+                inner = sums[at, mine] / np.maximum(n_of[mine] - 1, 1)
+                means = sums / n_of
+                means[at, mine] = np.inf
+                outer = means.min(1)
+                top = np.maximum(inner, outer)
+                s = np.divide(outer - inner, top, out=np.zeros_like(top), where=(top > 0) & (n_of[mine] > 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.where(np.isinf(outer), np.nan, s), mask=np.isinf(outer))], ["id", "silhouette"])
+
+    tasks = max(1, -(-len(data) // block)) if len(data) else 0
+    return spark.range(tasks).repartition(max(1, min(tasks, 4 * spark.sparkContext.defaultParallelism)), "id").mapInArrow(run, "id long, silhouette double")
+
+
+def _numbered(points: DataFrame) -> DataFrame:
+    """label and its number c from 0; as many rows as there are clusters."""
+    return ranked(points.select("label").distinct(), "label", name="c").select("label", (F.col("c") - 1).alias("c"))
+
+
 def cluster_metrics(points: DataFrame, label: str = "label") -> DataFrame:
     """n_clusters, silhouette, calinski_harabasz, davies_bouldin; null below two clusters; noise (-1) is left out."""
     held = points.filter(F.col(label).cast("string") != "-1").select("id", "x", "y", F.col(label).alias("label"))
@@ -210,10 +380,7 @@ def cluster_metrics(points: DataFrame, label: str = "label") -> DataFrame:
     p, q = scatter.alias("p"), scatter.alias("q")
     ratio = (F.col("p.s") + F.col("q.s")) / F.sqrt((F.col("p.cx") - F.col("q.cx")) ** 2 + (F.col("p.cy") - F.col("q.cy")) ** 2)
     db = p.join(q, F.col("p.label") != F.col("q.label")).groupBy(F.col("p.label")).agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
-    means = cross_pairs(held, held).filter("a_id != b_id").groupBy("a_id", "a_label", "b_label").agg(F.avg("d").alias("m"))
-    sides = means.groupBy("a_id").agg(F.max(F.when(F.col("a_label") == F.col("b_label"), F.col("m"))).alias("a"), F.min(F.when(F.col("a_label") != F.col("b_label"), F.col("m"))).alias("b"))
-    s = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    silhouette = sides.agg(F.avg(s).alias("silhouette"))
+    silhouette = silhouettes(held).agg(F.avg("silhouette").alias("silhouette"))
     ch = within.crossJoin(between).select((F.col("between") / (k - 1) / (F.col("within") / (n - k))).alias("calinski_harabasz"))
     return silhouette.crossJoin(ch).crossJoin(db).select(F.lit(k).cast("long").alias("n_clusters"), "silhouette", "calinski_harabasz", "davies_bouldin")
 

@@ -205,3 +205,20 @@ def _(spark, sf_dir):
     found = anisotropy.ensemble(pts(spark, sf_dir), exact_directions(spark, sf_dir))
     row = (found.angle_deg, found.confidence, found.quality, found.geometry.strength, found.geometry.pattern)
     return rounded(spark.createDataFrame([row], "angle double, confidence string, quality double, strength string, pattern string"), "angle", "quality")
+
+
+@query("variogram_stream_cells", _SQL["variogram_streaming"])
+def _(spark, sf_dir):
+    """All embeddings as a stream of files, three a batch, their pairs met through the state of grid cells."""
+    folder = raw_folder(spark, "stream")
+    p = pts(spark, sf_dir).select("id", "x", "y", "value")
+    p.repartition(9, "id").write.parquet(f"{folder}/points")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/points")
+        accumulator.accumulate_cells(stream, EDGES, f"{folder}/state", f"{folder}/checkpoint", salts=2).awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    return rounded(accumulator.stored(spark, f"{folder}/state", EDGES).finalize(), "lag", "gamma")
