@@ -35,11 +35,16 @@ class FitResult:
     warnings: tuple[str, ...] = ()
 
 
+#: Largest logarithm of a range that a fit tries.
+LOG_RANGE = 150.0
+
+
 def scaled_lag(p: np.ndarray, d: np.ndarray, theta: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Lag over range, and its derivatives by the range parameters (one row each)."""
     if theta is None:
         return d / p[2], (-d / p[2] ** 2)[None]
-    major, minor, turn = np.exp(p[2]), np.exp(p[3]), theta - p[4]
+    # a step may throw a range out of all bounds; within these its square stays finite
+    major, minor, turn = np.exp(np.clip(p[2], -LOG_RANGE, LOG_RANGE)), np.exp(np.clip(p[3], -LOG_RANGE, LOG_RANGE)), theta - p[4]
     u, v = d * np.cos(turn) / major, d * np.sin(turn) / minor
     h = np.hypot(u, v)
     safe = np.where(h > 0, h, 1.0)
@@ -184,7 +189,7 @@ def _report(p, d, gamma, w, theta, model, fixed, status, steps, cost, trace) ->
         if np.ptp(fitted) < 1e-3 * max(abs(gamma).max(), 1e-12):
             status = "invalid_parameters"
             warnings.append("fitted shape is flat")
-        out = np.array([p[0], p[1], np.exp(p[2]), np.exp(p[3]), p[4]])
+        out = np.array([p[0], p[1], *np.exp(np.clip(p[2:4], -LOG_RANGE, LOG_RANGE)), p[4]])
         if out[2] < out[3]:
             out[2], out[3], out[4] = out[3], out[2], out[4] + np.pi / 2
         out[4] %= np.pi

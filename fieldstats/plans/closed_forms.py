@@ -175,9 +175,11 @@ def _(spark, sf_dir):
     return rounded(spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found)), *found)
 
 
-@query("anisotropy_ellipse", f"SELECT i::INT AS i, round(1.5 + 2*3.0*cos(2*pi()*i/99)*{COS!r} - 2*1.0*sin(2*pi()*i/99)*{SIN!r}, 6)+0.0 AS x, round(-0.5 + 2*3.0*cos(2*pi()*i/99)*{SIN!r} + 2*1.0*sin(2*pi()*i/99)*{COS!r}, 6)+0.0 AS y FROM (SELECT unnest(range(0, 100)) AS i)")
+@query("anisotropy_ellipse", f"WITH {_S}, c AS (SELECT avg(x) AS cx, avg(y) AS cy FROM s) SELECT i::INT AS i, round(cx + 2*3.0*cos(2*pi()*i/99)*{COS!r} - 2*1.0*sin(2*pi()*i/99)*{SIN!r}, 6)+0.0 AS x, round(cy + 2*3.0*cos(2*pi()*i/99)*{SIN!r} + 2*1.0*sin(2*pi()*i/99)*{COS!r}, 6)+0.0 AS y FROM (SELECT unnest(range(0, 100)) AS i), c")
 def _(spark, sf_dir):
-    return rounded(plotdata.ellipse(spark, 3.0, 1.0, TURN, (1.5, -0.5), 2.0), "x", "y")
+    """An ellipse round the centre of the samples."""
+    centre = nations(spark, sf_dir).agg(F.avg("x"), F.avg("y")).first()
+    return rounded(plotdata.ellipse(spark, 3.0, 1.0, TURN, tuple(centre), 2.0), "x", "y")
 
 
 @query("plot_variogram", "SELECT round((n_nationkey+1)/25.0, 6)+0.0 AS lag, 10::BIGINT AS count, round(0.1+1.2*(1-exp(-((n_nationkey+1)/25.0)/0.35)), 6)+0.0 AS gamma, round(0.001+0.019*(1-exp(-((n_nationkey+1)/25.0)/0.15)), 6)+0.0 AS model FROM nation")

@@ -529,9 +529,11 @@ def _(spark, sf_dir):
     return events(spark, sf_dir).groupBy(F.floor(F.col("x") / 5.0).cast("int").alias("tx"), F.floor(F.col("y") / 5.0).cast("int").alias("ty")).agg(F.count("*").alias("n"))
 
 
-@query("tile_bounds", "SELECT (i % 4)::INT AS ix, (i // 4)::INT AS iy, greatest(0.0, (i % 4)*10.0 - 1)::DOUBLE AS xmin, greatest(0.0, (i // 4)*10.0 - 1)::DOUBLE AS ymin, least(35.0, (i % 4)*10.0 + 11)::DOUBLE AS xmax, least(20.0, (i // 4)*10.0 + 11)::DOUBLE AS ymax FROM (SELECT unnest(range(0, 8)) AS i)")
+@query("tile_bounds", f"WITH {EVT}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM evt), c AS (SELECT b.*, i, j FROM b, (SELECT unnest(range(0, 40)) AS i), (SELECT unnest(range(0, 40)) AS j) WHERE i < greatest(1, ceil((x1-x0)/10.0)) AND j < greatest(1, ceil((y1-y0)/10.0))) SELECT i::INT AS ix, j::INT AS iy, round(greatest(x0, x0 + i*10.0 - 1), 6)+0.0 AS xmin, round(greatest(y0, y0 + j*10.0 - 1), 6)+0.0 AS ymin, round(least(x1, x0 + i*10.0 + 11), 6)+0.0 AS xmax, round(least(y1, y0 + j*10.0 + 11), 6)+0.0 AS ymax FROM c")
 def _(spark, sf_dir):
-    return kriging.tiles(spark, (0.0, 0.0, 35.0, 20.0), 10.0, 0.1)
+    """Tiles over the extent of all events."""
+    b = events(spark, sf_dir).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    return rounded(kriging.tiles(spark, tuple(b), 10.0, 0.1), "xmin", "ymin", "xmax", "ymax")
 
 
 @query("krige_score", "SELECT 1.0::DOUBLE AS r2")
@@ -603,19 +605,30 @@ def _(spark, sf_dir):
     return spark.createDataFrame([tuple(found.values())], "statistic double, p_value double")
 
 
+def _density(points: DataFrame) -> tuple[float, tuple[float, float, float, float]]:
+    """Points for each unit of area, and bounds, of a pattern that a simulation is to resemble."""
+    b = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    return b[0] / ((b[2] - b[1]) * (b[4] - b[3])), tuple(b[1:])
+
+
 @query("simulate_poisson")
 def _(spark, sf_dir):
-    return source.simulate_poisson(spark, 200.0, seed=3)
+    """A random pattern as dense as the embeddings."""
+    return source.simulate_poisson(spark, *_density(pts(spark, sf_dir)), seed=3)
 
 
 @query("simulate_cox")
 def _(spark, sf_dir):
-    return source.simulate_cox(spark, 200.0, seed=3)[0]
+    return source.simulate_cox(spark, *_density(pts(spark, sf_dir)), seed=3)[0]
 
 
 @query("simulate_marked")
 def _(spark, sf_dir):
-    return source.simulate_marked_poisson(spark, 200.0, ["a", "b"], [1.0, 3.0], seed=3)
+    """Marks as frequent as those of the embeddings."""
+    p = pts(spark, sf_dir)
+    marks = p.groupBy("mark").count().orderBy("mark").collect()
+    intensity, bounds = _density(p)
+    return source.simulate_marked_poisson(spark, intensity, [r["mark"] for r in marks], [float(r["count"]) for r in marks], bounds, seed=3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

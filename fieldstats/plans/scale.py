@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fieldstats.functions import models
 from fieldstats.operators import anisotropy, extent, validation, variogram
-from fieldstats.plans.closed_forms import _S, NATIONS, NUGGET, RANGE, SILL, estimator, grid_sql, krige_sql, nations, targets
+from fieldstats.operators.fit import fit_anisotropic
+from fieldstats.plans.closed_forms import _S, MINOR, NATIONS, NUGGET, RANGE, SILL, TURN, estimator, grid_sql, krige_sql, nations, targets
 from fieldstats.plans.queries import _BIN, _BINS, _SQL, DIST, EDGES, EVT, MODEL, PAIRS, PTS, events, kriging, pts, quantile_sql, query, r6, rounded
 from fieldstats.session import shared_folder
 from fieldstats.sources import points as source
@@ -222,3 +223,31 @@ def _(spark, sf_dir):
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
     return rounded(accumulator.stored(spark, f"{folder}/state", EDGES).finalize(), "lag", "gamma")
+
+
+def exact_table(spark, sf_dir, angle: float):
+    """Lags of nation in twelve directions on the anisotropic model of closed_forms, the axis `angle` radians counter-clockwise."""
+    lags = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("bin"), ((F.col("n_nationkey") + 1) / 25.0).alias("lag"))
+    table = lags.crossJoin(F.broadcast(spark.range(12).select((F.col("id") * 15.0).alias("angle"))))
+    turn = F.radians("angle") - angle
+    h = F.col("lag") * F.sqrt((F.cos(turn) / RANGE) ** 2 + (F.sin(turn) / MINOR) ** 2)
+    return table.select("angle", "bin", "lag", models.semivariance(h, "exponential", NUGGET, SILL, 1.0).alias("gamma"), F.lit(10).cast("long").alias("count"))
+
+
+@query("variogram_fit_anisotropic", f"SELECT {NUGGET}::DOUBLE AS nugget, {SILL}::DOUBLE AS sill, {RANGE}::DOUBLE AS major, {MINOR}::DOUBLE AS minor, round((pi() - {TURN})::DOUBLE, 4)+0.0 AS angle, count(*)*12 AS rows, 'succeeded' AS status, 0.0::DOUBLE AS sse FROM nation")
+def _(spark, sf_dir):
+    """Five parameters from a table that lies on the model, from the ensemble's start; the axis is clockwise, so the table has it at pi - TURN."""
+    table = exact_table(spark, sf_dir, -TURN)
+    rows = table.toPandas()
+    found = fit_anisotropic(rows["lag"], rows["gamma"], rows["angle"], "exponential", (0.1, 5.0, 0.3, 0.2, 2.0), rows["count"].to_numpy(float), degrees=True)
+    row = (*(round(x, 4) for x in found.parameters), len(rows), found.status, round(found.diagnostics["sse"], 4))
+    return spark.createDataFrame([row], "nugget double, sill double, major double, minor double, angle double, rows long, status string, sse double")
+
+
+@query("krige_anisotropic_from_table", krige_sql("anisotropic", grid_sql()).replace(", 6)+0.0", ", 3)+0.0"))
+def _(spark, sf_dir):
+    """Directional table to fit to kriging in one chain; the twin solves with the parameters that the table was made of."""
+    n = nations(spark, sf_dir)
+    model = kriging.anisotropic_from_directional(n, exact_table(spark, sf_dir, -TURN), "exponential")
+    out = model.fit(n).predict(targets(spark), variance=True)
+    return out.select("id", *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("prediction", "variance")])
