@@ -1,6 +1,9 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from fieldstats.llm import decontaminate as dc
 
 
@@ -71,3 +74,23 @@ def test_index_returns_all_within_the_radius():
     prints = np.array(prints, np.uint64)
     near = set(zip(*(x.tolist() for x in items.within(20, prints)), strict=True))
     assert near == {(a, b) for a in range(50) for b in range(50) if bin(int(prints[a]) ^ int(items.prints[b])).count("1") <= dc.RADIUS}
+
+
+def test_similar_windows_lie_within_the_radius():
+    """Of windows at the smallest similarity that counts, how many lie within the radius: the recall of the first stage."""
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(3_000):
+        n = rng.randrange(50, 300)
+        words = ["v%d" % rng.randrange(5_000) for _ in range(n)]
+        changed, at = list(words), rng.randrange(n)
+        # m words in a row change at most m + 4 shingles of n - 4 on either side
+        most = (n - 4) // 9 - 4
+        for i in range(at, min(n, at + max(1, most))):
+            changed[i] = "other%d" % i
+        a, b = Counter(shingles(words)), Counter(shingles(changed))
+        if sum((a & b).values()) / sum((a | b).values()) >= dc.THRESHOLD:
+            pairs.append((" ".join(words), " ".join(changed)))
+    prints = [dc.Items(list(range(len(pairs))), pa.array(side)).prints for side in zip(*pairs, strict=True)]
+    within = np.bitwise_count(prints[0] ^ prints[1]) <= dc.RADIUS
+    assert len(pairs) > 2_500 and within.mean() >= 0.999
