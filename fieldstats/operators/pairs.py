@@ -61,6 +61,14 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, dims: list[str
     return joined.filter(F.col("d") <= radius)
 
 
+def index_statistics(points: DataFrame, size: float, dims: list[str] | None = None) -> DataFrame:
+    """One row about the grid that a radius join of this size searches: points, cells, and the fewest, most and mean points of a cell."""
+    if size <= 0:
+        raise ValueError("size must be positive")
+    cells = points.groupBy(*[F.floor(F.col(c) / size).alias(f"cell_{c}") for c in dims or axes(points)]).count()
+    return cells.agg(F.sum("count").alias("points"), F.count("*").alias("cells"), F.min("count").alias("fewest"), F.max("count").alias("most"), F.avg("count").alias("mean"))
+
+
 def radius_pairs(points: DataFrame, radius: float, dims: list[str] | None = None) -> DataFrame:
     """Unordered pairs at most `radius` apart."""
     return radius_join(points, points, radius, dims).filter("a_id < b_id")

@@ -632,12 +632,12 @@ def _(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from fieldstats.plans import closed_forms, scale  # noqa: F401  register their queries
+    from fieldstats.plans import closed_forms, scale, small  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from fieldstats.plans import closed_forms, scale  # noqa: F401
+    from fieldstats.plans import closed_forms, scale, small  # noqa: F401
 
     return dict(_SQL)
