@@ -34,6 +34,7 @@ NEIGHBORS = 40
 BLOCK = 512
 TILE = 2_048
 ROWS = 32
+PRODUCT = 65_536
 #: A covariance below this share of the sill adds less than rounding does.
 NEGLIGIBLE = 1e-18
 
@@ -56,13 +57,18 @@ def reach(model: Variogram) -> float:
     return model.range * scale[name]
 
 
-def correlation(a: np.ndarray, b: np.ndarray, model: Variogram) -> np.ndarray:
-    """The model without its nugget, scaled to 1 at distance 0, worked in place; equal places count as any others."""
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a and b."""
     h = np.zeros((len(a), len(b)))
     for d in range(a.shape[1]):
         step = np.subtract.outer(a[:, d], b[:, d])
         step *= step
         h += step
+    return h
+
+
+def correlation(h: np.ndarray, model: Variogram) -> np.ndarray:
+    """The model without its nugget, scaled to 1 at distance 0, of squared distances, worked in place."""
     name = models.check_model(model.model)
     if name == "gaussian":
         h *= -1 / model.range**2
@@ -76,6 +82,20 @@ def correlation(a: np.ndarray, b: np.ndarray, model: Variogram) -> np.ndarray:
     return 1 - h * (1.5 - 0.5 * h * h)
 
 
+def weighted_sums(targets: np.ndarray, coords: np.ndarray, model: Variogram, weights: np.ndarray) -> np.ndarray:
+    """Covariances of targets with samples times the samples' weights, PRODUCT numbers at a time."""
+    out = np.empty(len(targets))
+    size = max(1, PRODUCT // max(1, len(coords)))
+    for k in range(0, len(targets), size):
+        h = squares(targets[k : k + size], coords)
+        same = np.nonzero(h == 0) if model.nugget else None
+        part = (model.sill - model.nugget) * (correlation(h, model) @ weights)
+        if same is not None and len(same[0]):  # targets on samples have the nugget too
+            part += model.nugget * np.bincount(same[0], weights[same[1]], len(part))
+        out[k : k + size] = part
+    return out
+
+
 class Boxes:
     """Bounding boxes of tiles of consecutive samples."""
 
@@ -131,7 +151,7 @@ class Covariance:
                     out = np.zeros((len(own), v.shape[1]))
                     for at in boxes.near(own, within):
                         for k in range(0, len(own), ROWS):
-                            out[k : k + ROWS] += correlation(own[k : k + ROWS], coords[at], model) @ v[at]
+                            out[k : k + ROWS] += correlation(squares(own[k : k + ROWS], coords[at]), model) @ v[at]
                     # all places differ, so the nugget is on the diagonal only
                     out = (model.sill - model.nugget) * out + model.nugget * v[b * BLOCK : b * BLOCK + len(own)]
                     yield pa.RecordBatch.from_arrays([pa.array([b * BLOCK]), pa.array([out.tobytes()])], ["start", "part"])

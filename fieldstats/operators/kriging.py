@@ -101,13 +101,12 @@ class System:
         return cls(coords, model, trend, mean, dual, inverse, whitened, gram, None)
 
     def predict(self, targets: np.ndarray, variance: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        v = self.model
-        c = models.cov(models.distances(targets, self.coords), v.model, v.nugget, v.sill, v.range)
+        v, n = self.model, len(self.coords)
         f = models.design(targets, self.trend) if self.trend else np.zeros((len(targets), 0))
-        n = len(self.coords)
-        prediction = c @ self.dual[:n] + f @ self.dual[n:] + self.mean
+        prediction = conjugate.weighted_sums(targets, self.coords, v, self.dual[:n]) + f @ self.dual[n:] + self.mean
         if not variance:
             return prediction, None
+        c = models.cov(models.distances(targets, self.coords), v.model, v.nugget, v.sill, v.range)
         if self.bordered is not None:
             right = np.concatenate([c, f], axis=1).T
             left = np.sum(right * np.linalg.solve(self.bordered, right), axis=0)
