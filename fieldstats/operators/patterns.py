@@ -291,7 +291,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
         raise ValueError("min_samples must be at least 1")
     side = eps / np.sqrt(2) * (1 - 1e-9)  # the slack keeps points of a cell within eps whatever the rounding
     number = lambda c: F.floor(F.col(c) / side).cast("long").alias(f"c{c}")
-    flat = cut(points.select("id", F.col("x").cast("double"), F.col("y").cast("double")).withColumns({"cx": number("x"), "cy": number("y")}))
+    flat = points.select("id", F.col("x").cast("double"), F.col("y").cast("double")).withColumns({"cx": number("x"), "cy": number("y")})
     full = flat.groupBy("cx", "cy").agg((F.count("*") >= min_samples).alias("full"))
     tagged = cut(flat.join(full, ["cx", "cy"]))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)]))
@@ -299,9 +299,9 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
     visits = loose.withColumn("o", around).select(F.col("id").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
     dx, dy = F.col("a_x") - F.col("x"), F.col("a_y") - F.col("y")
     within = F.sqrt(dx * dx + dy * dy) <= eps
-    crowded = visits.join(flat, ["cx", "cy"]).filter(within).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("id")
+    crowded = visits.join(tagged.drop("full"), ["cx", "cy"]).filter(within).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("id")
     core = cut(tagged.filter("full").drop("full").unionByName(loose.join(crowded, "id", "left_semi").select("cx", "cy", "id", "x", "y")))
-    cells = cut(core.groupBy("cx", "cy").agg(F.min("id").alias("first"), F.count("*").alias("n"), *[f(c).alias(f"{c}{k}") for c in "xy" for f, k in ((F.min, 0), (F.max, 1))]))
+    cells = core.groupBy("cx", "cy").agg(F.min("id").alias("first"), F.count("*").alias("n"), *[f(c).alias(f"{c}{k}") for c in "xy" for f, k in ((F.min, 0), (F.max, 1))])
     whole = components(_cell_links(core, cells, eps))
     named = cells.select("cx", "cy", F.col("first").alias("node")).join(whole, "node", "left").select("cx", "cy", F.coalesce("label", "node").alias("label"))
     labelled = cut(core.join(named, ["cx", "cy"]))
