@@ -69,7 +69,7 @@ class Scheme:
 
     def apply(self, doc_id: str, text: str, unit: regex.Pattern) -> tuple[int, str, str | None, str | None, str | None, str]:
         """Number of units, form, the three pieces (None if plain) and the output."""
-        ends = array("Q", (m.end() for m in unit.finditer(text)))
+        ends = array("I", (m.end() for m in unit.finditer(text)))  # 4 bytes a unit
         n = len(ends)
         one, two, keep, order = self.draws(doc_id)
         if not text or keep % 100 >= self.transformed or any(m in text for m in self.marks):

@@ -30,12 +30,13 @@ Defined cases: a text without words, empty or null, has the fingerprint zero and
 any other; fewer words than a shingle are one shingle; a null doc_id is a document
 of its component but never its smallest id, which is null only where all are; rows
 repeated, or with one doc_id and different texts, are judged row by row; a
-text of any length is hashed whole; an empty table gives an empty result.
+text of any length is hashed whole, a megabyte at a time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,28 +55,45 @@ SAMPLE = 65_536
 SHARD_SCALE = 8
 CANDIDATES = 12
 BLOCK = 8_192
-
-
-def shingle_hashes(text: bytes, k: int) -> np.ndarray:
-    """XXH64 of each run of k lower-cased words joined by single spaces; fewer words are one run."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, U)
-    joined = memoryview(b" ".join(words))
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
-    last = ends[k - 1 :].tolist() or [len(joined)]
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, last)], U)
-
-
-def fingerprint(hashes: np.ndarray) -> int:
+PIECE = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about PIECE bytes that end between words."""
+    start = 0
+    while start < len(text):
+        cut = _BLANK.search(text, start + PIECE)
+        end = cut.start() if cut else len(text)
+        yield text[start:end]
+        start = end
+
+
+def shingle_hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
+    """XXH64 of each run of k lower-cased words joined by single spaces, a piece of the text at a time; fewer words are one run."""
+    digest, words, some = xxhash.xxh64_intdigest, [], False
+    for piece in pieces(text):
+        words += piece.lower().split()
+        if len(words) < k:
+            continue
+        joined = memoryview(b" ".join(words))
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())], U)
+        words, some = words[len(words) - k + 1 :], True
+    if words and not some:
+        yield np.array([digest(b" ".join(words), SEED)], U)
+
+
+def fingerprint(hashes: Iterator[np.ndarray]) -> int:
     """Bits set in more than half of the hashes; counted BLOCK hashes at a time, so that memory does not follow the text."""
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        some = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += some.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(U)[0])
+    total, n = np.zeros(64, np.int64), 0
+    for part in hashes:
+        n += len(part)
+        for at in range(0, len(part), BLOCK):
+            some = np.unpackbits(part[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total += some.sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > n, bitorder="little").view(U)[0])
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:

@@ -67,6 +67,15 @@ def test_empty_table_and_long_text(spark, make_docs):
     assert {r.fingerprint for r in found if r.doc_id == 0} == {f"{plain_print(long):016x}"}
 
 
+@pytest.mark.parametrize("piece", [1, 7, 100])
+def test_pieces_change_nothing(monkeypatch, piece):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    rng = np.random.default_rng(piece)
+    for text in ["", " ", "a", "a b", "a b c", "  lead and trail  ", "x" * 300, "é\tü\n漢 字 " * 20, " ".join("w" * int(n) for n in rng.integers(1, 12, 200))]:
+        for k in (1, 2, 3, 5):
+            assert simhash.fingerprint(simhash.shingle_hashes(text.encode(), k)) == plain_print(text, k)
+
+
 def clustered(rng, n):
     """Distinct fingerprints, many of them a few bits from another."""
     heads = rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)
