@@ -23,7 +23,9 @@ A. Blocks of texts send, for each history, its followers with training counts
    as many as tokens, however many parts there are; ids go one way once a block.  Histories with more than
    1/HOT of all tokens and more than OFTEN, at most HOT by count, the start mark
    among them, are spread over several parts by their follower; their counts come
-   with the broadcast list of them.
+   with the broadcast list of them.  Pairs above the same limits are counted in a pass
+   of their own, at most HOT of them: blocks know their counts, so they add up such
+   pairs' shares themselves and send none of their occurrences.
 B. Parts ask the unigram table for the counts of the words they hold.
 C. Parts add up the followers' unigram mass for a(h), and finish the left-over
    pairs.
@@ -39,7 +41,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -106,21 +108,56 @@ class Discounts:
         return self.factor[np.minimum(counts, K + 1)]
 
 
+def places(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where each value stands in sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return np.where(keys[at] == values, at, -1)
+
+
+def tokens(sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """History and word of each token of texts with so many words."""
+    ends = np.cumsum(sizes + 1) - 1
+    w = np.empty(len(words) + len(sizes), U)
+    inner = np.ones(len(w), bool)
+    inner[ends] = False
+    w[inner], w[ends] = words, END
+    h = np.empty(len(w), U)
+    h[1:], h[:1] = w[:-1], START
+    h[ends[:-1] + 1] = START
+    return h, w
+
+
 @dataclass
 class Shape:
-    """What every task needs to know; hot has at most HOT entries."""
+    """What every task needs to know; hot and pairs have at most HOT entries each."""
 
     parts: int
     hot: np.ndarray
     hot_counts: np.ndarray
     total: int
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    pair_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def hot_at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hot):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
-        is_hot = self.hot[at] == h
-        return is_hot, np.where(is_hot, self.hot_counts[at], 0)
+        at = places(self.hot, h)
+        return at >= 0, np.where(at >= 0, self.hot_counts[at], 0) if len(self.hot) else np.zeros(len(h), np.int64)
+
+    def code(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Number of a pair of two hot words, -1 for all others; the end follows as often as the start leads."""
+        out = np.full(len(h), -1, np.int64)
+        first = places(self.hot, h)
+        some = np.flatnonzero(first >= 0)
+        second = places(self.hot, np.where(w[some] == END, START, w[some]))
+        out[some[second >= 0]] = (first[some] * len(self.hot) + second)[second >= 0]
+        return out
+
+    def pair_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """History, follower and total of the history for each hot pair."""
+        n = max(1, len(self.hot))
+        w = self.hot[self.pairs % n]
+        return self.hot[self.pairs // n], np.where(w == START, END, w), self.hot_counts[self.pairs // n] + 1
 
     def route(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Where a pair goes: by its history, for hot ones by history and a share of the followers."""
@@ -171,20 +208,36 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return docs.filter("train").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _hot_pairs(shape: Shape):
+    """code and n of the pairs of hot words in a task's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(shape.hot) ** 2, np.int64)
+        for _, texts in slices(batches):
+            words = texts.words()
+            code = shape.code(*tokens(words.counts, words.hashes))
+            counts += np.bincount(code[code >= 0], minlength=len(counts))
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["code", "n"])
+
+    return run
+
+
 def _blocks(shape: Shape):
     """Exchange A, sending side."""
+    pair_history, _, pair_full = shape.pair_table()
+    pair_seen = np.log10(np.maximum(1, shape.pair_counts)) - np.log10(pair_full)
+    pair_real = pair_history != START
+    pair_base = np.where(pair_real, np.log10(pair_full - 0.5), 0)
 
     def flush(block: int, ids: np.ndarray, train: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
-        n = len(words) + len(ids)
-        ends = np.cumsum(sizes + 1) - 1
-        w = np.empty(n, U)
-        inner = np.ones(n, bool)
-        inner[ends] = False
-        w[inner], w[ends] = words, END
-        h = np.empty(n, U)
-        h[1:], h[0] = w[:-1], START
-        h[ends[:-1] + 1] = START
+        h, w = tokens(sizes, words)
         doc = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes + 1)
+        hot = places(shape.pairs, shape.code(h, w))
+        cold, pairs = hot < 0, hot[hot >= 0]
+        shares = [np.bincount(doc[~cold], x[pairs], len(ids)) for x in (pair_base, pair_seen, pair_real)]
+        h, w, doc = h[cold], w[cold], doc[cold]
+        n = len(h)
         route = shape.route(h, w)
         order = np.lexsort((w, route))
         h, w, doc, route = h[order], w[order], doc[order], route[order]
@@ -193,7 +246,7 @@ def _blocks(shape: Shape):
         count = sums(train[doc].astype(np.int64), pair).astype(np.uint32)
         part = shape.part(route[pair])
         cuts = np.searchsorted(part, np.arange(shape.parts + 1))
-        rows = [(block % shape.parts, 6, block, ids.tobytes(), train.tobytes(), *[None] * 5)]
+        rows = [(block % shape.parts, 6, block, ids.tobytes(), train.tobytes(), shares[0].tobytes(), shares[1].tobytes(), planes(shares[2].astype(np.uint32)), None, None)]
         for p in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[p], cuts[p + 1]
             at = pair[a:b]
@@ -298,6 +351,15 @@ def _counted(shape: Shape):
     return run
 
 
+def _pair_row(shape: Shape) -> pa.Table:
+    """The hot pairs as one more row of the bigram table, in part 0; none of them counts K + 1 or less."""
+    h, w, full = shape.pair_table()
+    first = runs(h)
+    length = np.diff(np.append(first, len(h))).astype(np.uint32)
+    row = (0, 1, 0, h[first].tobytes(), planes(length), w.tobytes(), planes(shape.pair_counts.astype(np.uint64)), planes(full[first].astype(np.uint64)), None, [0] * (K + 1))
+    return pa.Table.from_batches([packed([row])])
+
+
 def _wanted(parts: int):
     """Exchange B, sending side: distinct words of a part by the word's part."""
 
@@ -400,8 +462,9 @@ def _text_sums(table: pa.Table) -> pa.Table:
     name = next(r for r in rows if r["kind"] == 6)
     ids, train = np.frombuffer(name["a"], np.int64), np.frombuffer(name["b"], np.uint8).astype(bool)
     docs = len(ids)
-    base, seen = np.zeros(docs), np.zeros(docs)
-    known, real = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+    base, seen = np.frombuffer(name["c"], np.float64).copy(), np.frombuffer(name["d"], np.float64).copy()
+    real = unplanes(name["e"], np.uint32).astype(np.int64)
+    known = real.copy()
     by_count = np.zeros((docs, K + 2), np.int64)
     for r in rows:
         if r["kind"] == 0:
@@ -445,17 +508,23 @@ def fit_and_score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> tuple[M
     hot = words.filter(F.col("n") > max(total / HOT, OFTEN)).collect()  # each follower of the start mark begins a text, so it is as frequent as END
     hot = sorted((int(START) if r.word == int(END.view(np.int64)) else int(np.int64(r.word).view(U)), r.n) for r in hot)
     shape = Shape(max(8, math.ceil(total / PART_TOKENS)), np.array([h for h, _ in hot], U), np.array([n for _, n in hot], np.int64), total)
+    pairs = rows.filter("train").select("text").mapInArrow(_hot_pairs(shape), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    pairs = sorted((r.code, r.n) for r in pairs.filter(F.col("n") > max(total / HOT, OFTEN)).collect()) if hot else []
+    shape = replace(shape, pairs=np.array([x for x, _ in pairs], np.int64), pair_counts=np.array([n for _, n in pairs], np.int64))
     release(spark)
     counted = rows.select("doc_id", "text", F.col("train").cast("byte").alias("train")).mapInArrow(_blocks(shape), PACKED)
     counted = stage(counted.groupBy("part").applyInArrow(_counted(shape), PACKED), "bigrams", "kind")
     release(spark)
-    bigrams, left = counted.filter("kind = 1"), counted.filter("kind in (1, 2)")
+    bigrams, left = (counted.filter(x).select(*_NAMES) for x in ("kind = 1", "kind in (1, 2)"))
+    if pairs:
+        hot_pairs = spark.createDataFrame(_pair_row(shape), PACKED)
+        bigrams, left = bigrams.unionByName(hot_pairs), left.unionByName(hot_pairs)
     n_of = bigrams.select(*[F.sum(F.element_at("counts", r)) for r in range(1, K + 2)]).first()
     bi = Discounts.of([x or 0 for x in n_of])
     asked = left.mapInArrow(_wanted(shape.parts), PACKED)
     found = words.mapInArrow(_word_parts(shape.parts), "part int, word long, n long")
     answers = asked.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_answer, PACKED)
-    merged = left.select(*_NAMES).unionByName(answers)
+    merged = left.unionByName(answers)
     finished = stage(merged.groupBy("part").applyInArrow(_finish(total, unknown, uni, bi), PACKED), "finished", "kind")
     release(spark)
     sums_of = finished.filter("kind = 4").mapInArrow(_weights, "history long, given double, mass double").groupBy("history").agg(F.sum("given").alias("given"), F.sum("mass").alias("mass"))

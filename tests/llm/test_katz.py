@@ -122,3 +122,24 @@ def test_discounts():
     assert katz.Discounts.of([0] * 6).factor[1] == 0.5
     d = katz.Discounts.of([1000, 300, 150, 90, 60, 40]).factor
     assert all(0 < x < 1 for x in d[1:6]) and d[6] == 1
+
+
+def test_pairs_that_all_texts_share_are_not_sent(make_docs, monkeypatch):
+    """Blocks add up the shares of hot pairs themselves; each such pair stands once in the bigram table."""
+    monkeypatch.setattr(katz, "HOT", 20)
+    monkeypatch.setattr(katz, "OFTEN", 60)
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
+    docs = make_docs(["see also " * 30 + (t or "") for t in corpus(4)]).repartition(3)
+    rows = [(r.doc_id, r.text.encode().lower().split()) for r in docs.collect()]
+    plain = Plain(rows)
+    model, scored = katz.fit_and_score(docs)
+    for r in scored.collect():
+        words = dict(rows)[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (len(words) + 1, sum(x in plain.c for x in [*words, END]))
+        assert r.base_score == pytest.approx(plain.base(words), abs=1e-8)
+        assert r.score == pytest.approx(plain.score(words), abs=1e-8)
+    assert sum(len(r.c) // 8 for r in model.bigrams.collect()) == len(plain.pairs)
+    sent = sum(int(katz.unplanes(r.f, "u4").sum()) for r in model.counted.filter("kind = 0").collect())
+    hot = sum(c for (h, w), c in plain.pairs.items() if h != START and c > max(plain.n / 20, 60))
+    assert hot > plain.n / 3
+    assert sent <= sum(len(w) for _, w in rows) - hot
