@@ -514,7 +514,18 @@ def _(spark, sf_dir):
     return rounded(out, "prediction", "variance")
 
 
-@query("krige_local")
+#: Ordinary kriging from the 16 nearest samples of each target, each system eliminated by itself.
+_LOCAL = (
+    f"WITH RECURSIVE {_TN}, nb AS (SELECT * FROM n WHERE r <= 16), "
+    f"k AS (SELECT a.id, a.r AS i, b.r AS j, ({_COV(DIST)})::DOUBLE AS c FROM nb a JOIN nb b USING (id) UNION ALL SELECT id, r, 17, 1.0 FROM nb UNION ALL SELECT id, 17, r, 1.0 FROM nb UNION ALL SELECT id, 17, 17, 0.0 FROM t UNION ALL SELECT id, r, 18, {_COV('d')} FROM nb UNION ALL SELECT id, 17, 18, 1.0 FROM t), "
+    "m0 AS (SELECT id, list(l ORDER BY i) AS m FROM (SELECT id, i, list(c ORDER BY j) AS l FROM k GROUP BY id, i) GROUP BY id), "
+    "g(id, p, m) AS (SELECT id, 1::BIGINT, m FROM m0 UNION ALL SELECT id, p+1, list_transform(m, lambda l, i: CASE WHEN i = p THEN list_transform(l, lambda c: c / l[p]) ELSE list_transform(l, lambda c, j: c - l[p]*m[p][j]/m[p][p]) END) FROM g WHERE p <= 17), "
+    "w AS (SELECT id, i, m[i][18] AS w FROM (SELECT id, m, unnest(range(1, 18)) AS i FROM g WHERE p = 18)) "
+    f"SELECT w.id, round(sum(w*v), 6)+0.0 AS prediction, round(greatest(0.02 - sum(w * CASE WHEN w.i = 17 THEN 1.0 ELSE {_COV('d')} END), 0), 6)+0.0 AS variance FROM w LEFT JOIN nb ON nb.id = w.id AND nb.r = w.i GROUP BY 1"
+)
+
+
+@query("krige_local", _LOCAL)
 def _(spark, sf_dir):
     return rounded(kriging.local(grid_targets(spark), pts(spark, sf_dir), MODEL, max_neighbors=16), "prediction", "variance")
 
@@ -599,12 +610,6 @@ def _(spark, sf_dir):
     return rounded(out, "sample", "probability", "theoretical").select(F.col("rank").cast("int").alias("rank"), "sample", "probability", "theoretical")
 
 
-@query("normality")
-def _(spark, sf_dir):
-    found = validation.normality(pts(spark, sf_dir), "value")
-    return spark.createDataFrame([tuple(found.values())], "statistic double, p_value double")
-
-
 def _density(points: DataFrame) -> tuple[float, tuple[float, float, float, float]]:
     """Points for each unit of area, and bounds, of a pattern that a simulation is to resemble."""
     b = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()

@@ -99,17 +99,29 @@ def _(spark, sf_dir):
 _W = (
     f"WITH {PTS}, o AS (SELECT value AS x, row_number() OVER (ORDER BY value, id) AS r, count(*) OVER () AS n FROM pts), m AS (SELECT *, {quantile_sql('((r-0.375)/(n+0.25))')} AS m FROM o), "
     "t AS (SELECT any_value(n)::DOUBLE AS n, sum(m*m) AS mm, var_pop(x)*count(*) AS ss, max(m) AS m1, max(m) FILTER (r = n - 1) AS m2, max(x)-min(x) AS d1, max(x) FILTER (r = n - 1) - max(x) FILTER (r = 2) AS d2, sum(m*x) FILTER (r BETWEEN 3 AND n - 2) AS mx FROM m), "
-    "a AS (SELECT *, 1/sqrt(n) AS u FROM t), b AS (SELECT *, m1/sqrt(mm)+0.221157*u-0.147981*u^2-2.071190*u^3+4.434685*u^4-2.706056*u^5 AS a1, m2/sqrt(mm)+0.042981*u-0.293762*u^2-1.752461*u^3+5.682633*u^4-3.582633*u^5 AS a2 FROM a) "
-    "SELECT round((a1*d1 + a2*d2 + mx/sqrt((mm-2*m1*m1-2*m2*m2)/(1-2*a1*a1-2*a2*a2)))^2/ss, 6)+0.0 AS w FROM b"
+    "a AS (SELECT *, 1/sqrt(n) AS u FROM t), b AS (SELECT *, m1/sqrt(mm)+0.221157*u-0.147981*u^2-2.071190*u^3+4.434685*u^4-2.706056*u^5 AS a1, m2/sqrt(mm)+0.042981*u-0.293762*u^2-1.752461*u^3+5.682633*u^4-3.582633*u^5 AS a2 FROM a), "
+    "w AS (SELECT n, (a1*d1 + a2*d2 + mx/sqrt((mm-2*m1*m1-2*m2*m2)/(1-2*a1*a1-2*a2*a2)))^2/ss AS w FROM b) "
+)
+#: The p-value of twelve values or more, as Simpson's sum over the upper tail of the normal density.
+_P = (
+    "z AS (SELECT w, (ln(1-w) - (-1.5861-0.31082*ln(n)-0.083751*ln(n)^2+0.0038915*ln(n)^3))/exp(-0.4803-0.082676*ln(n)+0.0030302*ln(n)^2) AS z FROM w), "
+    "f AS (SELECT w, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5*(z+i/1000.0)^2) AS f FROM z, (SELECT unnest(range(0, 20001)) AS i)) "
+    "SELECT round(any_value(w), 6)+0.0 AS statistic, round(sum(f)/3000/sqrt(2*pi()), 6)+0.0 AS p_value FROM f"
 )
 
 
-@query("shapiro_wilk", _W)
+@query("shapiro_wilk", f"{_W}SELECT round(w, 6)+0.0 AS w FROM w")
 def _(spark, sf_dir):
     w, _ = validation.shapiro_wilk_of(pts(spark, sf_dir))
     return spark.createDataFrame([(w,)], "w double").select(r6("w").alias("w"))
 
 
+@query("normality", f"{_W.removesuffix(' ')}, {_P}")
+def _(spark, sf_dir):
+    found = validation.normality(pts(spark, sf_dir), "value")
+    return rounded(spark.createDataFrame([tuple(found.values())], "statistic double, p_value double"), "statistic", "p_value")
+
+
 def raw_folder(spark, name: str) -> str:
     """A new folder for raw files in the folder that driver and executors share."""
     return f"{shared_folder(spark).removeprefix('file://')}/{name}-{uuid.uuid4().hex[:12]}"
