@@ -405,6 +405,27 @@ def tiles(spark, bounds: Sequence[float], size: float | tuple[float, float], ove
     return cells.select("ix", "iy", edge(xmin, xmax, wx, "ix", -overlap * wx).alias("xmin"), edge(ymin, ymax, wy, "iy", -overlap * wy).alias("ymin"), edge(xmin, xmax, wx, "ix", wx + overlap * wx).alias("xmax"), edge(ymin, ymax, wy, "iy", wy + overlap * wy).alias("ymax"))
 
 
+def tile_members(points: DataFrame, size: float | tuple[float, float], overlap: float = 0.1) -> DataFrame:
+    """A row for each point and overlapping tile (ix, iy) that holds it, borders included; tiles as of `tiles` over all points.
+
+    The tiles of a point follow from its place, so nothing is joined; a share of points near
+    borders, which `overlap` sets, is repeated. A point without a finite coordinate is in no tile.
+    """
+    wx, wy = (size, size) if np.isscalar(size) else size
+    if wx <= 0 or wy <= 0:
+        raise ValueError("tile size must be positive")
+    points = points.filter("abs(x) < double('infinity') AND abs(y) < double('infinity')")  # NaN is above infinity
+    x0, x1, y0, y1 = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if x0 is None:
+        return points.select("*", F.lit(0).alias("ix"), F.lit(0).alias("iy"))
+    for axis, c, lo, hi, w in (("ix", "x", x0, x1, wx), ("iy", "y", y0, y1, wy)):
+        last = max(1, int(np.ceil((hi - lo) / w - 1e-12))) - 1
+        at = (F.col(c) - lo) / w
+        first = F.greatest(F.ceil(at - 1 - overlap), F.lit(0))
+        points = points.withColumn(axis, F.explode(F.sequence(F.least(first, F.lit(last)).cast("int"), F.least(F.floor(at + overlap), F.lit(last)).cast("int"))))
+    return points
+
+
 def tile_of(targets: DataFrame, per_tile: int = 10_000) -> DataFrame:
     """Targets with the square tile (tx, ty) that holds them, about per_tile to a tile."""
     box = targets.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()

@@ -281,6 +281,30 @@ def _(spark, sf_dir):
     return p.agg(F.count("*").alias("n"), r6(F.min("x")).alias("xmin"), r6(F.max("y")).alias("ymax"))
 
 
+_REFUSALS = "SELECT mark, bool_or(abs(x) < 0.001) AS coordinates, bool_or(abs(value) < 0.002) AS values_, bool_or(abs(y) < 0.003) AS array_ FROM pts GROUP BY 1"
+
+
+@query("validate_refusals", f"WITH {PTS} {_REFUSALS}")
+def _(spark, sf_dir):
+    """Which checks refuse the points of each mark once values near zero are NaN, infinite or null."""
+    bad = {"x": (0.001, float("nan")), "value": (0.002, float("inf")), "y": (0.003, None)}
+    p = pts(spark, sf_dir)
+    p = p.select("id", "mark", *[F.when(F.abs(c) < low, F.lit(to).cast("double")).otherwise(F.col(c)).alias(c) for c, (low, to) in bad.items()])
+    rows = []
+    for (mark,) in p.select("mark").distinct().collect():
+        own = p.filter(F.col("mark").eqNullSafe(mark))
+        rows.append((mark, *[_refused(check, own, arg) for check, arg in ((source.validate_coordinates, ["x", "x"]), (source.validate_values, "value"), (source.validate_array, "y"))]))
+    return spark.createDataFrame(rows, "mark string, coordinates boolean, values_ boolean, array_ boolean")
+
+
+def _refused(check: Callable, points: DataFrame, columns: list[str] | str) -> bool:
+    try:
+        check(points, columns)
+    except ValueError:
+        return True
+    return False
+
+
 # -- point patterns ---------------------------------------------------------
 
 _K = f"{PAIRS}, n AS (SELECT count(*) AS n FROM pts), rs AS (SELECT unnest({RADII!r}::DOUBLE[]) AS r), k AS (SELECT r, 2.0*1.0/(any_value(n)*any_value(n))*count(d) AS k FROM rs CROSS JOIN n LEFT JOIN pairs ON d <= r GROUP BY r)"
@@ -535,22 +559,28 @@ def _(spark, sf_dir):
     return rounded(kriging.inverse_distance(grid_targets(spark), pts(spark, sf_dir), 4), "prediction")
 
 
-@query("tiles", f"WITH {EVT} SELECT floor(x/5.0)::INT AS tx, floor(y/5.0)::INT AS ty, count(*)::BIGINT AS n FROM evt GROUP BY 1, 2")
+_TILED = "b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM evt), c AS (SELECT b.*, i, j FROM b, (SELECT unnest(range(0, 40)) AS i), (SELECT unnest(range(0, 40)) AS j) WHERE i < greatest(1, ceil((x1-x0)/10.0)) AND j < greatest(1, ceil((y1-y0)/10.0)))"
+
+
+@query("tiles", f"WITH {EVT}, {_TILED} SELECT i::INT AS ix, j::INT AS iy, count(*)::BIGINT AS n FROM c JOIN evt ON x BETWEEN x0 + i*10.0 - 1 AND x0 + i*10.0 + 11 AND y BETWEEN y0 + j*10.0 - 1 AND y0 + j*10.0 + 11 GROUP BY 1, 2")
 def _(spark, sf_dir):
-    return events(spark, sf_dir).groupBy(F.floor(F.col("x") / 5.0).cast("int").alias("tx"), F.floor(F.col("y") / 5.0).cast("int").alias("ty")).agg(F.count("*").alias("n"))
+    """Events of each overlapping tile."""
+    return kriging.tile_members(events(spark, sf_dir), 10.0, 0.1).groupBy("ix", "iy").agg(F.count("*").alias("n"))
 
 
-@query("tile_bounds", f"WITH {EVT}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM evt), c AS (SELECT b.*, i, j FROM b, (SELECT unnest(range(0, 40)) AS i), (SELECT unnest(range(0, 40)) AS j) WHERE i < greatest(1, ceil((x1-x0)/10.0)) AND j < greatest(1, ceil((y1-y0)/10.0))) SELECT i::INT AS ix, j::INT AS iy, round(greatest(x0, x0 + i*10.0 - 1), 6)+0.0 AS xmin, round(greatest(y0, y0 + j*10.0 - 1), 6)+0.0 AS ymin, round(least(x1, x0 + i*10.0 + 11), 6)+0.0 AS xmax, round(least(y1, y0 + j*10.0 + 11), 6)+0.0 AS ymax FROM c")
+@query("tile_bounds", f"WITH {EVT}, {_TILED} SELECT i::INT AS ix, j::INT AS iy, round(greatest(x0, x0 + i*10.0 - 1), 6)+0.0 AS xmin, round(greatest(y0, y0 + j*10.0 - 1), 6)+0.0 AS ymin, round(least(x1, x0 + i*10.0 + 11), 6)+0.0 AS xmax, round(least(y1, y0 + j*10.0 + 11), 6)+0.0 AS ymax FROM c")
 def _(spark, sf_dir):
     """Tiles over the extent of all events."""
     b = events(spark, sf_dir).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     return rounded(kriging.tiles(spark, tuple(b), 10.0, 0.1), "xmin", "ymin", "xmax", "ymax")
 
 
-@query("krige_score", "SELECT 1.0::DOUBLE AS r2")
+@query("krige_score", f"WITH {PTS}, q AS (SELECT 0.01*(id % 7) AS e, value + 0.01*(id % 7) AS v FROM pts) SELECT round(1 - sum(e*e)/(var_pop(v)*count(*)), 6)+0.0 AS r2 FROM q")
 def _(spark, sf_dir):
+    """At the samples predictions are the values, so points moved by known amounts have a known score."""
     p = pts(spark, sf_dir)
-    return spark.createDataFrame([(round(kriging.ordinary(MODEL).fit(p).score(p), 6),)], "r2 double")
+    moved = p.withColumn("value", F.col("value") + 0.01 * (F.col("id") % 7))
+    return spark.createDataFrame([(kriging.ordinary(MODEL).fit(p).score(moved),)], "r2 double").select(r6("r2").alias("r2"))
 
 
 @query("krige_parallel_tiles")

@@ -96,3 +96,18 @@ def test_progressive_resumes(make_points, tmp_path):
 def test_score_and_trend():
     assert kriging.choose_trend(C, 1 + C[:, 0] - 2 * C[:, 1]) == "linear"
     assert kriging.choose_trend(C, C[:, 0] ** 2 + RNG.normal(0, 0.1, 80)) == "quadratic"
+
+
+def test_tile_members_equal_the_bounds_of_tiles(make_points):
+    p = make_points(C)
+    b = (C[:, 0].min(), C[:, 1].min(), C[:, 0].max(), C[:, 1].max())
+    for size, overlap in ((1.5, 0.2), ((2.0, 100.0), 0.0), (1.0, 1.4)):
+        got = {(r.id, r.ix, r.iy) for r in kriging.tile_members(p, size, overlap).collect()}
+        tiles = kriging.tiles(p.sparkSession, b, size, overlap).collect()
+        assert got == {(i, t.ix, t.iy) for i, (x, y) in enumerate(C) for t in tiles if t.xmin <= x <= t.xmax and t.ymin <= y <= t.ymax}
+    assert kriging.tile_members(p.limit(0), 1.0).count() == 0
+    assert kriging.tile_members(make_points([(1, 1), (1, 1)]), 1.0).count() == 2
+    lost = p.selectExpr("id", "CASE id WHEN 3 THEN NULL WHEN 4 THEN double('nan') ELSE x END AS x", "y")
+    assert {r.id for r in kriging.tile_members(lost, 1.0, 0.0).collect()} == set(range(len(C))) - {3, 4}
+    with pytest.raises(ValueError, match="tile size"):
+        kriging.tile_members(p, 0)
