@@ -501,6 +501,9 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(m, float(s), m == best.model) for m, s in scores.items()], "model string, score double, best boolean")
 
 
+_T = "t AS (SELECT i::BIGINT AS id, -0.4 + 0.8*(i % 12)/11.0 AS x, -0.4 + 0.8*floor(i/12)/11.0 AS y FROM (SELECT unnest(range(0, 144)) AS i))"
+
+
 def _krige(kind: str):
     def run(spark, sf_dir):
         p = pts(spark, sf_dir)
@@ -510,8 +513,37 @@ def _krige(kind: str):
     return run
 
 
+def gradient_sql(kind: str) -> str:
+    """Global kriging of all points in SQL: covariance systems of the targets and drift terms by conjugate gradients, one list a right side."""
+    turned = "(x*cos(0.6) - y*sin(0.6))/0.15 AS p, (x*sin(0.6) + y*cos(0.6))/0.05 AS q" if kind == "anisotropic" else "x/0.15 AS p, y/0.15 AS q"
+    cov = "CASE WHEN a.p = b.p AND a.q = b.q THEN 0.02 ELSE 0.019*exp(-sqrt((a.p-b.p)*(a.p-b.p)+(a.q-b.q)*(a.q-b.q))) END"
+    solved = (
+        f"WITH RECURSIVE {PTS}, {_T}, s AS (SELECT row_number() OVER (ORDER BY id) AS i, value AS v, x, y, {turned} FROM pts), u AS (SELECT id, {turned} FROM t), "
+        f"k AS MATERIALIZED (SELECT list(l ORDER BY i) AS k FROM (SELECT a.i, list(({cov})::DOUBLE ORDER BY b.i) AS l FROM s a CROSS JOIN s b GROUP BY 1)), "
+        "l AS MATERIALIZED (SELECT list(1.0::DOUBLE ORDER BY i) AS one, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys, list(v ORDER BY i) AS v, avg(v) AS m FROM s), "
+        f"c AS MATERIALIZED (SELECT a.id, list(({cov})::DOUBLE ORDER BY b.i) AS c FROM u a CROSS JOIN s b GROUP BY 1 UNION ALL SELECT -1, one FROM l UNION ALL SELECT -2, xs FROM l UNION ALL SELECT -3, ys FROM l), "
+        "g(id, w, r, d, rr) USING KEY (id) AS (SELECT id, list_transform(c, lambda x: 0.0::DOUBLE), c, c, list_dot_product(c, c) FROM c UNION SELECT id, w, r, list_transform(r, lambda x, i: x + d[i]*new/rr), new FROM (SELECT *, list_dot_product(r, r) AS new FROM "
+        "(SELECT id, d, rr, list_transform(w, lambda x, i: x + al*d[i]) AS w, list_transform(r, lambda x, i: x - al*kd[i]) AS r FROM (SELECT *, rr/list_dot_product(d, kd) AS al FROM (SELECT g.*, list_transform(k, lambda row: list_dot_product(row, d)) AS kd FROM g, k WHERE rr > 1e-22))))), "
+        "w AS (SELECT id, w, list_dot_product(w, v) AS wv, list_dot_product(w, c) AS wc, 1 - list_sum(w) AS e1, t.x - list_dot_product(w, xs) AS e2, t.y - list_dot_product(w, ys) AS e3, v, m, one, xs, ys FROM g JOIN c USING (id) LEFT JOIN t USING (id), l)"
+    )
+    if kind == "simple":
+        prediction, variance, drift = "wv + m*e1", "0.02 - wc", ""
+    elif kind == "universal":
+        product = lambda a, b: f"list_dot_product({a}.w, {a}.{b})"
+        drift = (
+            f", f AS (SELECT {product('a', 'one')} AS aa, {product('a', 'xs')} AS ab, {product('a', 'ys')} AS ac, {product('b', 'xs')} AS bb, {product('b', 'ys')} AS bc, {product('c', 'ys')} AS cc, a.wv AS va, b.wv AS vb, c.wv AS vc FROM w a, w b, w c WHERE a.id = -1 AND b.id = -2 AND c.id = -3), "
+            "h AS (SELECT *, aa*(bb*cc-bc*bc) - ab*(ab*cc-bc*ac) + ac*(ab*bc-bb*ac) AS det FROM f), "
+            "z AS (SELECT w.id, wv, wc, e1, e2, e3, va, vb, vc, (e1*(bb*cc-bc*bc) + e2*(ac*bc-ab*cc) + e3*(ab*bc-ac*bb))/det AS z1, (e1*(ac*bc-ab*cc) + e2*(aa*cc-ac*ac) + e3*(ab*ac-aa*bc))/det AS z2, (e1*(ab*bc-ac*bb) + e2*(ab*ac-aa*bc) + e3*(aa*bb-ab*ab))/det AS z3 FROM w, h)"
+        )
+        prediction, variance = "wv + z1*va + z2*vb + z3*vc", "0.02 - wc + e1*z1 + e2*z2 + e3*z3"
+    else:
+        drift = ", z AS (SELECT w.*, e1/u AS z1, va FROM w, (SELECT list_sum(w) AS u, wv AS va FROM w WHERE id = -1))"
+        prediction, variance = "wv + z1*va", "0.02 - wc + e1*z1"
+    return f"{solved}{drift} SELECT id, round({prediction}, 6)+0.0 AS prediction, round(greatest({variance}, 0), 6)+0.0 AS variance FROM {'z' if drift else 'w'} WHERE id >= 0"
+
+
 for _kind in ("ordinary", "simple", "universal", "anisotropic"):
-    query(f"krige_{_kind}")(_krige(_kind))
+    query(f"krige_{_kind}", gradient_sql(_kind))(_krige(_kind))
 
 
 @query("krige_exact", f"WITH {PTS} SELECT id, round(value, 5)+0.0 AS prediction, 0.0::DOUBLE AS variance FROM pts")
@@ -521,7 +553,6 @@ def _(spark, sf_dir):
     return out.select("id", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("prediction", "variance")])
 
 
-_T = "t AS (SELECT i::BIGINT AS id, -0.4 + 0.8*(i % 12)/11.0 AS x, -0.4 + 0.8*floor(i/12)/11.0 AS y FROM (SELECT unnest(range(0, 144)) AS i))"
 _TN = f"{PTS}, {_T}, n AS (SELECT a.id, b.x, b.y, b.value AS v, {DIST} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS r FROM t a CROSS JOIN pts b)"
 _COV = lambda d: f"(CASE WHEN {d} = 0 THEN 0.02 ELSE 0.019*exp(-({d})/0.15) END)"
 
