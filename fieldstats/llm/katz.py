@@ -58,6 +58,7 @@ OFTEN = 1_000
 BLOCK_TOKENS = 1_000_000
 BLOCK_TEXTS = 20_000
 PART_TOKENS = 2_000_000
+SLICE = 65_536
 START = U(0x9D5B_31C7_04E2_A6F1)
 END = U(0x3E0F_7AC5_9912_D84B)
 NO_ID = -(1 << 63)
@@ -219,6 +220,8 @@ def _hot_pairs(shape: Shape):
             counts += np.bincount(code[code >= 0], minlength=len(counts))
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["code", "n"])
+        del counts
+        trim()
 
     return run
 
@@ -233,10 +236,14 @@ def _blocks(shape: Shape):
     def flush(block: int, ids: np.ndarray, train: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
         h, w = tokens(sizes, words)
         doc = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes + 1)
-        hot = places(shape.pairs, shape.code(h, w))
-        cold, pairs = hot < 0, hot[hot >= 0]
-        shares = [np.bincount(doc[~cold], x[pairs], len(ids)) for x in (pair_base, pair_seen, pair_real)]
+        hot = np.empty(len(h), np.int32)
+        for a in range(0, len(h), SLICE):  # the temporary arrays of a block stay small
+            hot[a : a + SLICE] = places(shape.pairs, shape.code(h[a : a + SLICE], w[a : a + SLICE]))
+        cold = hot < 0
+        doc_hot, hot = doc[~cold], hot[~cold]
+        shares = [np.bincount(doc_hot, x[hot], len(ids)) for x in (pair_base, pair_seen, pair_real)]
         h, w, doc = h[cold], w[cold], doc[cold]
+        del hot, cold, doc_hot
         n = len(h)
         route = shape.route(h, w)
         order = np.lexsort((w, route))
@@ -277,6 +284,8 @@ def _blocks(shape: Shape):
                 held, size, texts_held, block = [], 0, 0, block + 1
         if held:
             yield flush(block, *(np.concatenate(x) for x in zip(*held, strict=True)))
+        del held
+        trim()
 
     return run
 
