@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,65 @@ def test_ties_lose_no_near_pair():
             assert pairs > 100 and (held < 400 or made < 400)
 
 
+def test_known_groups_lose_no_near_pair():
+    """Where groups with an anchor of their own are known, two entries within the limits still have a common anchor."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 9, dtype=np.uint64) & rng.integers(0, 1 << 64, 9, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 63, (400, 4)).astype(np.uint64)
+    chain = (base[rng.integers(0, 9, 400)] ^ np.bitwise_xor.reduce(np.where(rng.random((400, 4)) < 0.5, flips, np.uint64(0)), axis=1)).view(np.int64)
+    blocks = chain.view(np.uint8)
+    blocks[blocks < jaccard.FILLED] = 0
+    n = rng.integers(80, 100, 400).astype(np.int32)
+    sizes = np.full(400, np.searchsorted(jaccard.size_starts(80, 300), 80, "right") - 1, np.int16)
+    rows = jaccard.Entries(np.sort(rng.integers(0, 5, 400)), np.arange(400), n, sizes, chain)
+    table = pa.table(dict(zip(jaccard.ENTRY, rows.columns(), strict=False)))
+    for share in (0.0, 0.3, 0.9):
+        classes = np.flatnonzero(rng.random(400) < share)
+        group = rng.integers(0, 7, len(classes))
+        heads = np.array([classes[group == g].min(initial=400) for g in range(7)])
+        known = SimpleNamespace(value=jaccard.Known(classes, heads[group], n[np.minimum(heads, 399)[group]]))
+        for held, short in ((1_000, 0), (37, 0), (1_000, 400), (37, 400), (37, 70), (9, 12)):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(jaccard, "LIST_PAIRS", short)
+                patch.setattr(jaccard, "LIST_ROWS", held)
+                leaders = defaultdict(set)
+                for c, a in zip(classes, heads[group], strict=True):
+                    leaders[c].add(a)
+                for batch in jaccard._anchor(80, known)(iter(table.to_batches(max_chunksize=held))):
+                    for r in batch.to_pylist():
+                        assert r["anchor_n"] == n[r["anchor"]] and r["n"] == n[r["class"]]
+                        leaders[r["class"]].add(r["anchor"])
+                        leaders[r["anchor"]].add(r["anchor"])
+                for x in range(400):
+                    others = np.flatnonzero((rows.key == rows.key[x]) & (rows.classes != x))
+                    within, _ = rows.near(others, np.full(len(others), x), 80)
+                    assert all(leaders[x] & leaders[y] for y in others[within])
+
+
+def test_a_cluster_is_tied_once(make_docs, monkeypatch):
+    """Near copies meet in a hundred lists and more; ties are as many as the copies all the same, in however many tasks and batches the lists are read."""
+    counts, stage = {}, jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda table, name, *by: counts.update({name: (out := stage(table, name, *by)).count()}) or out)
+    rng = random.Random(9)
+    texts = [t for n in (150, 30, 5) for t in near_copies(rng, n, 400, 6)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(make_docs(texts), 5, 80).collect()}
+    assert got == plain(list(enumerate(texts)), 5, 80)
+    assert counts["anchors"] <= 1.2 * len(texts)
+
+    sets = jaccard.Sets(texts_of(pa.array(texts)), 5)
+    groups = np.minimum(np.arange(len(texts)), 179) // 150 + (np.arange(len(texts)) >= 180)
+    heads = np.array([sets.classes[groups == g].view(np.int64).min() for g in range(3)])[groups]
+    order = np.argsort(sets.classes.view(np.int64))
+    known = jaccard.Known(sets.classes.view(np.int64)[order], heads[order], np.ones(len(texts), np.int32))
+    keys, owner, sizes, chain = sets.entries(80, np.arange(len(texts)))
+    order = np.argsort(keys.view(np.int64), kind="stable")
+    columns = [keys[order].view(np.int64), sets.classes[owner[order]].view(np.int64), sets.sizes[owner[order]].astype(np.int32), sizes[order], chain[order].view(np.int64)]
+    table = pa.table(dict(zip(jaccard.ENTRY, columns, strict=True)))
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 2_000)
+    made = [sum(b.num_rows for b in jaccard._anchor(80, k)(iter(table.to_batches(max_chunksize=1_000)))) for k in (None, SimpleNamespace(value=known))]
+    assert made[0] > 10 * len(texts) and not made[1]
+
+
 def test_ties_of_unlike_sets_are_few():
     """Texts of few words share many shingles by chance; their lists meet, but hardly any tie comes of it."""
     rng = random.Random(5)
