@@ -5,9 +5,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
-from fieldstats.operators import anisotropy, kriging
+from fieldstats.functions import models
+from fieldstats.operators import anisotropy, conjugate, kriging, validation
+from fieldstats.operators.fit import Variogram
 from fieldstats.plans import queries as plans
 
 
@@ -48,3 +49,55 @@ def test_the_smallest_of_equal_axes_is_taken(ranges):
     found = anisotropy.estimate_angle(anisotropy.REQUIRED, ranges)
     assert (found.angle_deg, round(found.ratio, 9)) == (0.0, 1.0)
     assert anisotropy.estimate_angle(anisotropy.REQUIRED, np.array([2.0, 3.0, 3.0, 2.0, 2.0, 2.0]) * ranges[1]).angle_deg == 45.0
+
+
+def sample(n, seed, d=2):
+    rng = np.random.default_rng(seed)
+    c = rng.uniform(size=(n, d))
+    return c, np.sin(5 * c[:, 0]) + c[:, 1] ** 2 + 0.1 * rng.normal(size=n)
+
+
+@pytest.mark.parametrize("model", ["exponential", "spherical", "gaussian"])
+def test_fast_products_and_their_solves_equal_dense_ones(spark, monkeypatch, model):
+    monkeypatch.setattr(conjugate, "FEW", 100)
+    c, v = sample(1_500, 7)
+    m = Variogram(model, 0.05, 1.1, 0.2)
+    dense = models.cov(models.distances(c, c), model, 0.05, 1.1, 0.2)
+    operator = conjugate.Covariance(spark, c, m)
+    fast, order = operator.far[0], operator.order
+    fast.tree = fast.tree  # made here as in a task
+    got = np.empty_like(c)
+    for part in range(3):
+        rows, some = fast.product(c[order], part, 3)
+        got[order[rows]] = some
+    assert np.abs(got - dense @ c).max() < 1e-5 * np.abs(dense @ c).max()
+    assert np.abs(fast.residual(v[order][:, None], c[order][:, :1])[:, 0] - (v - dense @ c[:, 0])[order]).max() < 1e-9
+    held = np.ones((len(c), 3))
+    held[:400, 1] = held[300:, 2] = 0
+    right = np.column_stack([v, np.ones(len(c)), v])
+    monkeypatch.setattr(conjugate.Covariance, "solve", None)  # not left to it
+    found, product = operator.refined(right, held)
+    assert np.abs((right - dense @ found) * held).max() < 1e-8 and np.abs(product - dense @ found).max() < 1e-8
+    assert not found[held == 0].any()
+    operator.close()
+    assert np.allclose(conjugate.inverse_diagonal(spark, c, m), np.diag(np.linalg.inv(dense)), rtol=1e-6)
+
+
+@pytest.mark.parametrize("predictor", [{}, {"kind": "simple"}, {"kind": "simple", "mean": 0.7}, {"kind": "universal", "trend": "linear"}, {"kind": "anisotropic", "angle": 0.4, "range_minor": 0.1}])
+def test_variances_and_points_left_out_above_the_dense_limit(spark, make_points, monkeypatch, predictor):
+    c, v = sample(120, 8)
+    p, model = make_points(c, v), Variogram("exponential", 0.05, 1.0, 0.3)
+    targets = make_points(np.vstack([sample(40, 9)[0], c[:10]]))
+    build = validation.default_kriging_builder(**predictor)
+
+    def run():
+        out = [build(model).fit(p).predict(targets, variance=True)]
+        out += [validation.leave_one_out(p, model, build).rows, validation.spatial_kfold(p, 3, 2, model, build).rows]
+        return [x.orderBy("id").toPandas() for x in out]
+
+    wanted = run()
+    monkeypatch.setattr(kriging, "MAX_SAMPLES", 50)
+    monkeypatch.setattr(conjugate, "FEW", 60)
+    monkeypatch.setattr(conjugate, "NUMBERS", 2_400)
+    for got, dense in zip(run(), wanted, strict=True):
+        assert np.allclose(got, dense, atol=1e-6)
